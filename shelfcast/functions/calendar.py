@@ -73,14 +73,16 @@ def calendar_fill(
     df: DataFrame, date_column: str, values: Sequence[str], start: str, end: str, freq: str,
     keys: Sequence[str] = (), fill: float = 0.0, week_label: str = "start",
 ) -> DataFrame:
-    """Sum ``values`` per period (and key); periods without rows get ``fill``.
+    """Sum ``values`` per period (and key); periods without rows get ``fill``, rows of periods
+    outside the range are dropped.
 
     Only additive values may be filled this way; distinct counts need their own pass.
     """
+    first, last = (period_start(F.lit(d).cast("date"), freq, week_label) for d in (start, end))
     rows = df.select(
         *keys, period_start(date_column, freq, week_label).alias("period"),
         *[F.col(v).cast("double").alias(v) for v in values],
-    )
+    ).where(F.col("period").between(first, last))
     sums = [F.sum(v).alias(v) for v in values]
     if not keys:
         spine = period_spine(df.sparkSession, start, end, freq, week_label=week_label)

@@ -53,9 +53,9 @@ def present(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.select(*shown)
 
 
-def query(run: Query) -> Query:
-    """Register a function under its own name."""
-    _QUERIES[run.__name__] = lambda spark, sf_dir: present(run(spark, sf_dir))
+def query(run: Query, name: str | None = None, digits: int = 4) -> Query:
+    """Register a function, under its own name unless another is given."""
+    _QUERIES[name or run.__name__] = lambda spark, sf_dir: present(run(spark, sf_dir), digits)
     return run
 
 
@@ -470,15 +470,14 @@ def total_income(spark, sf_dir):
     return sales_reports.total_income(tables.sales(spark, sf_dir, with_item=False), WEEKLY)
 
 
-@query
-def share_of_total_query(spark, sf_dir):
+def _unit_shares(spark, sf_dir):
     units = tables.sales(spark, sf_dir).groupBy("unit", "order_status").agg(
         F.sum("total_price").alias("total_price")
     )
     return share_of_total(units, "total_price")
 
 
-_QUERIES["share_of_total"] = _QUERIES.pop("share_of_total_query")
+query(_unit_shares, "share_of_total")
 
 
 # ---------------------------------------------------------------- data quality
@@ -532,11 +531,13 @@ def histogram(spark, sf_dir):
     return quality.histogram(_erp_lines(spark, sf_dir), "quantity", -100, 999, 1)
 
 
-@query
-def equal_bin_histogram(spark, sf_dir):
+def _price_bins(spark, sf_dir):
     return quality.equal_bin_histogram(_erp_lines(spark, sf_dir), "price_per_unit", 2000)
 
 
+query(_price_bins, "equal_bin_histogram", digits=6)
+
+
 @query
 def monthly_amount(spark, sf_dir):
     return quality.monthly_amount(_erp_lines(spark, sf_dir))

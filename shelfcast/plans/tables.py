@@ -114,8 +114,13 @@ def erp_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     line_total = F.round(F.col("l_extendedprice") * F.col("l_quantity"), 2) + F.when(
         F.col("l_returnflag") == "R", 1.0
     ).otherwise(0.0)
+    short_year = F.when(F.col("l_linenumber") % 2 == 0, F.date_format(day, "yy")).otherwise(
+        F.substring(F.date_format(day, "yyyy"), 2, 3)
+    )
+    # years before 2000 have no short form that means them
+    year = F.when(F.year(day) >= 2000, short_year).otherwise(F.date_format(day, "yyyy"))
     text = {
-        "date": F.date_format(day, "d/M/yy"),
+        "date": F.concat(F.date_format(day, "d/M/"), year),
         "date_supply": F.date_format(F.date_add(day, 7), "d/M/yyyy"),
         "sku": F.lpad(F.col("l_partkey").cast("string"), 12, "0"),
         "quantity": F.format_number("l_quantity", 0),
