@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.filters import Scope
+from shelfcast.operators.shared import spread
 
 # Fixed values: (suffix, start, length) of the item-code levels above the item itself.
 LEVELS = [("_category", 0, 2), ("_catalog", 2, 3), ("_catalog+color", 2, 6)]
@@ -16,32 +17,40 @@ def monthly_quantities(stock_log: DataFrame, scope: Scope) -> DataFrame:
     return (
         scope.stock(stock_log, "cur_date").where(F.col("item").isNotNull())
         .groupBy("item", F.last_day(F.to_date("cur_date")).alias("ds"))
-        .agg(F.coalesce(F.sum(F.col("quantity").cast("double")), F.lit(0.0)).alias("y"))
+        .agg(F.sum(F.col("quantity").cast("double")).alias("y"))
     )
 
 
-def _known_values(panel: DataFrame, key: str) -> DataFrame:
-    # One entry per month is left of each series, so the map is calendar-sized.
-    return panel.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("ds", "y"))).alias("known"),
-        F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"),
-    )
-
-
-def _value_at(ds: str) -> Column:
-    return F.try_element_at("known", F.col(ds))
-
-
 def densify(monthly: DataFrame, key: str) -> DataFrame:
     """Every key gets every month observed anywhere, missing ones with 0.
 
-    The observed months are one calendar-sized array, so keys and months meet in an explode.
+    Each row fills the gap up to its key's next month, so the zeros appear inside the partitions
+    of one window and are never shuffled. The observed months are one calendar-sized array. It
+    is asked for together with a value of ``y``: the subquery then needs the same columns as the
+    main branch and reads the shuffle that one wrote, instead of scanning again.
     """
-    months = monthly.agg(F.array_sort(F.collect_set("ds"))).scalar()
+    observed = monthly.agg(
+        F.struct(F.array_sort(F.collect_set("ds")).alias("months"), F.max("y").alias("top"))
+    ).scalar()
+    by_key = Window.partitionBy(key).orderBy("ds")
+    here = F.array_position("months", F.col("ds"))
+    first = F.when(F.col("_previous").isNull(), F.lit(1)).otherwise(here).cast("int")
+    after = F.coalesce(F.array_position("months", F.col("_next")), F.size("months") + 1).cast("int")
     return (
-        _known_values(monthly, key).select(key, "known", months.alias("months"))
-        .select(key, "known", F.explode("months").alias("ds"))
-        .select(key, "ds", F.coalesce(_value_at("ds"), F.lit(0.0)).alias("y"))
+        spread(monthly, key)
+        .select(
+            key, "ds", "y", F.lag("ds").over(by_key).alias("_previous"),
+            F.lead("ds").over(by_key).alias("_next"),
+        )
+        .withColumn("months", observed["months"])
+        .select(
+            key, "y", F.col("ds").alias("_ds"),
+            F.explode(F.slice("months", first, after - first)).alias("ds"),
+        )
+        .select(
+            key, "ds",
+            F.when(F.col("ds") == F.col("_ds"), F.coalesce("y", F.lit(0.0))).otherwise(0.0).alias("y"),
+        )
     )
 
 
@@ -84,18 +93,21 @@ def build_panel(stock_log: DataFrame, scope: Scope) -> DataFrame:
 def extend_series(panel: DataFrame, horizon: int = 12) -> DataFrame:
     """Months missing inside a series with NULL, plus ``horizon`` months after the last month of
     the whole panel."""
-    last = panel.agg(F.max("ds")).scalar()
+    panel_end = panel.agg(
+        F.struct(F.max("ds").alias("ds"), F.max("y").alias("top"))
+    ).scalar()["ds"]
+    by_series = Window.partitionBy("unique_id").orderBy("ds")
     month = F.expr("interval 1 month")
-    future_from = F.add_months(F.trunc("panel_end", "MM"), 1)
-    starts = F.concat(
-        F.sequence(F.trunc("first_ds", "MM"), F.trunc("last_ds", "MM"), month),
-        F.sequence(future_from, F.add_months(F.trunc("panel_end", "MM"), horizon), month),
-    )
+    here, end = F.trunc("ds", "MM"), F.trunc("_end", "MM")
+    gap = F.sequence(here, F.add_months(F.trunc("_next", "MM"), -1), month)
+    future = F.sequence(F.add_months(end, 1), F.add_months(end, horizon), month)
+    starts = F.when(F.col("_next").isNotNull(), gap).otherwise(F.concat(F.array(here), future))
     return (
-        _known_values(panel, "unique_id").withColumn("panel_end", last)
-        .select("unique_id", "known", F.explode(starts).alias("month"))
-        .select("unique_id", "known", F.last_day("month").alias("ds"))
-        .select("unique_id", "ds", _value_at("ds").alias("y"))
+        panel.select("unique_id", "ds", "y", F.lead("ds").over(by_series).alias("_next"))
+        .withColumn("_end", panel_end)
+        .select("unique_id", "y", F.col("ds").alias("_ds"), F.explode(starts).alias("_month"))
+        .select("unique_id", "y", "_ds", F.last_day("_month").alias("ds"))
+        .select("unique_id", "ds", F.when(F.col("ds") == F.col("_ds"), F.col("y")).alias("y"))
     )
 
 

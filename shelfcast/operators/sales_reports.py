@@ -34,18 +34,17 @@ def topk_item_series(
 ) -> DataFrame:
     """Zero-filled series of the ``k`` items with the largest totals, in long form."""
     value = measure_name(what)
-    per_item = (
-        scope.sales(sales)
-        .groupBy("item", period_start("status_date", scope.freq).alias("period"))
-        .agg(F.sum(measure(what)).alias(value))
-    )
-    totals = per_item.groupBy("item").agg(F.sum(value).alias("total"))
-    top = top_items(totals, "item", "total", k)
+    rows = scope.sales(sales)
+    totals = rows.groupBy("item").agg(F.sum(measure(what)).alias("total"))
+    top = top_items(totals, "item", "total", k).select("item")
     grid = top.select(
         "item", F.explode(period_range(scope.start, scope.end, scope.freq)).alias("period")
     )
-    # k names: broadcast to keep only their rows, then pad them over the calendar
-    kept = per_item.join(F.broadcast(top.select("item")), "item", "left_semi")
+    # k names: broadcast, so that the second pass drops other items before its shuffle
+    kept = rows.join(F.broadcast(top), "item", "left_semi").select(
+        "item", period_start("status_date", scope.freq).alias("period"),
+        measure(what).alias(value),
+    )
     return (
         with_spine(kept, grid)
         .groupBy("period", "item").agg(F.coalesce(F.sum(value), F.lit(0.0)).alias(value))

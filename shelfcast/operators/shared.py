@@ -36,3 +36,13 @@ def top_items(totals: DataFrame, key: str, value: str, k: int, ascending: bool =
     """The ``k`` keys of largest (or smallest) value, ties by key; NULL keys never rank."""
     order = F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last()
     return totals.where(F.col(key).isNotNull()).orderBy(order, key).limit(k)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into as many partitions as the session shuffles to.
+
+    For steps whose output is far larger than their input: adaptive execution merges shuffle
+    partitions by input size, a partition number given here is kept.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfcast.operators.shared import spread
+
 METRICS = ("MAE", "MAPE")
 # Mean metrics are compared at this many decimals, so equal pairs tie whatever order they were
 # summed in.
@@ -17,8 +19,10 @@ def swa_grid(series: DataFrame, windows: int = 12, shifts: int = 12) -> DataFram
     """For every point and every (s, w): mean of the ``w`` values that end ``s`` rows earlier,
     NULL unless all ``w`` exist.
 
-    The means of all window lengths and their lags share one partitioning and one sort by
-    series; the grid is two explodes on top, without a join.
+    The means of all window lengths and their lags share one partitioning and one sort by series;
+    the grid is two explodes on top, without a join. The rows grow ``windows * shifts`` times
+    here, so the partitions are those the session asks for and not the few that adaptive
+    execution would merge the small input into.
     """
     by_series = Window.partitionBy("unique_id").orderBy("ds")
     means = F.array(
@@ -34,14 +38,14 @@ def swa_grid(series: DataFrame, windows: int = 12, shifts: int = 12) -> DataFram
     lagged = F.array(
         *[F.coalesce(F.lag("_means", s).over(by_series), nothing) for s in range(1, shifts + 1)]
     )
+    point = ["ds", "unique_id", "y"]
     return (
-        series.select("ds", "unique_id", "y", means.alias("_means"))
-        .select("ds", "unique_id", "y", lagged.alias("_lagged"))
-        .select("ds", "unique_id", "y", F.posexplode("_lagged").alias("_s", "_by_w"))
-        .select("ds", "unique_id", "y", "_s", F.posexplode("_by_w").alias("_w", "SWA_value"))
+        spread(series, "unique_id").select(*point, means.alias("_means"))
+        .select(*point, lagged.alias("_lagged"))
+        .select(*point, F.posexplode("_lagged").alias("_s", "_by_w"))
+        .select(*point, "_s", F.posexplode("_by_w").alias("_w", "SWA_value"))
         .select(
-            "ds", "unique_id", "y", (F.col("_s") + 1).alias("s"), (F.col("_w") + 1).alias("w"),
-            "SWA_value",
+            *point, (F.col("_s") + 1).alias("s"), (F.col("_w") + 1).alias("w"), "SWA_value"
         )
     )
 
@@ -96,26 +100,26 @@ def best_window_forecast(
 ) -> DataFrame:
     """Actual and predicted series of each series' best (s, w) up to the ``target`` month-end.
 
-    Pairs without a prediction at the target are out. Both windows are served by the one
-    partitioning by series that the grid already has.
+    Pairs without a prediction at the target are out. One row per series is joined back, which
+    also filters the results before any shuffle of theirs.
     """
     target_ds = F.last_day(F.lit(target).cast("date"))
     rows = results.where(F.col("ds").between(F.lit(start).cast("date"), target_ds))
     if unique_ids:
         rows = rows.where(F.col("unique_id").isin(list(unique_ids)))
-    pair = Window.partitionBy("unique_id", "s", "w")
     missing = (F.col("ds") == target_ds) & F.col("SWA_value").isNull()
-    scored = rows.select(
-        "*",
-        F.round(F.avg(_metric(metric)).over(pair), SCORE_DIGITS).alias("_score"),
-        F.max(missing).over(pair).alias("_missing"),
-    ).where(~F.col("_missing") & F.col("_score").isNotNull())
-    rank = F.struct("_score", *_tie_order(tie_order))
-    best = F.min(rank).over(Window.partitionBy("unique_id"))
-    return (
-        scored.withColumn("_best", best)
-        .where((F.col("s") == F.col("_best.s")) & (F.col("w") == F.col("_best.w")))
-        .select("unique_id", "ds", "s", "w", "y", "SWA_value", "MAE", "MAPE")
+    scores = rows.groupBy("unique_id", "s", "w").agg(
+        F.round(F.avg(_metric(metric)), SCORE_DIGITS).alias("_score"),
+        F.bool_or(missing).alias("_missing"),
+    )
+    best = F.min(F.struct("_score", *_tie_order(tie_order)))
+    chosen = (
+        scores.where(~F.col("_missing") & F.col("_score").isNotNull())
+        .groupBy("unique_id").agg(best.alias("_best"))
+        .select("unique_id", F.col("_best.s").alias("s"), F.col("_best.w").alias("w"))
+    )
+    return rows.join(chosen, ["unique_id", "s", "w"]).select(
+        "unique_id", "ds", "s", "w", "y", "SWA_value", "MAE", "MAPE"
     )
 
 
