@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(),
+    "date": T.DateType(), "money": T.DecimalType(18, 4), "percent": T.DecimalType(9, 4),
+}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    # no DDL parsing here: that needs a running session, and this module is imported without one
+    pairs = (field.split() for field in spec.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 SALES = _struct(
@@ -24,8 +32,8 @@ STOCK_LOG = _struct(
 
 SUPPLY_ORDERS = _struct(
     "order_id string, supply_id int, supply_name string, date date, supply_order string, "
-    "status string, total_price decimal(18,4), discount_perc decimal(9,4), coin string, "
-    "total_price_ILS decimal(18,4), details string"
+    "status string, total_price money, discount_perc percent, coin string, "
+    "total_price_ILS money, details string"
 )
 
 ORDERS = _struct(
