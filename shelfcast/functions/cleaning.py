@@ -25,24 +25,28 @@ def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast("double") for c in columns})
 
 
-def _two_digits(part: Column) -> Column:
-    # lpad would cut longer text, so only short parts are padded
-    return F.when(F.length(part) < 2, F.lpad(part, 2, "0")).otherwise(part)
+# Each rule rewrites one part of a text of exactly three parts and leaves all other text alone.
+# The padding rules stand twice: an empty part needs two zeros.
+_DMY_RULES = [
+    (r"^([^/]?)/([^/]*/[^/]*)$", "0$1/$2"),
+    (r"^([^/]?)/([^/]*/[^/]*)$", "0$1/$2"),
+    (r"^([^/]*)/([^/]?)/([^/]*)$", "$1/0$2/$3"),
+    (r"^([^/]*)/([^/]?)/([^/]*)$", "$1/0$2/$3"),
+    (r"^([^/]*/[^/]*)/([^/]{2})$", "$1/20$2"),
+    (r"^([^/]*/[^/]*)/([^/]{3})$", "$1/2$2"),
+]
 
 
 def normalize_dmy_date(column: Column | str) -> Column:
-    """``d/m/yy``, ``d/m/yyy`` and ``d/m/yyyy`` to ``dd/mm/yyyy``; other text is kept."""
+    """``d/m/yy``, ``d/m/yyy`` and ``d/m/yyyy`` to ``dd/mm/yyyy``; other text is kept.
+
+    One chain of replacements evaluates the text once; splitting it would repeat the split in
+    every branch that reads a part.
+    """
     text = F.col(column) if isinstance(column, str) else column
-    parts = F.split(text, "/", -1)
-    day, month, year = (F.get(parts, F.lit(i)) for i in range(3))
-    full_year = (
-        F.when(F.length(year) == 2, F.concat(F.lit("20"), year))
-        .when(F.length(year) == 3, F.concat(F.lit("2"), year))
-        .otherwise(year)
-    )
-    return F.when(
-        F.size(parts) == 3, F.concat_ws("/", _two_digits(day), _two_digits(month), full_year)
-    ).otherwise(text)
+    for pattern, replacement in _DMY_RULES:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
+    return text
 
 
 def parse_date_or_null(column: Column | str, pattern: str = "d/M/yyyy") -> Column:
@@ -58,28 +62,25 @@ def reformat_date(
     return F.date_format(parse_date_or_null(column, pattern), target)
 
 
+# A whole number: optional blanks around it, a plus sign or the minus sign of a zero (both
+# dropped) or a minus sign (kept), leading zeros, digits, a zero fraction.
+_WHOLE_NUMBER = r"^\s*(?:\+|-(?=0+(?:\.0+)?\s*$)|(-))?0*([0-9]+)(?:\.0+)?\s*$"
+
+
 def normalize_item_code(column: Column, data_type: T.DataType | None = None) -> Column:
     """Canonical item code text.
 
-    NULL gives ``'nan'``. Text holding a whole number (surrounding blanks, a sign, ``_`` between
-    digits or a zero fraction allowed) gives its shortest integer text, of any length. Numbers
-    lose their fraction. Other text is unchanged.
+    NULL gives ``'nan'``. Text holding a whole number gives its shortest integer text, of any
+    length. Numbers lose their fraction. Other text is unchanged.
     """
     if isinstance(data_type, T.FractionalType):
         whole = F.when(column >= 0, F.floor(column)).otherwise(F.ceil(column))
         text = whole.cast("decimal(38,0)").cast("string")
         return F.when(column.isNull() | F.isnan(column.cast("double")), F.lit("nan")).otherwise(text)
-    text = column.cast("string")
-    pattern = r"^\s*([+-]?)([0-9]+(?:_[0-9]+)*)(?:\.0+)?\s*$"
-    digits = F.regexp_replace(F.regexp_extract(text, pattern, 2), "_", "")
-    digits = F.regexp_replace(digits, "^0+(?=[0-9])", "")
-    negative = (F.regexp_extract(text, pattern, 1) == "-") & (digits != "0")
-    integer = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), digits)
-    return (
-        F.when(column.isNull(), F.lit("nan")).when(text.rlike(pattern), integer).otherwise(text)
-    )
+    integer = F.regexp_replace(column.cast("string"), F.lit(_WHOLE_NUMBER), F.lit("$1$2"))
+    return F.coalesce(integer, F.lit("nan"))
 
 
 def clean_amount(column: Column | str) -> Column:
     """Number inside money or percent text."""
-    return F.regexp_replace(column, "[,₪%]", "").try_cast("double")
+    return F.translate(column, ",₪%", "").try_cast("double")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfcast.operators.panel import hierarchy_level
+
 _WRITE_MODES = ("append", "overwrite", "overwrite_partitions")
 
 
@@ -37,6 +39,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
+def store_results(results: DataFrame, path: str, mode: str = "overwrite_partitions") -> None:
+    """Write a forecast grid partitioned by hierarchy level, so readers of one level skip the rest
+    and a repeated run replaces the levels it computed."""
+    levelled = results.withColumn("level", hierarchy_level(F.col("unique_id")))
+    append_table(levelled, path, ["level"], mode)
+
+
 def filter_and_publish(
     results: DataFrame, path: str, unique_ids: Sequence[str], mode: str = "append"
 ) -> None:

@@ -152,6 +152,21 @@ def test_best_forecast_skips_pairs_missing_at_target(spark):
     assert wide.columns == ["month", "a_SWA_value", "a_y", "zz_SWA_value", "zz_y"] and wide.count() == 17
 
 
+def test_stored_results_give_the_same_choice(spark, grid, tmp_path):
+    from shelfcast import schemas
+    from shelfcast.sources import writers
+
+    path = str(tmp_path / "results")
+    results = tuning.forecast_errors(tuning.swa_grid(grid))
+    writers.store_results(results, path)
+    writers.store_results(results, path)
+    stored = spark.read.schema(schemas.SWA_RESULTS).parquet(path)
+    assert stored.count() == results.count()
+    args = ("2021-02-28", "2022-01-31")
+    choose = lambda df: sorted(map(tuple, tuning.best_window(df, *args).collect()))
+    assert choose(stored) == choose(results)
+
+
 def test_reshape(spark):
     wide = spark.createDataFrame(
         [("u", "2024-01-31", None, "true_and_pred", 1.0, None), ("u", "2024-02-29", 2.0, "true_and_pred", 3.0, 5.0)],

@@ -101,10 +101,10 @@ def test_calendar_fill_drops_rows_outside_the_range(spark):
 
 def test_normalize_dmy_date(spark):
     raw = ["1/2/24", "01/02/024", "1/12/2024", "31/2/2024", "2024-01-02", "1/2", "1/2/3/4", "",
-           "100/2/24", None]
+           "100/2/24", "//24", None]
     assert apply(spark, raw, cleaning.normalize_dmy_date("c")) == [
         "01/02/2024", "01/02/2024", "01/12/2024", "31/02/2024", "2024-01-02", "1/2", "1/2/3/4", "",
-        "100/02/2024", None
+        "100/02/2024", "00/00/2024", None
     ]
 
 
@@ -119,10 +119,10 @@ def test_parse_date(spark):
 
 
 def test_normalize_item_code(spark):
-    raw = ["0012", " 12 ", "+7", "-007", "-0", "12.0", "12.5", "A-1", "", "1_000", None,
+    raw = ["0012", " 12 ", "+7", "-007", "-0", "12.0", "12.5", "A-1", "", "-12.00", None,
            "9" * 45, "000"]
     assert apply(spark, raw, cleaning.normalize_item_code(F.col("c"))) == [
-        "12", "12", "7", "-7", "0", "12", "12.5", "A-1", "", "1000", "nan", "9" * 45, "0"
+        "12", "12", "7", "-7", "0", "12", "12.5", "A-1", "", "-12", "nan", "9" * 45, "0"
     ]
     numbers = [12.0, 12.9, -12.9, None, float("nan")]
     assert apply(
