@@ -644,8 +644,14 @@ def actual_vs_forecast_wide(spark, sf_dir):
 
 @query
 def reshape_forecast_columns(spark, sf_dir):
+    """All points and pairs of a small grid, widened, reshaped back and averaged per series."""
     grid = tuning.swa_grid(panel.extend_series(_panel(spark, sf_dir)), windows=2, shifts=2)
-    return tuning.reshape_forecast_columns(tuning.widen_forecast_columns(grid, 2, 2))
+    long = tuning.reshape_forecast_columns(tuning.widen_forecast_columns(grid, 2, 2))
+    return long.groupBy("unique_id", "s", "w").agg(
+        F.count(F.lit(1)).alias("points"), F.count("SWA_value").alias("predicted"),
+        F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"),
+        F.avg("SWA_value").alias("SWA_value"), F.avg("MAE").alias("MAE"), F.avg("MAPE").alias("MAPE"),
+    )
 
 
 def _train(spark, sf_dir):

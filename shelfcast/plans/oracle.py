@@ -585,9 +585,10 @@ _add("actual_vs_forecast_wide", ["best_forecast"], f"""
     FROM best_forecast WHERE unique_id LIKE '%\\_category' ESCAPE '\\' GROUP BY 1""")
 _CTES["small_results"] = (["small_grid"], _results("small_grid"))
 _add("reshape_forecast_columns", ["small_results"], f"""
-    SELECT unique_id, {_day('ds')}, round(y, 4) AS y, s::int AS s, w::int AS w,
-           round(v, 4) AS "SWA_value", round(mae, 4) AS "MAE", round(mape, 4) AS "MAPE"
-    FROM small_results""")
+    SELECT unique_id, s::int AS s, w::int AS w, count(*) AS points, count(v) AS predicted,
+           {_day('min(ds)', 'first_ds')}, {_day('max(ds)', 'last_ds')},
+           round(avg(v), 4) AS "SWA_value", round(avg(mae), 4) AS "MAE", round(avg(mape), 4) AS "MAPE"
+    FROM small_results GROUP BY 1, 2, 3""")
 _add("baseline_backtest", ["backtest"], f"""
     SELECT unique_id, fold::int AS fold, {_day('cutoff')}, h::int AS h, {_day('ds')}, round(y, 4) AS y,
            round(Naive, 4) AS "Naive", round(SeasonalNaive, 4) AS "SeasonalNaive",
