@@ -14,6 +14,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A split of a hot join key is worth an extra exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The JVM never compiles a method above 8000 bytes of bytecode: wide cleaning projections run
+    # about twice as fast when generated as several methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
