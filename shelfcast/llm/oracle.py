@@ -17,5 +17,39 @@ FROM d
 """
 
 
+OP10 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE
+    WHEN len(words) = 0 THEN []
+    WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)])
+  END AS grams
+  FROM w
+), g AS (
+  SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), edges AS (
+  SELECT x, y FROM pairs UNION SELECT y, x FROM pairs
+), reach(v, r) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT reach.v, edges.y FROM reach JOIN edges ON reach.r = edges.x
+), c AS (
+  SELECT v, min(r) AS component_id FROM reach GROUP BY v
+)
+SELECT s.doc_id, len(s.grams) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN c ON c.v = s.doc_id
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1}
+    return {"op1_exact_dedup": OP1, "op10_minhash_near_dedup": OP10}
