@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import exact_dedup, near_dedup
+from shelfcast.llm import exact_dedup, near_dedup, packing, token_matrices
 from shelfcast.llm.storage import read
+from shelfcast.session import scratch_path
+
+#: Name of the vocabulary file, and the folder that holds it unless a caller names another.
+VOCABULARY = "byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +20,24 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"), digest_all=True)
 
 
+def vocabulary() -> str:
+    """Place of the vocabulary file, which is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary(), with_ids=False).drop("ids")
+
+
+def op7_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = token_matrices.write_matrices(
+        read(spark, sf_dir, "documents"), vocabulary(), scratch_path(spark, "token-matrices")
+    )
+    return token_matrices.pieces(written)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -23,5 +45,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_packing": op3_packing,
+        "op7_token_matrices": op7_token_matrices,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
