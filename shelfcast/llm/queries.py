@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import exact_dedup, near_dedup, packing, token_matrices
+from shelfcast.llm import exact_dedup, near_dedup, packing, token_matrices, toxicity
 from shelfcast.llm.storage import read
 from shelfcast.session import scratch_path
 
@@ -31,6 +31,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary(), with_ids=False).drop("ids")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = token_matrices.write_matrices(
         read(spark, sf_dir, "documents"), vocabulary(), scratch_path(spark, "token-matrices")
@@ -46,6 +52,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op3_packing": op3_packing,
+        "op5_toxicity": op5_toxicity,
         "op7_token_matrices": op7_token_matrices,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
