@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import exact_dedup, near_dedup, packing, token_matrices, toxicity
+from shelfcast.llm import (
+    exact_dedup, near_dedup, packing, substring_dedup, token_matrices, toxicity,
+)
 from shelfcast.llm.storage import read
 from shelfcast.session import scratch_path
 
@@ -20,6 +22,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_strings(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def vocabulary() -> str:
     """Place of the vocabulary file, which is installed on every machine."""
     import public_tokenizers
@@ -51,6 +57,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_packing": op3_packing,
         "op5_toxicity": op5_toxicity,
         "op7_token_matrices": op7_token_matrices,
