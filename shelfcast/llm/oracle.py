@@ -17,6 +17,19 @@ FROM d
 """
 
 
+OP6 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS latest FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> latest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> latest THEN latest END AS refers_to
+FROM m
+"""
+
 OP10 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(
@@ -52,4 +65,4 @@ FROM s JOIN c ON c.v = s.doc_id
 
 
 def statements() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op10_minhash_near_dedup": OP10}
+    return {"op1_exact_dedup": OP1, "op6_warc": OP6, "op10_minhash_near_dedup": OP10}

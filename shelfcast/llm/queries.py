@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfcast.llm import (
-    exact_dedup, near_dedup, packing, substring_dedup, token_matrices, toxicity,
+    decontaminate, exact_dedup, near_dedup, packing, substring_dedup, token_matrices, toxicity,
+    warc,
 )
 from shelfcast.llm.storage import read
 from shelfcast.session import scratch_path
@@ -43,6 +44,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archive(read(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op7_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = token_matrices.write_matrices(
         read(spark, sf_dir, "documents"), vocabulary(), scratch_path(spark, "token-matrices")
@@ -50,6 +59,10 @@ def op7_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_matrices.pieces(written)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaked_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -60,6 +73,8 @@ def queries() -> dict[str, Query]:
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_packing": op3_packing,
         "op5_toxicity": op5_toxicity,
+        "op6_warc": op6_warc,
         "op7_token_matrices": op7_token_matrices,
+        "op9_decontamination": op9_decontamination,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
