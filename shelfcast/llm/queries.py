@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfcast.llm import (
-    decontaminate, exact_dedup, near_dedup, packing, substring_dedup, token_matrices, toxicity,
+    decontaminate, exact_dedup, near_dedup, packing, resharding, substring_dedup, token_matrices, toxicity,
     warc,
 )
 from shelfcast.llm.storage import read
@@ -16,6 +17,8 @@ from shelfcast.session import scratch_path
 #: Name of the vocabulary file, and the folder that holds it unless a caller names another.
 VOCABULARY = "byte_bpe_50k.json"
 
+OLD_SHARDS, NEW_SHARDS = 5, 8
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -59,6 +62,16 @@ def op7_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_matrices.pieces(written)
 
 
+def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = resharding.reshard(
+        read(spark, sf_dir, "documents"), scratch_path(spark, "shards"), OLD_SHARDS, NEW_SHARDS
+    )
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaked_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -75,6 +88,7 @@ def queries() -> dict[str, Query]:
         "op5_toxicity": op5_toxicity,
         "op6_warc": op6_warc,
         "op7_token_matrices": op7_token_matrices,
+        "op8_resharding": op8_resharding,
         "op9_decontamination": op9_decontamination,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
