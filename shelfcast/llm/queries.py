@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.llm import (
-    decontaminate, exact_dedup, near_dedup, packing, resharding, substring_dedup, token_matrices, toxicity,
+    decontaminate, exact_dedup, near_dedup, packing, resharding, secrets, substring_dedup, token_matrices, toxicity,
     warc,
 )
 from shelfcast.llm.storage import read
@@ -41,6 +41,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary(), with_ids=False).drop("ids")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    return found.where("is_secret").select("doc_id", "position", "key", "value", F.round("probability", 6).alias("probability"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -85,6 +90,7 @@ def queries() -> dict[str, Query]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_packing": op3_packing,
+        "op4_secret_scan": op4_secret_scan,
         "op5_toxicity": op5_toxicity,
         "op6_warc": op6_warc,
         "op7_token_matrices": op7_token_matrices,
