@@ -20,7 +20,7 @@ def suffix_ranks(text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarr
         key = (key << 9) | padded[j: j + n]
     levels, length = [], _FIRST
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.ones(n, np.int64)
         new[1:] = key[order[1:]] != key[order[:-1]]
         rank = np.empty(n, np.int64)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.llm import text as tx
 from shelfcast.llm.run_length_index import repeated_windows
-from shelfcast.llm.storage import BROADCAST_BYTES, small_enough, staged
+from shelfcast.llm.storage import BROADCAST_BYTES, staged
 
 WIDTH = 400
 GRAM = 100
@@ -56,13 +56,15 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 
 def _owners(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: first window, windows, anchor's place, its hash, row."""
+    """Runs of windows with one anchor: first window, windows, anchor's place, hash of the anchor,
+    hash of the whole segment, row."""
     none = np.zeros(0, np.int64)
     sizes = np.diff(offsets)
     if len(data) < WIDTH or (sizes < WIDTH).all():
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     places = np.arange(len(data) - GRAM + 1)
-    hashes = tx.span_hash(tx.prefix_hash(data), places, places + GRAM)
+    prefix = tx.prefix_hash(data)
+    hashes = tx.span_hash(prefix, places, places + GRAM)
     low = np.uint64((1 << _PLACE_BITS) - 1)
     least = _smallest((hashes & ~low) | places.astype(np.uint64), _REACH)
     owner = (least & low).astype(np.int64)
@@ -75,37 +77,36 @@ def _owners(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     at = np.flatnonzero(new)
     count = np.diff(np.concatenate((at, [len(windows)])))
     start, place = windows[at], own[at]
-    return start, count, place, hashes[place].view("i8"), np.searchsorted(offsets, start, side="right") - 1
+    whole = tx.span_hash(prefix, start, start + count + (WIDTH - 1))
+    return start, count, place, hashes[place].view("i8"), whole.view("i8"), np.searchsorted(offsets, start, side="right") - 1
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, before, data, offsets in _parts(batch.column("text")):
-            start, count, place, anchor, row = _owners(data, offsets)
+            start, count, place, anchor, digest, row = _owners(data, offsets)
             pick = pa.array(first + row)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").take(pick), batch.column("hash").take(pick),
                     pa.array(start - offsets[row] + before, pa.int64()), pa.array(count, pa.int32()),
-                    pa.array(place - start, pa.int32()), pa.array(anchor, pa.int64()),
+                    pa.array(place - start, pa.int32()), pa.array(anchor, pa.int64()), pa.array(digest, pa.int64()),
                 ],
-                names=["id", "hash", "start", "windows", "lead", "anchor"],
+                names=["id", "hash", "start", "windows", "lead", "anchor", "digest"],
             )
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text of each live run of windows; a text's list of runs is as long as the text at most."""
-    names = ["anchor", "digest", "id", "hash", "start", "windows", "lead", "segment"]
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    """The text of each listed run of windows; a text's list is as long as the text at most."""
+    names = ["anchor", "digest", "windows", "lead", "segment"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     for batch in batches:
         for i in range(batch.num_rows):
             data = batch.column("text")[i].as_py().encode()
-            doc, key = batch.column("id")[i].as_py(), batch.column("hash")[i].as_py()
-            out = []
-            for run in batch.column("runs")[i].as_py():
-                segment = data[run["start"]: run["start"] + run["windows"] + WIDTH - 1]
-                digest = hashlib.blake2b(segment, digest_size=16, salt=str(run["lead"]).encode()).digest()
-                out.append((run["anchor"], digest, doc, key, run["start"], run["windows"], run["lead"], segment))
+            out = [
+                (r["anchor"], r["digest"], r["windows"], r["lead"], data[r["start"]: r["start"] + r["windows"] + WIDTH - 1])
+                for r in batch.column("runs")[i].as_py()
+            ]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names
             )
@@ -121,11 +122,11 @@ def _block(table: pa.Table) -> pa.Table:
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             out.append((anchors[i], digests[i], first[i] + a, first[i] + b - 1))
     columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["anchor", "digest", "a", "b"])
 
 
-_MARKS = "anchor long, digest binary, a int, b int"
+_MARKS = "anchor long, digest long, a int, b int"
 
 
 def _halved(rows: DataFrame, width: int) -> DataFrame:
@@ -215,49 +216,43 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     and last start of side-by-side windows that occur at another place too."""
     runs = staged(
         texts.where(F.octet_length("text") >= WIDTH).mapInArrow(
-            _anchors, "id long, hash long, start long, windows int, lead int, anchor long"
+            _anchors, "id long, hash long, start long, windows int, lead int, anchor long, digest long"
         ),
         "repeat-anchors",
     )
-    shared = staged(runs.groupBy("anchor").count().where("count > 1").select("anchor"), "repeat-shared")
-    live = staged(runs.join(small_enough(shared, 32), "anchor"), "repeat-live")
-    of_text = staged(
-        live.groupBy("id", "hash").agg(F.collect_set(F.struct("anchor", "start", "windows", "lead")).alias("runs")),
-        "repeat-runs",
-    )
-    keys = small_enough(of_text.select("id", "hash"), 48)
-    segments = staged_segments(texts.join(keys, ["id", "hash"], "left_semi").join(of_text, ["id", "hash"]))
-
+    shared = runs.groupBy("anchor").count().where("count > 1").select("anchor")
+    live = staged(runs.join(shared, "anchor", "left_semi"), "repeat-live")
     groups = staged(
-        segments.groupBy("anchor", "digest").agg(
+        live.groupBy("anchor", "digest", "windows", "lead").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "hash", "start")).alias("one")
         ),
         "repeat-groups",
     )
+    # one text of each different segment, where an anchor has several
     mixed = groups.groupBy("anchor").count().where("count > 1").select("anchor")
-    ones = groups.join(mixed, "anchor", "left_semi").select("anchor", "digest", "one.id", "one.hash", "one.start")
-    distinct = segments.join(ones, ["anchor", "digest", "id", "hash", "start"], "left_semi").dropDuplicates(
-        ["anchor", "digest"]
-    )
-    marks = staged(_marks(distinct), "repeat-marks")
-
-    places = segments.drop("segment")
-    whole = places.join(groups.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select(
-        "id", "hash", F.col("start").alias("a"), (F.col("start") + F.col("windows") - 1).alias("b")
+    ones = groups.join(mixed, "anchor", "left_semi").groupBy("one.id", "one.hash").agg(
+        F.collect_list(F.struct("anchor", "digest", "windows", "lead", "one.start")).alias("runs")
     )
-    anchor_at = F.col("start") + F.col("lead")
-    some = places.join(marks, ["anchor", "digest"]).select(
-        "id", "hash", (anchor_at + F.col("a")).alias("a"), (anchor_at + F.col("b")).alias("b")
+    ones = staged(ones, "repeat-ones")
+    size = ones.agg(F.sum(F.size("runs") * 32 + 64)).first()[0] or 0
+    wanted = F.broadcast(ones) if size <= BROADCAST_BYTES else ones
+    # rows that repeat id and text give the same segments
+    distinct = staged(
+        texts.join(wanted, ["id", "hash"]).select("text", "runs")
+        .mapInArrow(_segments, "anchor long, digest long, windows int, lead int, segment binary"),
+        "repeat-segments", "zstd",
+    ).dropDuplicates(["anchor", "digest", "windows", "lead"])
+    marks = _marks(distinct)
+
+    whole = groups.where("n > 1").select(
+        "anchor", "digest", (-F.col("lead")).alias("a"), (F.col("windows") - F.col("lead") - 1).alias("b")
     )
-    return staged(
-        whole.union(some).groupBy("id", "hash").agg(F.collect_set(F.struct("a", "b")).alias("ranges")), "repeat-ranges"
-    )
-
-
-def staged_segments(rows: DataFrame) -> DataFrame:
-    """Segments of ``rows`` (id, hash, text, runs), written; neighbours overlap, so they pack well."""
-    schema = "anchor long, digest binary, id long, hash long, start long, windows int, lead int, segment binary"
-    return staged(rows.select("id", "hash", "text", "runs").mapInArrow(_segments, schema), "repeat-segments", "zstd")
+    # few ranges a segment: its windows that occur again, side by side
+    found = marks.union(whole).groupBy("anchor", "digest").agg(F.collect_list(F.struct("a", "b")).alias("found"))
+    at = F.col("start") + F.col("lead")
+    places = live.select("id", "hash", "anchor", "digest", at.alias("at")).join(found, ["anchor", "digest"])
+    spans = F.transform("found", lambda r: F.struct((F.col("at") + r["a"]).alias("a"), (F.col("at") + r["b"]).alias("b")))
+    return places.groupBy("id", "hash").agg(F.flatten(F.collect_set(spans)).alias("ranges"))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,9 +298,7 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id_, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     texts = docs.select(*_key(id_, text), id_.alias("own"), text.alias("text"))
     ranges = repeated_ranges(texts.select("id", "hash", "text"))
-    size = ranges.agg(F.sum(F.size("ranges") * 16 + 64)).first()[0] or 0
-    marked = F.broadcast(ranges) if size <= BROADCAST_BYTES else ranges
-    rows = texts.join(marked, ["id", "hash"], "left").select(F.col("own").alias("id"), "text", "ranges")
+    rows = texts.join(ranges, ["id", "hash"], "left").select(F.col("own").alias("id"), "text", "ranges")
     return rows.mapInArrow(
         _remove,
         "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
