@@ -21,32 +21,42 @@ def normalize_null_tokens(df: DataFrame, token: str = "None") -> DataFrame:
 
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Listed columns to double; text that is no number becomes NULL."""
-    return df.withColumns({c: F.col(c).try_cast("double") for c in columns})
+    """Listed columns to double; text that is no decimal number becomes NULL."""
+    return df.withColumns({c: decimal_number(F.col(c)) for c in columns})
 
 
-# Each rule rewrites one part of a text of exactly three parts and leaves all other text alone.
-# The padding rules stand twice: an empty part needs two zeros.
-_DMY_RULES = [
-    (r"^([^/]?)/([^/]*/[^/]*)$", "0$1/$2"),
-    (r"^([^/]?)/([^/]*/[^/]*)$", "0$1/$2"),
-    (r"^([^/]*)/([^/]?)/([^/]*)$", "$1/0$2/$3"),
-    (r"^([^/]*)/([^/]?)/([^/]*)$", "$1/0$2/$3"),
-    (r"^([^/]*/[^/]*)/([^/]{2})$", "$1/20$2"),
-    (r"^([^/]*/[^/]*)/([^/]{3})$", "$1/2$2"),
-]
+# A decimal number; blanks around it don't count.
+_DECIMAL = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
+
+
+def decimal_number(text: Column, target: T.DataType | str = "double") -> Column:
+    """A column's number. Text that is no decimal number becomes NULL: a cast alone would take type
+    suffixes, hexadecimal forms, ``nan`` and ``inf`` for numbers. Infinite results are NULL too."""
+    value = F.when(text.cast("string").rlike(_DECIMAL), text.try_cast("double"))
+    value = F.when(F.abs(value) < float("inf"), value)
+    return value if target == "double" else value.try_cast(target)
 
 
 def normalize_dmy_date(column: Column | str) -> Column:
     """``d/m/yy``, ``d/m/yyy`` and ``d/m/yyyy`` to ``dd/mm/yyyy``; other text is kept.
 
-    One chain of replacements evaluates the text once; splitting it would repeat the split in
-    every branch that reads a part.
+    The text is split once: the parts are bound by the lambda of a one-element array.
     """
     text = F.col(column) if isinstance(column, str) else column
-    for pattern, replacement in _DMY_RULES:
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
-    return text
+
+    def two(part: Column) -> Column:
+        return F.when(F.length(part) < 2, F.lpad(part, 2, "0")).otherwise(part)
+
+    def four(part: Column) -> Column:
+        return F.when(F.length(part) == 2, F.concat(F.lit("20"), part)).when(
+            F.length(part) == 3, F.concat(F.lit("2"), part)
+        ).otherwise(part)
+
+    def rebuilt(parts: Column) -> Column:
+        whole = F.concat(two(parts[0]), F.lit("/"), two(parts[1]), F.lit("/"), four(parts[2]))
+        return F.when(F.size(parts) == 3, whole).otherwise(F.array_join(parts, "/"))
+
+    return F.transform(F.array(F.split(text, "/")), rebuilt)[0]
 
 
 def parse_date_or_null(column: Column | str, pattern: str = "d/M/yyyy") -> Column:
@@ -74,8 +84,11 @@ def normalize_item_code(column: Column, data_type: T.DataType | None = None) ->
     length. Numbers lose their fraction. Other text is unchanged.
     """
     if isinstance(data_type, T.FractionalType):
-        whole = F.when(column >= 0, F.floor(column)).otherwise(F.ceil(column))
-        text = whole.cast("decimal(38,0)").cast("string")
+        # from 2 ** 53 on a double has no fraction, and its floor would end at the largest long
+        whole = F.when(F.abs(column) >= 2.0**53, column.cast("decimal(38,0)")).when(
+            column >= 0, F.floor(column).cast("decimal(38,0)")
+        ).otherwise(F.ceil(column).cast("decimal(38,0)"))
+        text = F.when(F.abs(column) < 1e38, whole.cast("string")).otherwise(column.cast("string"))
         return F.when(column.isNull() | F.isnan(column.cast("double")), F.lit("nan")).otherwise(text)
     integer = F.regexp_replace(column.cast("string"), F.lit(_WHOLE_NUMBER), F.lit("$1$2"))
     return F.coalesce(integer, F.lit("nan"))
@@ -83,4 +96,4 @@ def normalize_item_code(column: Column, data_type: T.DataType | None = None) ->
 
 def clean_amount(column: Column | str) -> Column:
     """Number inside money or percent text."""
-    return F.translate(column, ",₪%", "").try_cast("double")
+    return decimal_number(F.translate(column, ",₪%", ""))

@@ -20,10 +20,14 @@ def auto_ar_forecast(panel: DataFrame, test_part: str = "test") -> DataFrame:
     """Fit mean, drift, AR(1) and AR(1)-on-differences per series on the train part, keep the one
     of smallest AICc and predict as many steps as the test part has months.
 
-    ``panel`` is the output of ``time_index_split``. The lags, the least-squares sums and the
-    last values come from one partitioning by series; a series is one row from there on.
+    ``panel`` is the output of ``time_index_split``. The lags, the least-squares sums and the last
+    values come from one partitioning by series; a series is one row from there on. The number of
+    steps is asked for with a value of ``y``, so its subquery reads the shuffle of the panel.
     """
-    steps = panel.where(F.col("part") == test_part).agg(F.count_distinct("time_idx")).scalar()
+    index = F.when(F.col("part") == test_part, F.col("time_idx"))
+    steps = panel.agg(
+        F.struct((F.max(index) - F.min(index) + 1).alias("n"), F.max("y").alias("top"))
+    ).scalar()["n"]
     by_series = Window.partitionBy("unique_id").orderBy("time_idx")
     train = (
         panel.where(F.col("part") != test_part)

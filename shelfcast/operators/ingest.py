@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfcast import schemas
 from shelfcast.functions.calendar import calendar_fill
 from shelfcast.functions.cleaning import (
-    clean_amount, normalize_dmy_date, normalize_item_code, parse_date_or_null,
+    clean_amount, decimal_number, normalize_dmy_date, normalize_item_code, parse_date_or_null,
 )
 
 
@@ -108,11 +108,14 @@ def conform_stock_log(feed: DataFrame, movement: str = schemas.MOVEMENT_FEED) ->
 
 def conform_to(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project to a fixed schema: absent columns are NULL, values that do not fit are NULL."""
-    present = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in present
-             else F.lit(None).cast(f.dataType)).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def fitted(field: T.StructField) -> Column:
+        if field.name not in kinds:
+            return F.lit(None).cast(field.dataType)
+        column = F.col(f"`{field.name}`")
+        if isinstance(kinds[field.name], T.StringType) and isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            return decimal_number(column, field.dataType)
+        return column.try_cast(field.dataType)
+
+    return df.select(*[fitted(f).alias(f.name) for f in schema.fields])

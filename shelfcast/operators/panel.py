@@ -117,19 +117,21 @@ def time_index_split(panel: DataFrame, test_start: str) -> DataFrame:
     The test part begins with the month-end of ``test_start``; a month missing from the panel is
     an error.
     """
-    months = panel.select("ds").distinct()
-    # one row per calendar month: a single window group and a small broadcast
-    numbered = months.withColumn("time_idx", F.row_number().over(Window.orderBy("ds")) - 1)
+    # the months are one calendar-sized array, asked for with a value of y as in ``densify``
+    months = panel.agg(
+        F.struct(F.array_sort(F.collect_set("ds")).alias("months"), F.max("y").alias("top"))
+    ).scalar()["months"]
     test_ds = F.last_day(F.lit(test_start).cast("date"))
-    first_test = numbered.where(F.col("ds") == test_ds).agg(F.max("time_idx")).scalar()
-    checked = F.coalesce(
-        first_test,
-        F.raise_error(F.lit(f"no rows in the test month of {test_start}")).cast("int"),
-    )
     return (
-        panel.join(F.broadcast(numbered), "ds").withColumn("_first", checked)
+        panel.withColumn("_months", months)
+        .withColumn("_first", F.array_position("_months", test_ds))
         .withColumn(
-            "part", F.when(F.col("time_idx") < F.col("_first"), "train").otherwise("test")
+            "_first",
+            F.when(F.col("_first") > 0, F.col("_first")).otherwise(
+                F.raise_error(F.lit(f"no rows in the test month of {test_start}")).cast("long")
+            ),
         )
-        .drop("_first")
+        .withColumn("time_idx", (F.array_position("_months", F.col("ds")) - 1).cast("int"))
+        .withColumn("part", F.when(F.col("time_idx") < F.col("_first") - 1, "train").otherwise("test"))
+        .drop("_months", "_first")
     )

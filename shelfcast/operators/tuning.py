@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.operators.shared import spread
 
 METRICS = ("MAE", "MAPE")
-# Mean metrics are compared at this many decimals, so equal pairs tie whatever order they were
-# summed in.
+# Mean metrics are compared at this many digits behind the first, whatever their size, so equal
+# pairs tie in whichever order they were summed.
 SCORE_DIGITS = 9
 
 
+def significant(value: Column, digits: int = SCORE_DIGITS) -> Column:
+    """``value`` at 1 + ``digits`` significant digits."""
+    return F.format_string(f"%.{digits}e", value).cast("double")
+
+
 def swa_grid(series: DataFrame, windows: int = 12, shifts: int = 12) -> DataFrame:
     """For every point and every (s, w): mean of the ``w`` values that end ``s`` rows earlier,
     NULL unless all ``w`` exist.
@@ -77,7 +82,11 @@ def window_scores(
     return (
         results.where(F.col("ds").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
         .groupBy("unique_id", "s", "w")
-        .agg(F.round(F.avg(_metric(metric)), SCORE_DIGITS).alias(f"{metric}_mean"))
+        .agg(F.avg(_metric(metric)).alias("_mean"))
+        .select(
+            "unique_id", "s", "w",
+            F.when(F.col("_mean").isNotNull(), significant(F.col("_mean"))).alias(f"{metric}_mean"),
+        )
     )
 
 
@@ -100,25 +109,24 @@ def best_window_forecast(
 ) -> DataFrame:
     """Actual and predicted series of each series' best (s, w) up to the ``target`` month-end.
 
-    Pairs without a prediction at the target are out. One row per series is joined back, which
-    also filters the results before any shuffle of theirs.
+    Pairs without a prediction at the target are out. The points of a pair travel as an array,
+    bounded by the months of the range, so the grid is computed once and nothing is joined back.
     """
     target_ds = F.last_day(F.lit(target).cast("date"))
     rows = results.where(F.col("ds").between(F.lit(start).cast("date"), target_ds))
     if unique_ids:
         rows = rows.where(F.col("unique_id").isin(list(unique_ids)))
     missing = (F.col("ds") == target_ds) & F.col("SWA_value").isNull()
-    scores = rows.groupBy("unique_id", "s", "w").agg(
-        F.round(F.avg(_metric(metric)), SCORE_DIGITS).alias("_score"),
-        F.bool_or(missing).alias("_missing"),
+    pairs = rows.groupBy("unique_id", "s", "w").agg(
+        F.avg(_metric(metric)).alias("_mean"), F.bool_or(missing).alias("_missing"),
+        F.collect_list(F.struct("ds", "y", "SWA_value", "MAE", "MAPE")).alias("_points"),
     )
-    best = F.min(F.struct("_score", *_tie_order(tie_order)))
+    order = F.struct(significant(F.col("_mean")), *_tie_order(tie_order))
     chosen = (
-        scores.where(~F.col("_missing") & F.col("_score").isNotNull())
-        .groupBy("unique_id").agg(best.alias("_best"))
-        .select("unique_id", F.col("_best.s").alias("s"), F.col("_best.w").alias("w"))
+        pairs.where(~F.col("_missing") & F.col("_mean").isNotNull())
+        .groupBy("unique_id").agg(F.min_by(F.struct("s", "w", "_points"), order).alias("_best"))
     )
-    return rows.join(chosen, ["unique_id", "s", "w"]).select(
+    return chosen.select("unique_id", "_best.s", "_best.w", F.inline("_best._points")).select(
         "unique_id", "ds", "s", "w", "y", "SWA_value", "MAE", "MAPE"
     )
 

@@ -8,9 +8,9 @@ from shelfcast.plans.catalog import (
 
 _SQL: dict[str, str] = {}
 
-_ITEM = (
-    "lpad(substr(p.p_brand, 7), 2, '0') || lpad(((p.p_partkey // 100) % 1000)::varchar, 3, '0')"
-    " || lpad((p.p_partkey % 100)::varchar, 3, '0')"
+_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_ITEM = "lpad(substr(p.p_brand, 7), 2, '0')" + "".join(
+    f" || substr('{_DIGITS}', ((p.p_partkey // {62 ** place}) % 62 + 1)::int, 1)" for place in (5, 3, 1, 4, 2, 0)
 )
 
 # Common table expressions, each with the names it needs before it.
@@ -42,7 +42,7 @@ _CTES: dict[str, tuple[list[str], str]] = {
     "erp": ([], """
         SELECT l.l_shipdate::date AS date, l.l_shipdate::date + 7 AS date_supply,
                l.l_partkey::varchar AS sku, l.l_quantity AS quantity,
-               round(l.l_discount * 100) AS discount_percentage,
+               CASE WHEN l.l_linenumber <> 7 THEN round(l.l_discount * 100) END AS discount_percentage,
                l.l_extendedprice AS price_after_discount, p.p_retailprice AS price_per_unit,
                l.l_suppkey::varchar AS code_sales_person,
                p.p_name || ' 25 "' || p.p_type || '", loose' AS description_sku,
@@ -57,7 +57,8 @@ _CTES: dict[str, tuple[list[str], str]] = {
                CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_quantity END AS tquant,
                CASE WHEN l_linestatus = 'F' THEN NULL ELSE l_extendedprice END AS cost,
                CASE WHEN l_linestatus = 'F' THEN NULL ELSE l_returnflag END AS kind,
-               l_quantity::varchar AS tquant_text, l_extendedprice::varchar AS cost_text
+               l_quantity::varchar AS tquant_text, l_extendedprice::varchar AS cost_text,
+               ['x1', '12d', '1.5f', '0x1p3', 'nan', 'Infinity'][l_linenumber % 6 + 1] AS no_number
         FROM lineitem"""),
     "raw_dates": ([], """
         SELECT CASE l_linenumber % 5
@@ -117,26 +118,18 @@ _CTES: dict[str, tuple[list[str], str]] = {
           ON g.future OR g.ds BETWEEN s.lo AND s.hi
         LEFT JOIN panel p ON p.unique_id = s.unique_id AND p.ds = g.ds"""),
     "train": (["panel"], f"""
-        SELECT unique_id, ds, y, row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS i,
-               count(*) OVER (PARTITION BY unique_id) AS n
-        FROM panel WHERE ds < DATE '{TEST_START}'"""),
+        SELECT unique_id, list(ds ORDER BY ds) AS ds, list(y ORDER BY ds) AS y, count(*)::int AS n
+        FROM panel WHERE ds < DATE '{TEST_START}' GROUP BY 1"""),
     "origins": (["train"], """
-        SELECT DISTINCT t.unique_id, f.fold, t.n - 40 + f.fold * 9 AS cut
-        FROM train t, (SELECT unnest(range(0, 5)) AS fold) f WHERE t.n - 40 + f.fold * 9 >= 1"""),
+        SELECT t.*, f.fold, t.n - 40 + f.fold * 9 AS cut
+        FROM train t, (SELECT unnest(range(0, 5))::int AS fold) f WHERE t.n - 40 + f.fold * 9 >= 1"""),
     "backtest": (["origins"], """
-        SELECT o.unique_id, o.fold, c.ds AS cutoff, h.h, a.ds, a.y, c.y AS Naive,
-               CASE WHEN o.cut >= 12 THEN sn.y END AS SeasonalNaive,
-               CASE WHEN o.cut >= 6 THEN wa.mean END AS WindowAverage,
-               CASE WHEN o.cut >= 4 THEN (s0.y + s1.y) / 2 END AS SeasonalWindowAverage
-        FROM origins o CROSS JOIN (SELECT unnest(range(1, 5)) AS h) h
-        JOIN train c ON c.unique_id = o.unique_id AND c.i = o.cut
-        JOIN train a ON a.unique_id = o.unique_id AND a.i = o.cut + h.h
-        LEFT JOIN train sn ON sn.unique_id = o.unique_id AND sn.i = o.cut - 12 + (h.h - 1) % 12 + 1
-        LEFT JOIN train s0 ON s0.unique_id = o.unique_id AND s0.i = o.cut - 2 + (h.h - 1) % 2 + 1
-        LEFT JOIN train s1 ON s1.unique_id = o.unique_id AND s1.i = o.cut - 4 + (h.h - 1) % 2 + 1
-        LEFT JOIN (SELECT unique_id, i, avg(y) OVER (PARTITION BY unique_id ORDER BY i
-                     ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS mean FROM train) wa
-          ON wa.unique_id = o.unique_id AND wa.i = o.cut"""),
+        SELECT unique_id, fold, ds[cut] AS cutoff, h, ds[cut + h] AS ds, y[cut + h] AS y, y[cut] AS Naive,
+               CASE WHEN cut >= 12 THEN y[cut - 12 + (h - 1) % 12 + 1] END AS SeasonalNaive,
+               CASE WHEN cut >= 6 THEN list_sum(y[cut - 5:cut]) / 6 END AS WindowAverage,
+               CASE WHEN cut >= 4 THEN (y[cut - 2 + (h - 1) % 2 + 1] + y[cut - 4 + (h - 1) % 2 + 1]) / 2 END
+                 AS SeasonalWindowAverage
+        FROM origins, (SELECT unnest(range(1, 5))::int AS h) WHERE cut + h <= n"""),
     "indexed": (["panel"], f"""
         SELECT ds, unique_id, y, dense_rank() OVER (ORDER BY ds) - 1 AS time_idx,
                CASE WHEN ds < last_day(DATE '{TEST_START}') THEN 'train' ELSE 'test' END AS part
@@ -150,30 +143,28 @@ _CTES["delivered"] = (["stock"], """
 _CTES["feed_rows"] = (["stock", "delivered"], _CTES["feed_rows"][1])
 
 
-def _grid(windows: int, shifts: int) -> str:
-    cells = []
-    for s in range(1, shifts + 1):
-        for w in range(1, windows + 1):
-            frame = (
-                f"(PARTITION BY unique_id ORDER BY ds ROWS BETWEEN {s + w - 1} PRECEDING"
-                f" AND {s} PRECEDING)"
-            )
-            cells.append(
-                f"{{'s': {s}, 'w': {w}, 'v': CASE WHEN count(y) OVER {frame} = {w}"
-                f" THEN avg(y) OVER {frame} END}}"
-            )
-    return f"SELECT unique_id, ds, y, [{', '.join(cells)}] AS cells FROM extended"
+def _means(windows: int) -> str:
+    """For every point the means of the last 1, 2, ... values, NULL unless all exist."""
+    frames = [
+        (w, f"(PARTITION BY unique_id ORDER BY ds ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)")
+        for w in range(1, windows + 1)
+    ]
+    cells = [f"CASE WHEN count(y) OVER {frame} = {w} THEN avg(y) OVER {frame} END" for w, frame in frames]
+    return f"SELECT unique_id, ds, y, [{', '.join(cells)}] AS means FROM extended"
 
 
-_CTES["wide_grid"] = (["extended"], _grid(12, 12))
-_CTES["small_grid"] = (["extended"], _grid(2, 2))
+_CTES["means"] = (["extended"], _means(12))
+_CTES["wide_grid"] = (["means"], f"""
+        SELECT unique_id, ds, y, [{', '.join(f'lag(means, {s}) OVER k' for s in range(1, 13))}] AS shifted
+        FROM means WINDOW k AS (PARTITION BY unique_id ORDER BY ds)""")
 
 
 def _results(grid: str, where: str = "true") -> str:
     return f"""
         SELECT unique_id, ds, y, s, w, v, abs(y - v) AS mae, abs(y - v) / nullif(y, 0) AS mape
-        FROM (SELECT unique_id, ds, y, unnest(cells, recursive := true)
-              FROM {grid} WHERE {where})"""
+        FROM (SELECT g.unique_id, g.ds, g.y, i.s, j.w, g.shifted[i.s][j.w] AS v
+              FROM (SELECT * FROM {grid} WHERE {where}) g,
+                   (SELECT unnest(range(1, 13)) AS s) i, (SELECT unnest(range(1, 13)) AS w) j)"""
 
 
 _CHECK = f"ds BETWEEN DATE '{CHECK_START}' AND DATE '{CHECK_END}'"
@@ -182,7 +173,7 @@ _CTES["results"] = (["wide_grid"], _results("wide_grid"))
 _CTES["checked"] = (["wide_grid"], _results("wide_grid", _CHECK))
 _CTES["upto"] = (["wide_grid"], _results("wide_grid", _UPTO))
 _CTES["pair_scores"] = (["upto"], f"""
-        SELECT unique_id, s, w, round(avg(mae), 9) AS score FROM upto GROUP BY 1, 2, 3
+        SELECT unique_id, s, w, printf('%.9e', avg(mae))::double AS score FROM upto GROUP BY 1, 2, 3
         HAVING avg(mae) IS NOT NULL
            AND NOT bool_or(ds = DATE '{TARGET}' AND v IS NULL)""")
 _CTES["best_forecast"] = (["pair_scores"], """
@@ -258,7 +249,7 @@ _add("write_csv", ["sales", "months"], f"""
     GROUP BY m.period""")
 _add("load_json_envelope", ["inventory"], """
     SELECT doc AS "DOC", kline AS "KLINE", coalesce(CASE WHEN tquant IS NOT NULL THEN tquant_text END, 'None') AS "TQUANT",
-           coalesce(CASE WHEN cost IS NOT NULL THEN cost_text END, 'x1') AS "COST", coalesce(kind, 'None') AS "TYPE"
+           coalesce(CASE WHEN cost IS NOT NULL THEN cost_text END, no_number) AS "COST", coalesce(kind, 'None') AS "TYPE"
     FROM inventory""")
 _add("explode_order_items", [], """
     SELECT l_linenumber * 10 + part AS "KLINE", l_quantity * sign AS "TQUANT",
@@ -266,11 +257,10 @@ _add("explode_order_items", [], """
     FROM lineitem JOIN (VALUES ('R', 1, 1), ('R', 2, -1), ('A', 1, 1)) v(flag, part, sign)
       ON flag = l_returnflag""")
 _add("order_headers", [], """
-    SELECT l_orderkey::varchar AS "ORDNAME", l_linestatus AS "STATUS", l_linenumber AS "LINE"
-    FROM lineitem""")
+    SELECT o_orderkey::varchar AS "ORDNAME", o_orderstatus AS "STATUS" FROM orders""")
 _add("normalize_null_tokens", ["inventory"], """
     SELECT doc AS "DOC", kline AS "KLINE", CASE WHEN tquant IS NOT NULL THEN tquant_text END AS "TQUANT",
-           coalesce(CASE WHEN cost IS NOT NULL THEN cost_text END, 'x1') AS "COST", kind AS "TYPE"
+           coalesce(CASE WHEN cost IS NOT NULL THEN cost_text END, no_number) AS "COST", kind AS "TYPE"
     FROM inventory""")
 _add("coerce_numeric", ["inventory"], """
     SELECT doc AS "DOC", kline AS "KLINE", round(tquant, 4) AS "TQUANT", round(cost, 4) AS "COST",
@@ -344,7 +334,7 @@ _add("code_part_filter", ["sales"], """
     GROUP BY 1""")
 _add("item_dimension_filter", ["sales"], """
     SELECT item, unit, count(*) AS lines, round(sum(sales), 4) AS sales FROM sales
-    WHERE substr(item, 1, 2) IN ('03', '17') OR substr(item, 6, 3) IN ('007', '042') GROUP BY 1, 2""")
+    WHERE substr(item, 1, 2) IN ('03', '17') OR substr(item, 6, 3) IN ('007', '00K') GROUP BY 1, 2""")
 _add("date_range_filter", [], """
     SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS orders FROM orders
     WHERE o_orderdate::date BETWEEN DATE '1996-02-29' AND DATE '1999-12-31' GROUP BY 1""")
@@ -570,7 +560,7 @@ _add("forecast_errors", ["results"], """
     FROM results GROUP BY 1""")
 _add("best_window", ["checked"], """
     SELECT unique_id, s::int AS s, w::int AS w, round(score, 4) AS "MAE_mean"
-    FROM (SELECT unique_id, s, w, round(avg(mae), 9) AS score FROM checked GROUP BY 1, 2, 3
+    FROM (SELECT unique_id, s, w, printf('%.9e', avg(mae))::double AS score FROM checked GROUP BY 1, 2, 3
           HAVING avg(mae) IS NOT NULL)
     QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY score, s, w) = 1""")
 _add("best_window_forecast", ["best_forecast"], f"""
@@ -583,12 +573,12 @@ _add("actual_vs_forecast_wide", ["best_forecast"], f"""
           f'''round(max(v) FILTER (unique_id = '{u}'), 4) AS "{u}_SWA_value",
               round(max(y) FILTER (unique_id = '{u}'), 4) AS "{u}_y"''' for u in CATEGORY_IDS)}
     FROM best_forecast WHERE unique_id LIKE '%\\_category' ESCAPE '\\' GROUP BY 1""")
-_CTES["small_results"] = (["small_grid"], _results("small_grid"))
-_add("reshape_forecast_columns", ["small_results"], f"""
+_add("reshape_forecast_columns", ["results"], f"""
     SELECT unique_id, s::int AS s, w::int AS w, count(*) AS points, count(v) AS predicted,
            {_day('min(ds)', 'first_ds')}, {_day('max(ds)', 'last_ds')},
-           round(avg(v), 4) AS "SWA_value", round(avg(mae), 4) AS "MAE", round(avg(mape), 4) AS "MAPE"
-    FROM small_results GROUP BY 1, 2, 3""")
+           round(avg(v) * (1 + 1e-9::double), 4) AS "SWA_value", round(avg(mae) * (1 + 1e-9::double), 4) AS "MAE",
+           round(avg(mape) * (1 + 1e-9::double), 4) AS "MAPE"
+    FROM results GROUP BY 1, 2, 3""")
 _add("baseline_backtest", ["backtest"], f"""
     SELECT unique_id, fold::int AS fold, {_day('cutoff')}, h::int AS h, {_day('ds')}, round(y, 4) AS y,
            round(Naive, 4) AS "Naive", round(SeasonalNaive, 4) AS "SeasonalNaive",

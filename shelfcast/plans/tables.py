@@ -25,12 +25,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def item_code() -> Column:
-    """Eight characters: brand number, then the part number in two groups of three."""
-    brand = F.lpad(F.substring("p_brand", 7, 10), 2, "0")
-    group = F.lpad(((F.expr("p_partkey div 100")) % 1000).cast("string"), 3, "0")
-    member = F.lpad((F.col("p_partkey") % 100).cast("string"), 3, "0")
-    return F.concat(brand, group, member)
+#: Digits of item codes; two groups of three digits tell 62 ** 6, about 57 billion, parts apart.
+DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def item_code(part: str = "p_partkey", brand: str = "p_brand") -> Column:
+    """Eight characters: brand number, then the part number in two groups of three digits.
+
+    The groups take turns at the part number's digits, so both vary for small numbers too. Every
+    part number has a code of its own; one that needs more digits is an error.
+    """
+    base = len(DIGITS)
+    key = F.when(
+        F.col(part).between(0, base**6 - 1), F.col(part).cast("long")
+    ).otherwise(F.raise_error(F.concat(F.lit("no item code for part "), F.col(part).cast("string"))).cast("long"))
+
+    def digit(place: int) -> Column:
+        return F.substring(F.lit(DIGITS), (F.floor(key / base**place) % base + 1).cast("int"), F.lit(1))
+
+    number = F.lpad(F.substring(brand, 7, 10), 2, "0")
+    return F.concat(number, *[digit(place) for place in (5, 3, 1, 4, 2, 0)])
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +138,9 @@ def erp_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         "date_supply": F.date_format(F.date_add(day, 7), "d/M/yyyy"),
         "sku": F.lpad(F.col("l_partkey").cast("string"), 12, "0"),
         "quantity": F.format_number("l_quantity", 0),
-        "discount_percentage": F.concat(F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%")),
+        "discount_percentage": F.when(F.col("l_linenumber") == 7, F.lit("nan%")).otherwise(
+            F.concat(F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%"))
+        ),
         "price_after_discount": F.concat(money, F.format_number("l_extendedprice", 2)),
         "price_per_unit": F.concat(money, F.format_number("list_price", 2)),
         "code_sales_person": F.col("l_suppkey").cast("string"),
@@ -140,8 +156,8 @@ def erp_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested orders. Each order line is a document of its own with two, one or no items, so no
-    order, however long, is collected into one array."""
+    """Nested orders: an order is a document, its lines give two, one or no items each, and orders
+    without lines have none. An array holds the lines of one order."""
     key = F.col("l_orderkey").cast("string")
     quantity = F.col("l_quantity")
 
@@ -156,20 +172,30 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("l_returnflag") == "A", F.array(item(1, quantity)))
         .otherwise(F.slice(F.array(item(1, quantity)), 1, 0))
     )
-    return read(spark, sf_dir, "lineitem").select(
-        key.alias("ORDNAME"), F.col("l_linestatus").alias("STATUS"),
-        F.col("l_linenumber").alias("LINE"), items.alias("ORDERITEMS_SUBFORM"),
+    by_order = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.flatten(F.collect_list(items)).alias("items")
+    )
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    nothing = F.array().cast(by_order.schema["items"].dataType)
+    return orders.join(by_order, "l_orderkey", "left").select(
+        key.alias("ORDNAME"), F.col("o_orderstatus").alias("STATUS"),
+        F.coalesce("items", nothing).alias("ORDERITEMS_SUBFORM"),
     )
 
 
+#: Texts that are no decimal numbers, though some readers take them for one.
+NO_NUMBERS = ["x1", "12d", "1.5f", "0x1p3", "nan", "Infinity"]
+
+
 def inventory_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inventory log lines as text, with ``None`` tokens and values that are no numbers."""
+    junk = F.get(F.array(*[F.lit(x) for x in NO_NUMBERS]), F.col("l_linenumber") % len(NO_NUMBERS))
     return read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("DOC"),
         F.col("l_linenumber").cast("string").alias("KLINE"),
         F.when(F.col("l_returnflag") == "R", "None").otherwise(F.col("l_quantity").cast("string"))
         .alias("TQUANT"),
-        F.when(F.col("l_linestatus") == "F", F.lit("x1"))
+        F.when(F.col("l_linestatus") == "F", junk)
         .otherwise(F.col("l_extendedprice").cast("string")).alias("COST"),
         F.when(F.col("l_linestatus") == "F", F.lit("None")).otherwise(F.col("l_returnflag"))
         .alias("TYPE"),

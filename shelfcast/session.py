@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -30,6 +33,14 @@ def build_session(app: str = "shelfcast", master: str | None = None, **extra: st
     return builder.getOrCreate()
 
 
+@functools.cache
+def _local_scratch() -> str:
+    """One folder for the whole process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="shelfcast-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 
@@ -39,5 +50,5 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="shelfcast-")
+        base = _local_scratch()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

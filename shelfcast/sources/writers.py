@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from shelfcast.operators.panel import hierarchy_level
 
+#: Most tasks that write one partition of a table, and rows of a file.
+FILES = 16
+FILE_ROWS = 5_000_000
 _WRITE_MODES = ("append", "overwrite", "overwrite_partitions")
 
 
@@ -24,7 +27,10 @@ def append_table(
         raise ValueError(f"unknown write mode {mode!r}")
     writer = df.write
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
+        # a few files for each partition, however many tasks there are; a large one is spread
+        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(FILES))
+        writer = df.repartition(*partition_by, salt).write.partitionBy(*partition_by)
+        writer = writer.option("maxRecordsPerFile", FILE_ROWS)
     if mode == "overwrite_partitions":
         if not partition_by:
             raise ValueError("overwrite_partitions needs partition columns")

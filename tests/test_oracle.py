@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
+from shelfcast.plans import catalog, oracle
 from comparing import connect, differences
 
 
@@ -14,12 +15,13 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(catalog.queries()) == set(oracle.statements())
+    assert set(catalog.queries()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(catalog.queries()))
 def test_same_result(spark, sf_dir, con, name):
-    assert differences(contract.queries()[name](spark, sf_dir), con, contract.oracle_sql()[name]) == []
+    assert differences(catalog.queries()[name](spark, sf_dir), con, oracle.statements()[name]) == []
 
 
 def test_entry(spark):
