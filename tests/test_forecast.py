@@ -32,10 +32,10 @@ def series_frame(spark, series, start="2020-01-31"):
 @pytest.fixture(scope="module")
 def log(spark):
     rows = [
-        (D(2023, 1, 5), "20004053", 5.0), (D(2023, 1, 9), "20004053", 1.0),
-        (D(2023, 4, 30), "20004053", 2.0), (D(2023, 1, 5), "20005053", 7.0),
-        (D(2023, 2, 1), "30004053", 4.0), (D(2023, 2, 3), "30004053", None),
-        (D(2023, 2, 3), None, 50.0), (D(2025, 1, 1), "20004053", 99.0),
+        (D(2023, 1, 5), "20118207", 5.0), (D(2023, 1, 9), "20118207", 1.0),
+        (D(2023, 4, 30), "20118207", 2.0), (D(2023, 1, 5), "20119207", 7.0),
+        (D(2023, 2, 1), "30118207", 4.0), (D(2023, 2, 3), "30118207", None),
+        (D(2023, 2, 3), None, 50.0), (D(2025, 1, 1), "20118207", 99.0),
     ]
     return spark.createDataFrame(
         [(d, "x", "m", i, q) for d, i, q in rows],
@@ -46,7 +46,7 @@ def log(spark):
 def test_densify_uses_observed_months_only(log):
     got = {(r.item, r.ds): r.y for r in panel.densify_panel(log, SCOPE).collect()}
     months = [D(2023, 1, 31), D(2023, 2, 28), D(2023, 4, 30)]
-    values = {"20004053": [6, 0, 2], "20005053": [7, 0, 0], "30004053": [0, 4, 0]}
+    values = {"20118207": [6, 0, 2], "20119207": [7, 0, 0], "30118207": [0, 4, 0]}
     assert got == {(i, m): float(v) for i, vs in values.items() for m, v in zip(months, vs)}
 
 
@@ -56,8 +56,8 @@ def test_rollup_of_dense_equals_panel(log):
     built = {(r.unique_id, r.ds): r.y for r in panel.build_panel(log, SCOPE).collect()}
     assert built == rolled
     assert built[("20_category", D(2023, 1, 31))] == 13.0
-    assert built[("004_catalog", D(2023, 2, 28))] == 4.0
-    assert built[("004053_catalog+color", D(2023, 4, 30))] == 2.0
+    assert built[("118_catalog", D(2023, 2, 28))] == 4.0
+    assert built[("118207_catalog+color", D(2023, 4, 30))] == 2.0
     by_level = {}
     for (uid, _), y in built.items():
         level = uid.split("_", 1)[1] if "_" in uid else "item"
@@ -66,7 +66,7 @@ def test_rollup_of_dense_equals_panel(log):
 
 
 def test_levels(spark):
-    df = spark.createDataFrame([("1",), ("20_category",), ("004_catalog",), ("4_catalog+color",)], "u string")
+    df = spark.createDataFrame([("1",), ("20_category",), ("118_catalog",), ("4_catalog+color",)], "u string")
     assert [r[0] for r in df.select(panel.hierarchy_level(F.col("u"))).collect()] == [
         "item", "category", "catalog", "catalog+color"
     ]

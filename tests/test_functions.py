@@ -32,8 +32,8 @@ def test_empty_filter_keeps_all(spark):
 
 @pytest.mark.parametrize("start,length", [(0, 2), (2, 3), (5, 3), (2, 6)])
 def test_code_part_equals_substring(spark, start, length):
-    codes = ["20004053", "20005904", "2", "20", "", "31004053", None, "2000"]
-    values = ["20", "2", "004", "053", "0040", "004053", "", "200"]
+    codes = ["20118207", "20119204", "2", "20", "", "31118207", None, "2000"]
+    values = ["20", "2", "118", "207", "0040", "118207", "", "200"]
     df = column(spark, codes)
     wanted = sorted(c for c in codes if c is not None and c[start:start + length] in values)
     kept = df.where(flt.code_part_filter(values, start, length, "c")).collect()
@@ -48,10 +48,10 @@ def test_unknown_names_raise():
 
 
 def test_item_dimensions(spark):
-    df = column(spark, ["20004053", "20005904", "31004053"]).withColumnRenamed("c", "item")
+    df = column(spark, ["20118207", "20119204", "31118207"]).withColumnRenamed("c", "item")
     count = lambda kind, value: df.where(flt.item_dimension_filter(kind, [value])).count()
-    assert [count("category", "20"), count("catalog", "004"), count("color", "053"),
-            count("item", "20004053"), count("catalog+color", "004053")] == [2, 2, 2, 1, 2]
+    assert [count("category", "20"), count("catalog", "118"), count("color", "207"),
+            count("item", "20118207"), count("catalog+color", "118207")] == [2, 2, 2, 1, 2]
 
 
 def test_date_range_includes_time_on_last_day(spark):

@@ -27,12 +27,12 @@ def sales_rows(spark, rows):
 @pytest.fixture(scope="module")
 def sales(spark):
     return sales_rows(spark, [
-        (D(2024, 4, 1), "20004053", "כיסא עור", 1.0, 10.0, "m"),
-        (D(2024, 4, 6), "20004054", "בד כחול", 2.0, 20.0, "m"),
-        (D(2024, 4, 7), "30004053", None, 3.0, 20.0, "kg"),
-        (D(2024, 6, 20), "40004053", "x", 4.0, None, "m"),
-        (D(2024, 6, 21), "20004053", "x", 99.0, 99.0, "m"),
-        (D(2024, 3, 31), "20004053", "x", 99.0, 99.0, "m"),
+        (D(2024, 4, 1), "20118207", "כיסא עור", 1.0, 10.0, "m"),
+        (D(2024, 4, 6), "20118208", "בד כחול", 2.0, 20.0, "m"),
+        (D(2024, 4, 7), "30118207", None, 3.0, 20.0, "kg"),
+        (D(2024, 6, 20), "40118207", "x", 4.0, None, "m"),
+        (D(2024, 6, 21), "20118207", "x", 99.0, 99.0, "m"),
+        (D(2024, 3, 31), "20118207", "x", 99.0, 99.0, "m"),
         (D(2024, 5, 1), None, "אדום", 5.0, 500.0, "m"),
     ])
 
@@ -52,13 +52,13 @@ def test_filters_apply(sales):
 
 def test_topk_ties_by_item_and_null_items_in_others(sales):
     rows = sales_reports.topk_and_others(sales, SCOPE, k=1).collect()
-    assert [(r.item_bucket, r.total_price) for r in rows] == [("others", 530.0), ("20004054", 20.0)]
+    assert [(r.item_bucket, r.total_price) for r in rows] == [("others", 530.0), ("20118208", 20.0)]
     series = sales_reports.topk_item_series(sales, SCOPE, k=2).collect()
-    assert {r.item for r in series} == {"20004054", "30004053"} and len(series) == 24
+    assert {r.item for r in series} == {"20118208", "30118207"} and len(series) == 24
     wide = sales_reports.topk_item_wide(
         sales_reports.topk_item_series(sales, SCOPE, k=2), "total_price"
     )
-    assert wide.columns == ["period", "20004054", "30004053"] and wide.count() == 12
+    assert wide.columns == ["period", "20118208", "30118207"] and wide.count() == 12
 
 
 def test_averages(sales):

@@ -19,14 +19,14 @@ def test_load_delimited_with_index_and_doubled_quotes(spark, tmp_path):
     path.write_text(
         ",order_id,supply_id,supply_name,date,supply_order,status,total_price,discount_perc,coin,"
         "total_price_ILS,details\n"
-        '0,A1,7,Alpha,2024-04-03,None,open,2789.7,0,USD,10313.52,"25   558 ""kg"", boxed"\n'
+        '0,A1,7,Alpha,2023-11-19,None,open,641.25,0,USD,2372.63,"8 rolls of ""felt"", grey"\n'
         "1,A2,8,Beta,2024-04-04,55,open,1.5,2.5,EUR,6.1,plain\n", encoding="utf-8",
     )
     rows = readers.load_delimited(spark, str(path), schemas.SUPPLY_ORDERS, index_column=True)
     first, second = rows.orderBy("order_id").collect()
     assert rows.columns == schemas.SUPPLY_ORDERS.names
-    assert first.details == '25   558 "kg", boxed' and first.supply_order == "None"
-    assert first.date == dt.date(2024, 4, 3) and float(second.discount_perc) == 2.5
+    assert first.details == '8 rolls of "felt", grey' and first.supply_order == "None"
+    assert first.date == dt.date(2023, 11, 19) and float(second.discount_perc) == 2.5
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -100,23 +100,23 @@ def test_conform_erp_lines(spark):
 
 def test_feed_to_stock_log(spark):
     feed = spark.createDataFrame(
-        [("20004053", "chair", 3.0, None), (None, "lost", 1.0, 1.0), ("9", None, None, 4.0)],
+        [("20118207", "chair", 3.0, None), (None, "lost", 1.0, 1.0), ("9", None, None, 4.0)],
         "item string, desc_he string, `5` double, `6` double",
     )
     months = {"5": "2023-05-01", "6": "2023-06-01"}
     long = ingest.unpivot_month_columns(feed, months)
     assert sorted((r.item, r.desc_he, str(r.date), r.quantity) for r in long.collect()) == [
-        ("20004053", "chair", "2023-05-01", 3.0), ("20004053", "chair", "2023-06-01", 0.0),
+        ("20118207", "chair", "2023-05-01", 3.0), ("20118207", "chair", "2023-06-01", 0.0),
         ("9", "0", "2023-05-01", 0.0), ("9", "0", "2023-06-01", 4.0),
     ]
     log = spark.createDataFrame(
-        [("20004053", "m"), ("20004053", "kg"), ("20004053", None)], "item string, unit string"
+        [("20118207", "m"), ("20118207", "kg"), ("20118207", None)], "item string, unit string"
     )
     conformed = ingest.conform_stock_log(ingest.with_representative_unit(long, log))
     assert conformed.schema.names == schemas.STOCK_LOG.names
     assert [f.dataType for f in conformed.schema] == [f.dataType for f in schemas.STOCK_LOG]
     units = {(r.item, r.unit, r.supply_name, r.UCOST, r.trans_id) for r in conformed.collect()}
-    assert units == {("20004053", "kg", None, 0.0, "0"), ("9", None, None, 0.0, "0")}
+    assert units == {("20118207", "kg", None, 0.0, "0"), ("9", None, None, 0.0, "0")}
 
 
 def test_conform_to_schema(spark):
