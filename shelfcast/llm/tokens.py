@@ -16,13 +16,46 @@ _PIECE = re.compile(
     f" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?![\\w'’])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
 #: Pieces of a cache generation; the pieces of the one before are still looked up.
-CACHE = 300_000
+CACHE = 500_000
 #: Ids are kept as two bytes each: the vocabulary has fewer than 65,536.
 ID_TYPE = "<u2"
 
 _open: dict[str, PieceTokenizer] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte to the letter that stands for it in the vocabulary: itself if it can be seen in Latin-1,
+    else the next one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+_ONE_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+class _Pieces(dict):
+    """Ids by piece, as bytes of ``ID_TYPE``; a piece that isn't there is encoded."""
+
+    def __init__(self, tokenizer, older: dict[str, bytes]) -> None:
+        super().__init__()
+        self.tokenizer, self.model, self.older = tokenizer, tokenizer.model, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            if _ONE_WORD.fullmatch(piece):
+                # the splitting pattern leaves such a piece whole
+                word = piece.encode().decode("latin-1").translate(_LETTERS)
+                found = [token.id for token in self.model.tokenize(word)]
+            else:
+                found = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            ids = array("H", found).tobytes()
+        self[piece] = ids
+        return ids
+
+
 class PieceTokenizer:
     """Texts to ids. A piece is encoded by the tokenizer once and then taken from a cache of two
     bounded generations; ids are the same with or without it."""
@@ -35,23 +68,15 @@ class PieceTokenizer:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary don't fit two bytes")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Pieces(self.tokenizer, {})
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes of ``ID_TYPE``; null is empty."""
-        split = [_PIECE.findall(text) if text else [] for text in texts]
         if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        missing = set().union(*split).difference(known)
-        known.update((piece, older[piece]) for piece in missing.intersection(older))
-        new = list(missing.difference(older))
-        for at in range(0, len(new), 4096):
-            part = new[at: at + 4096]
-            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            known.update((piece, array("H", e.ids).tobytes()) for piece, e in zip(part, encoded, strict=True))
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+            recent = dict(self.known)
+            self.known = _Pieces(self.tokenizer, recent)
+        get = self.known.__getitem__
+        return [b"".join(map(get, _PIECE.findall(text))) if text else b"" for text in texts]
 
 
 def tokenizer(path: str) -> PieceTokenizer:
