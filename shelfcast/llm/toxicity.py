@@ -268,11 +268,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = rows.sort_values("token")
     tokens = rows["token"].to_numpy().astype("u8")
 
-    corpus = docs.select("text").mapInArrow(_corpus_counts(tokens), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
-    total = float(corpus.loc[corpus["token"].isna(), "n"].sum()) or 1.0
-    known = corpus.dropna()
-    in_corpus = np.zeros(len(tokens))
-    in_corpus[np.searchsorted(tokens, known["token"].to_numpy().astype("i8").view("u8"))] = known["n"]
+    corpus = docs.select("text").mapInArrow(_corpus_counts(tokens), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    corpus = {r["token"]: r["n"] for r in corpus.collect()}  # a row per token of the sample, and the total
+    total = float(corpus.pop(None, 0)) or 1.0
+    in_corpus = np.array([corpus.get(t, 0) for t in tokens.view("i8").tolist()], dtype=float)
     # the prior has the corpus' mix of tokens, on the scale of texts per token
     weight = PRIOR_SHARE * (n_bad + n_good)
     bad, good = rows["bad"].to_numpy(float), rows["good"].to_numpy(float)
@@ -322,3 +321,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_tokens", "best", "surprise", "passages",
     )
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that the model doesn't predict as toxic; no shuffle."""
+    at = docs.columns.index(text_col)
+    scoring = _score(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blank = pa.nulls(batch.num_rows, pa.int32())
+            plain = pa.RecordBatch.from_arrays([blank, batch.column(at), blank], names=["id", "text", "toxic"])
+            found = [b.column("score").to_numpy() for b in scoring(iter([plain]))]
+            if found:
+                yield batch.filter(pa.array(np.concatenate(found) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
