@@ -481,6 +481,43 @@ def _unit_shares(spark, sf_dir):
 query(_unit_shares, "share_of_total")
 
 
+# ---------------------------------------------------------------- the same with every filter set
+
+CATEGORIES = ("03", "08", "17", "21")
+SCOPED = Scope(
+    "1996-02-29", "2000-10-31", "W", order_status=("F", "P"), units=tables.UNITS,
+    item_kind="category", item_values=CATEGORIES, movements=("delivery", "return"), supply_status=("F",),
+)
+
+
+@query
+def period_totals_scoped(spark, sf_dir):
+    return sales_reports.period_totals(tables.sales(spark, sf_dir), SCOPED, "sales")
+
+
+@query
+def period_totals_week_end(spark, sf_dir):
+    return sales_reports.period_totals(
+        tables.sales(spark, sf_dir, with_item=False), WEEKLY, "sales", week_label="end"
+    )
+
+
+@query
+def net_outgoing_scoped(spark, sf_dir):
+    return supply_reports.net_outgoing(
+        tables.stock_log(spark, sf_dir), SCOPED, ("delivery",), ("return",), keep_return_only=True
+    )
+
+
+@query
+def supply_spend_scoped(spark, sf_dir):
+    """Spend of known currencies only, of one status."""
+    orders = tables.supply_orders(spark, sf_dir).withColumn(
+        "coin", F.when(F.col("coin") == "EUR", "XXX").otherwise(F.col("coin"))
+    )
+    return supply_reports.supply_spend_by_status(orders, SCOPED, unknown="null")
+
+
 # ---------------------------------------------------------------- data quality
 
 
@@ -579,6 +616,52 @@ def null_measure_items(spark, sf_dir):
     return quality.null_measure_items(sales, "sales")
 
 
+@query
+def rows_by_description(spark, sf_dir):
+    rows = quality.rows_by_description(_erp_lines(spark, sf_dir), SKU, "loose")
+    return rows.select("date", "sku", "description_sku", "quantity")
+
+
+@query
+def rows_by_presence(spark, sf_dir):
+    lines = cleaning.coerce_numeric(
+        cleaning.normalize_null_tokens(tables.inventory_text(spark, sf_dir)), ["COST"]
+    )
+    present, absent = (quality.rows_by_presence(lines, "COST", flag) for flag in (True, False))
+    return present.withColumn("part", F.lit("set")).union(absent.withColumn("part", F.lit("missing"))).groupBy(
+        "part", "TYPE"
+    ).agg(F.count(F.lit(1)).alias("lines"), F.sum("COST").alias("cost"))
+
+
+@query
+def topn_by_sum(spark, sf_dir):
+    return quality.topn_by_count(_erp_lines(spark, sf_dir), "sku", by_sum=True)
+
+
+@query
+def discount_histogram(spark, sf_dir):
+    return quality.histogram(_erp_lines(spark, sf_dir), "discount_percentage", 0, 100, 1)
+
+
+@query
+def inventory_to_table(spark, sf_dir):
+    """The whole way of an inventory export: envelopes, null tokens, numbers, typed table."""
+    path = scratch_path(spark, "inventory")
+    lines = tables.inventory_text(spark, sf_dir)
+    lines.groupBy("DOC").agg(F.collect_list(F.struct(*lines.columns)).alias("value")).select(
+        F.to_json(F.struct("value")).alias("value")
+    ).write.text(path)
+    raw = readers.load_json_envelope(spark, path, _text_schema(lines.columns), multi_line=False)
+    numbers = [c for c in schemas.INVENTORY_NUMBERS if c in raw.columns]
+    typed = cleaning.coerce_numeric(cleaning.normalize_null_tokens(raw), numbers)
+    table = scratch_path(spark, "inventory-table")
+    writers.append_table(typed, table, ["TYPE"])
+    return spark.read.schema(typed.schema).parquet(table).groupBy("TYPE").agg(
+        F.count(F.lit(1)).alias("lines"), F.count("COST").alias("costs"), F.sum("TQUANT").alias("TQUANT"),
+        F.min("DOC").alias("first_doc"), F.max("KLINE").alias("last_line"),
+    )
+
+
 # ---------------------------------------------------------------- forecasting
 
 
@@ -633,6 +716,21 @@ def _best_forecast(spark, sf_dir):
     return tuning.best_window_forecast(_results(spark, sf_dir), CHECK_START, TARGET)
 
 
+@query
+def best_window_mape(spark, sf_dir):
+    return tuning.best_window(_results(spark, sf_dir), CHECK_START, CHECK_END, "MAPE", ("w", "s"))
+
+
+@query
+def demand_panel(spark, sf_dir):
+    """Panel of the demand movements and some categories only."""
+    scope = Scope(
+        "1996-01-01", "2000-12-31", "M", item_kind="category", item_values=CATEGORIES,
+        movements=("return", "delivery"),
+    )
+    return panel.build_panel(tables.stock_log(spark, sf_dir), scope)
+
+
 @query
 def best_window_forecast(spark, sf_dir):
     return _best_forecast(spark, sf_dir)

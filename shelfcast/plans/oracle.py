@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from shelfcast.plans.catalog import (
-    CATEGORY_IDS, CHECK_END, CHECK_START, END, SKU, START, TARGET, TEST_START,
+    CATEGORIES, CATEGORY_IDS, CHECK_END, CHECK_START, END, SKU, START, TARGET, TEST_START,
 )
+from shelfcast.plans.tables import UNITS
 
 _SQL: dict[str, str] = {}
 
@@ -543,6 +544,49 @@ _add("top_item_series", ["per_month"], """
                    ORDER BY sum(sales) DESC, item LIMIT 10)""")
 _add("null_measure_items", ["sales"], "SELECT DISTINCT item FROM sales WHERE sales = 50")
 
+_CATEGORY_LIST, _UNIT_LIST = (", ".join(f"'{x}'" for x in xs) for xs in (CATEGORIES, UNITS))
+_SCOPED = f"substr(item, 1, 2) IN ({_CATEGORY_LIST}) AND unit IN ({_UNIT_LIST})"
+_RANGE = "BETWEEN DATE '1996-02-29' AND DATE '2000-10-31'"
+_CTES["scoped_weeks"] = ([], """
+        SELECT DISTINCT day - dayofweek(day)::int AS period FROM (
+          SELECT unnest(generate_series(DATE '1996-02-29', DATE '2000-10-31', INTERVAL 1 DAY))::date AS day)""")
+_add("period_totals_scoped", ["sales", "scoped_weeks"], f"""
+    SELECT {_day('w.period')}, round(coalesce(sum(s.sales), 0), 4)::double AS sales
+    FROM scoped_weeks w LEFT JOIN (
+      SELECT * FROM sales WHERE {_SCOPED} AND order_status IN ('F', 'P') AND status_date {_RANGE}) s
+      ON s.status_date BETWEEN w.period AND w.period + 6 GROUP BY 1""")
+_add("period_totals_week_end", ["sales", "days"], f"""
+    SELECT {_day('w.period')}, round(coalesce(sum(s.sales), 0), 4)::double AS sales
+    FROM (SELECT DISTINCT day + (7 - isodow(day))::int AS period FROM days) w
+    LEFT JOIN sales s ON s.status_date BETWEEN w.period - 6 AND w.period GROUP BY 1""")
+_add("net_outgoing_scoped", ["stock", "scoped_weeks"], f"""
+    SELECT {_day('w.period')}, (round_even(coalesce(sum(
+             CASE s.inv_mov_type WHEN 'return' THEN -s.quantity ELSE s.quantity END), 0), 2) + 0.0)::double AS net_quantity
+    FROM scoped_weeks w LEFT JOIN (
+      SELECT * FROM stock WHERE {_SCOPED} AND inv_mov_type IN ('delivery', 'return') AND cur_date {_RANGE}) s
+      ON s.cur_date BETWEEN w.period AND w.period + 6 GROUP BY 1""")
+_add("supply_spend_scoped", ["supply"], f"""
+    SELECT status, round(sum(total_price * CASE fixed_rate WHEN 4.0 THEN NULL ELSE fixed_rate END), 4) AS "total_expense_ILS"
+    FROM supply WHERE status = 'F' AND day {_RANGE} GROUP BY 1""")
+_add("rows_by_description", ["erp"], f"""
+    SELECT {_day('date')}, sku, description_sku, round(quantity, 4) AS quantity
+    FROM erp WHERE sku = '{SKU}' AND contains(description_sku, 'loose')""")
+_add("rows_by_presence", ["inventory"], """
+    SELECT CASE WHEN cost IS NULL THEN 'missing' ELSE 'set' END AS part, kind AS "TYPE", count(*) AS lines,
+           round(sum(cost), 4) AS cost
+    FROM inventory GROUP BY 1, 2""")
+_add("topn_by_sum", ["erp"], """
+    SELECT sku, round(sum(quantity), 4) AS sum_quantity FROM erp GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""")
+_add("discount_histogram", ["erp"], """
+    SELECT b.b::double AS bin_start, (b.b + 1)::double AS bin_end, count(e.discount_percentage) AS count
+    FROM (SELECT unnest(range(0, 100)) AS b) b
+    LEFT JOIN erp e ON floor(e.discount_percentage) = b.b OR (b.b = 99 AND e.discount_percentage = 100)
+    GROUP BY b.b""")
+_add("inventory_to_table", ["inventory"], """
+    SELECT kind AS "TYPE", count(*) AS lines, count(cost) AS costs, round(sum(tquant), 4) AS "TQUANT",
+           min(doc::double) AS first_doc, max(kline::double) AS last_line
+    FROM inventory GROUP BY 1""")
+
 # ---------------------------------------------------------------- forecasting
 
 _add("densify_panel", ["dense"], f"SELECT item, {_day('ds')}, round(y, 4) AS y FROM dense")
@@ -563,6 +607,24 @@ _add("best_window", ["checked"], """
     FROM (SELECT unique_id, s, w, printf('%.9e', avg(mae))::double AS score FROM checked GROUP BY 1, 2, 3
           HAVING avg(mae) IS NOT NULL)
     QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY score, s, w) = 1""")
+_add("best_window_mape", ["checked"], """
+    SELECT unique_id, s::int AS s, w::int AS w, round(score, 4) AS "MAPE_mean"
+    FROM (SELECT unique_id, s, w, printf('%.9e', avg(mape))::double AS score FROM checked GROUP BY 1, 2, 3
+          HAVING avg(mape) IS NOT NULL)
+    QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY score, w, s) = 1""")
+_CTES["demand_months"] = (["stock"], f"""
+        SELECT item, last_day(cur_date) AS ds, sum(quantity) AS y FROM stock
+        WHERE inv_mov_type IN ('return', 'delivery') AND substr(item, 1, 2) IN ({_CATEGORY_LIST})
+          AND cur_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' GROUP BY 1, 2""")
+_CTES["demand_ids"] = (["demand_months"], """
+        SELECT item AS unique_id, ds, y FROM demand_months
+        UNION ALL SELECT substr(item, 1, 2) || '_category', ds, y FROM demand_months
+        UNION ALL SELECT substr(item, 3, 3) || '_catalog', ds, y FROM demand_months
+        UNION ALL SELECT substr(item, 3, 6) || '_catalog+color', ds, y FROM demand_months""")
+_add("demand_panel", ["demand_ids"], f"""
+    SELECT i.unique_id, {_day('m.ds')}, round(coalesce(sum(x.y), 0), 4)::double AS y
+    FROM (SELECT DISTINCT unique_id FROM demand_ids) i CROSS JOIN (SELECT DISTINCT ds FROM demand_ids) m
+    LEFT JOIN demand_ids x ON x.unique_id = i.unique_id AND x.ds = m.ds GROUP BY 1, 2""")
 _add("best_window_forecast", ["best_forecast"], f"""
     SELECT unique_id, {_day('ds')}, s::int AS s, w::int AS w, round(y, 4) AS y,
            round(v, 4) AS "SWA_value", round(mae, 4) AS "MAE", round(mape, 4) AS "MAPE"

@@ -18,6 +18,7 @@ COINS = ["ILS", "USD", "EUR"]
 # Words that occur in part names.
 MATERIALS = {"ring": "ring", "red": "red"}
 COLORS = {"blue": "blue", "red": "red", "ring": "ring", "bolt": "bolt"}
+UNITS = ('MEDIUM', 'STANDARD', 'LARGE')
 MOVEMENTS = {"R": "return", "A": "delivery", "N": "invoice"}
 
 
