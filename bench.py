@@ -15,7 +15,8 @@ HEADLINES = [
     "income_by_country", "unique_customers_series", "rolling_mean", "net_outgoing",
     "supply_spend_by_supplier", "calendar_fill", "conform_erp_lines", "explode_order_items",
     "unpivot_month_columns", "profile_columns", "topn_by_count", "histogram", "hierarchy_rollup",
-    "extend_series", "swa_grid", "best_window", "backtest_rmse", "auto_ar_forecast",
+    "extend_series", "swa_grid", "best_window", "best_window_forecast", "reshape_forecast_columns",
+    "baseline_backtest", "backtest_rmse", "time_index_split", "auto_ar_forecast",
 ]
 
 
