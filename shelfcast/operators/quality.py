@@ -11,7 +11,9 @@ from shelfcast.functions.calendar import period_start
 from shelfcast.operators.order_reports import binned_counts
 from shelfcast.operators.shared import top_items
 
-QUANTILE_BINS = 4096
+#: A sketch's ranks are wrong by at most one in so many rows; brackets are wider by MARGIN.
+SKETCH_ACCURACY = 10_000
+MARGIN = 4 / SKETCH_ACCURACY
 
 
 def _numeric_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -22,98 +24,69 @@ def _numeric_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def _bin(value: Column, low: Column, high: Column) -> Column:
-    """Equal-width bin number; never falls as the value grows."""
-    return F.when(
-        high > low, F.floor((value - low) / (high - low) * F.lit(float(QUANTILE_BINS)))
-    ).otherwise(F.lit(0)).cast("long")
+def _described_quantiles(rows: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """(column, moments, probability, quantile) of (column, value) rows, in two passes.
 
-
-def _locate(counts: DataFrame, targets: DataFrame, by: list[str], step: str) -> DataFrame:
-    """For each target rank the ``step`` (bin or value) that holds it and its rank inside.
-
-    ``counts`` has one row per (by, step); ``targets`` a few rows per column.
+    The first gives each column's moments and, from a sketch of bounded size, a bracket around every
+    wanted quantile. The second counts what lies below a bracket as one number and what lies inside
+    value by value. A bracket holds the same small share of the rows whatever the distribution, so
+    outliers don't widen it. Both passes pre-aggregate; what is broadcast has a row per column.
     """
-    order = Window.partitionBy(*by).orderBy(step)
-    spans = counts.withColumn("upto", F.sum("count").over(order)).withColumn(
-        "before", F.col("upto") - F.col("count")
+    points = [min(max(p + side, 0.0), 1.0) for p in probabilities for side in (-MARGIN, MARGIN)]
+    known = rows.groupBy("column").agg(
+        F.struct(
+            F.count("value").alias("count"), F.avg("value").alias("mean"),
+            F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
+        ).alias("moments"),
+        F.percentile_approx("value", points, SKETCH_ACCURACY).alias("cuts"),
     )
-    inside = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto"))
-    return (
-        spans.join(F.broadcast(targets), by)
-        .where(inside).withColumn("rank", F.col("rank") - F.col("before"))
-        .drop("count", "before", "upto")
+    brackets = F.array(
+        *[
+            F.struct(
+                F.lit(float(p)).alias("probability"), F.get("cuts", F.lit(2 * i)).alias("low"),
+                F.get("cuts", F.lit(2 * i + 1)).alias("high"),
+            )
+            for i, p in enumerate(probabilities)
+        ]
     )
-
-
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, as ``(column, probability, quantile)``.
-
-    The built-in exact percentile keeps every distinct value of a column in one task. Here two
-    counting passes narrow each wanted rank to one of 4096 x 4096 value bins, and only the
-    values of those few bins are counted one by one. Every pass pre-aggregates before its
-    shuffle, and the tables joined back hold two rows per column and probability.
-    """
-    rows = _numeric_rows(df, columns)
-    ranges = rows.groupBy("column").agg(
-        F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+    near = rows.join(F.broadcast(known.select("column", "moments", brackets.alias("brackets"))), "column").select(
+        "column", "moments", "value", F.explode(F.filter("brackets", lambda b: F.col("value") <= b["high"])).alias("b")
     )
-    ranked = ranges.select(
-        "column", "low", "high",
-        F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("probability"),
-        (F.col("n") - 1).alias("last"),
-    ).withColumn("position", F.col("probability") * F.col("last"))
-    targets = ranked.select(
-        "column", "low", "high", "probability",
-        (F.col("position") - F.floor("position")).alias("fraction"),
-        F.posexplode(F.array(F.floor("position"), F.ceil("position"))).alias("side", "rank"),
+    inside = F.when(F.col("value") >= F.col("b.low"), F.col("value"))
+    counts = near.groupBy("column", "moments", "b.probability", inside.alias("value")).agg(
+        F.count(F.lit(1)).alias("n")
     )
+    # null, the rows below the bracket, comes first
+    order = Window.partitionBy("column", "probability").orderBy(F.asc_nulls_first("value"))
+    spans = counts.withColumn("upto", F.sum("n").over(order))
+    position = F.col("probability") * (F.col("moments.count") - 1)
 
-    first = rows.join(F.broadcast(ranges), "column").withColumn(
-        "bin", _bin(F.col("value"), F.col("low"), F.col("high"))
-    )
-    first_counts = first.groupBy("column", "bin").agg(F.count("*").alias("count"))
-    in_bin = _locate(first_counts, targets, ["column"], "bin")
-
-    width = (F.col("high") - F.col("low")) / F.lit(float(QUANTILE_BINS))
-    low = F.col("low") + F.col("bin") * width
-    wanted_bins = in_bin.select("column", "bin").distinct()
-    second = first.join(F.broadcast(wanted_bins), ["column", "bin"]).withColumn(
-        "sub", _bin(F.col("value"), low, low + width)
-    )
-    second_counts = second.groupBy("column", "bin", "sub").agg(F.count("*").alias("count"))
-    in_sub = _locate(second_counts, in_bin, ["column", "bin"], "sub")
+    def at(rank: Column) -> Column:
+        here = (rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto"))
+        return F.max(F.when(here, F.col("value")))
 
-    wanted_subs = in_sub.select("column", "bin", "sub").distinct()
-    value_counts_ = (
-        second.join(F.broadcast(wanted_subs), ["column", "bin", "sub"])
-        .groupBy("column", "bin", "sub", "value").agg(F.count("*").alias("count"))
-    )
-    found = _locate(value_counts_, in_sub, ["column", "bin", "sub"], "value")
-    below = F.max(F.when(F.col("side") == 0, F.col("value")))
-    above = F.max(F.when(F.col("side") == 1, F.col("value")))
-    return found.groupBy("column", "probability").agg(
-        (below + (above - below) * F.max("fraction")).alias("quantile")
+    found = spans.groupBy("column", "moments", "probability").agg(
+        at(F.floor(position)).alias("below"), at(F.ceil(position)).alias("above")
     )
+    missed = F.raise_error(F.concat(F.lit("no quantile found for column "), F.col("column"))).cast("double")
+    quantile = F.col("below") + (F.col("above") - F.col("below")) * (position - F.floor(position))
+    return found.select("column", "moments", "probability", F.coalesce(quantile, missed).alias("quantile"))
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation, as ``(column, probability, quantile)``."""
+    return _described_quantiles(_numeric_rows(df, columns), probabilities).drop("moments")
 
 
 def profile_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum of numeric columns."""
-    rows = _numeric_rows(df, columns)
-    moments = rows.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
     names = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
-    quartiles = exact_quantiles(df, columns, list(names)).groupBy("column").agg(
-        *[
-            F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(name)
-            for p, name in names.items()
-        ]
-    )
-    return moments.join(quartiles, "column").select(
-        "column", "count", "mean", "std", "min", *names.values(), "max"
+    quartiles = [
+        F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(name) for p, name in names.items()
+    ]
+    found = _described_quantiles(_numeric_rows(df, columns), list(names))
+    return found.groupBy("column", "moments").agg(*quartiles).select(
+        "column", "moments.count", "moments.mean", "moments.std", "moments.min", *names.values(), "moments.max"
     )
 
 

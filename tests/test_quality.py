@@ -107,3 +107,20 @@ def test_split_and_top_items(spark):
     assert [r.sku for r in top.collect()] == ["2"] and [r.sku for r in low.collect()] == ["1"]
     months = quality.seasonal_totals(df, "month", "day", "line_amount").collect()
     assert [tuple(r) for r in months] == [("05", 3.0), ("06", 0.0)]
+
+
+def test_quantiles_of_heavy_tails_read_little_value_by_value(spark):
+    """One value of 1e15 among small ones: exact all the same, two reads, narrow brackets."""
+    values = [((i * 7919) % 100_003) / 1000 for i in range(40_000)] + [1e15, -1e15]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    found = {r.probability: r.quantile for r in quality.exact_quantiles(df, ["v"], [0.25, 0.5, 0.75]).collect()}
+    assert found == {p: pytest.approx(float(np.quantile(values, p)), rel=1e-12) for p in found}
+    points = [0.5 - quality.MARGIN, 0.5 + quality.MARGIN]
+    low, high = df.agg(F.percentile_approx("v", points, quality.SKETCH_ACCURACY)).first()[0]
+    assert df.where(F.col("v").between(low, high)).count() < len(values) / 500
+
+
+def test_profiles_read_the_table_twice(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    text = quality.profile_columns(df, ["l_quantity", "l_tax"])._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 2
