@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,9 +51,11 @@ def topk_item_series(
     )
 
 
-def topk_item_wide(series: DataFrame, value: str) -> DataFrame:
-    """One column per item of a long ``topk_item_series``; the column names are its k items."""
-    return series.groupBy("period").pivot("item").agg(F.sum(value)).orderBy("period")
+def topk_item_wide(series: DataFrame, value: str, items: Sequence[str] | None = None) -> DataFrame:
+    """One column per item of a long ``topk_item_series``. The columns are ``items``; without them a
+    job looks up the series' own k items."""
+    columns = list(items) if items is not None else None
+    return series.groupBy("period").pivot("item", columns).agg(F.sum(value)).orderBy("period")
 
 
 def topk_and_others(
