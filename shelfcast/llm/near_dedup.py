@@ -3,13 +3,15 @@
 Every document's set of word shingles gets ``TOKENS`` minwise tokens. A tree branches documents by
 tokens it chooses: at each node every token position is chosen with probability
 1 / (similarity * TOKENS), the same for all documents of the node, so that a pair at the wanted
-similarity is expected to share one child. Small nodes are compared exhaustively; independent trees
-(other positions at their roots) bring the recall up. Every link is confirmed on the full sets.
+similarity is expected to share one child. Nodes of at most ``NODE`` documents are compared
+exhaustively, on their full sets; larger ones are branched again. Independent trees, with other
+positions at their roots, bring the recall up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +24,21 @@ from shelfcast.llm.storage import small_enough, staged
 
 WORDS = 5
 SIMILARITY_PCT = 75
-#: Minwise tokens of a document, and independent trees over them.
+#: Minwise hashes of a document. All make up its sketch, one byte each; the first are its tokens.
+HASHES = 128
 TOKENS = 40
+#: Independent trees over the tokens.
 TREES = 10
-#: Rows of a node outside its largest known component that are compared with the whole node.
-SMALL_NODE = 64
-#: Share of equal tokens below which a pair isn't confirmed: more than four deviations below 0.75.
-LEAST_SHARED = 0.45
-#: Levels after which a node is compared in blocks instead of being branched once more.
+#: Documents of the largest node that one task compares.
+NODE = 4096
+#: Documents, expected, of a larger node that all others are compared with before it is branched.
+PIVOTS = 8
+#: Share of equal sketch bytes below which sets aren't compared: four deviations below 0.75.
+LEAST_SHARED = 0.597
+#: Levels after which a node is cut into blocks instead of being branched once more.
 LEVELS = 8
 
-_FACTORS = tx.constants(TOKENS, 101)
+_FACTORS = tx.constants(HASHES, 101)
 
 
 def roots() -> list[int]:
@@ -57,10 +63,10 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         yield first, last, np.concatenate(parts) if parts else grams[:0], ends
 
 
-def _tokens(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Minwise tokens, one row of ``TOKENS`` 32-bit numbers for each row that has a set."""
+def _minima(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Minwise hashes, one row of ``HASHES`` 32-bit numbers for each row that has a set."""
     full = offsets[:-1][np.diff(offsets) > 0]
-    out = np.empty((len(full), TOKENS), dtype="<u4")
+    out = np.empty((len(full), HASHES), dtype="<u4")
     for i, factor in enumerate(_FACTORS):
         out[:, i] = np.minimum.reduceat(values * factor, full) >> np.uint64(32)
     return out
@@ -71,19 +77,22 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, last, values, offsets in _sets(batch.column("text")):
             sizes = np.diff(offsets)
             full = sizes > 0
-            one, two, tokens = np.zeros(len(sizes), "i8"), np.zeros(len(sizes), "i8"), [None] * len(sizes)
+            one, two = np.zeros(len(sizes), "i8"), np.zeros(len(sizes), "i8")
+            tokens, sketches = [None] * len(sizes), [None] * len(sizes)
             if full.any():
                 starts = offsets[:-1][full]
                 one[full] = np.add.reduceat(values, starts).view("i8")
                 two[full] = np.add.reduceat(tx.mix(values), starts).view("i8")
-                for row, sketch in zip(np.flatnonzero(full).tolist(), _tokens(values, offsets), strict=True):
-                    tokens[row] = sketch.tobytes()
+                minima = _minima(values, offsets)
+                short = minima.astype(np.uint8)
+                for i, row in enumerate(np.flatnonzero(full).tolist()):
+                    tokens[row], sketches[row] = minima[i, :TOKENS].tobytes(), short[i].tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id").slice(first, last - first), pa.array(sizes),
-                    pa.array(one), pa.array(two), pa.array(tokens, pa.binary()),
+                    batch.column("id").slice(first, last - first), pa.array(sizes), pa.array(one), pa.array(two),
+                    pa.array(tokens, pa.binary()), pa.array(sketches, pa.binary()),
                 ],
-                names=["id", "n_shingles", "set_a", "set_b", "tokens"],
+                names=["id", "n_shingles", "set_a", "set_b", "tokens", "sketch"],
             )
 
 
@@ -99,163 +108,233 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, TOKENS)
+def _stacked(column: pa.Array, kind: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, width)
 
 
-def _alike(n: np.ndarray, sketch: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Whether sizes allow the similarity and the tokens don't speak against it."""
-    sizes = 100 * np.minimum(n, m) >= SIMILARITY_PCT * np.maximum(n, m)
-    return sizes & ((sketch == other).mean(axis=-1) >= LEAST_SHARED)
-
-
-def _with_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by node, regrouped so that no node is cut."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        n, m = batch.column("n").to_numpy(), batch.column("pivot_n").to_numpy()
-        fits = _alike(n, _sketches(batch.column("tokens")), m, _sketches(batch.column("pivot_tokens")))
-        yield _pairs(batch.column("pivot").to_numpy()[fits], batch.column("rep").to_numpy()[fits])
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        if not batch.num_rows:
+            continue
+        nodes = batch.column("node").to_numpy()
+        if held and held[-1].column("node")[-1].as_py() != nodes[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        last = int(np.searchsorted(nodes != nodes[-1], False)) if nodes[0] == nodes[-1] else int(np.flatnonzero(nodes != nodes[-1])[-1]) + 1
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sized(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(n, m) >= SIMILARITY_PCT * np.maximum(n, m)
+
+
+def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a partner in their node that sizes and sketches allow, and that no small node of an
+    earlier root has met already. All pairs of a node are looked at, none is given."""
+    for table in _whole_nodes(batches):
+        node, rep, n = (table.column(c).to_numpy() for c in ("node", "rep", "n"))
+        sketch = _stacked(table.column("sketch"), "u1", HASHES)
+        earlier = _lists(table.column("earlier"))
+        good = np.zeros(len(node), bool)
+        for lag in range(1, len(node)):
+            at = np.flatnonzero(node[lag:] == node[:-lag])
+            if not len(at):
+                break
+            at = at[_sized(n[at], n[at + lag])]
+            at = at[(sketch[at] == sketch[at + lag]).mean(axis=1) >= LEAST_SHARED]
+            at = at[~((earlier[at] == earlier[at + lag]) & (earlier[at] != 0)).any(axis=1)]
+            good[at] = good[at + lag] = True
+        for part in table.filter(pa.array(good)).combine_chunks().to_batches():
+            yield part
+
+
+def _lists(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each node on full sets. Documents that links have joined already aren't compared
+    again, so a node gives fewer links than it has documents."""
+    for table in _whole_nodes(batches):
+        node, rep, n = (table.column(c).to_numpy() for c in ("node", "rep", "n"))
+        sketch, earlier = _stacked(table.column("sketch"), "u1", HASHES), _lists(table.column("earlier"))
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("shingles")]
+        edges = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True])))
+        links: list[tuple[int, int]] = []
+        for first, last in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            group = np.arange(last - first)  # component of each row of the node
+            for i in range(first, last - 1):
+                rest = np.arange(i + 1, last)
+                rest = rest[(group[rest - first] != group[i - first]) & _sized(n[rest], n[i])]
+                rest = rest[(sketch[rest] == sketch[i]).mean(axis=1) >= LEAST_SHARED]
+                rest = rest[~((earlier[rest] == earlier[i]) & (earlier[i] != 0)).any(axis=1)]
+                if not len(rest):
+                    continue
+                for j in rest[_similar(sets[i], [sets[j] for j in rest.tolist()])].tolist():
+                    a, b = group[i - first], group[j - first]
+                    if a != b:
+                        group[group == b] = a
+                        links.append((rep[i], rep[j]))
+        if links:
+            both = np.array(links)
+            yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=1)), pa.array(both.max(axis=1))], names=["a", "b"])
+
+
+def _similar(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Whether each of ``others`` is similar enough to ``one``; all are sorted and not empty."""
+    sizes = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    shared = np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * shared >= SIMILARITY_PCT * (len(one) + sizes - shared)
+
+
+def _to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows with the pivots of their node that sizes and sketches allow."""
+    for batch in batches:
+        rep, n = batch.column("rep").to_numpy(), batch.column("n").to_numpy()
+        sketch, lists, pairs = _stacked(batch.column("sketch"), "u1", HASHES), batch.column("pivots"), []
+        for i in range(batch.num_rows):
+            pivots = lists[i].values
+            p_rep, p_n = pivots.field("rep").to_numpy(), pivots.field("n").to_numpy()
+            fits = _sized(p_n, n[i]) & (p_rep != rep[i])
+            fits &= (_stacked(pivots.field("sketch"), "u1", HASHES) == sketch[i]).mean(axis=1) >= LEAST_SHARED
+            pairs += [(min(rep[i], p), max(rep[i], p)) for p in p_rep[fits].tolist()]
+        if pairs:
+            both = np.array(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-def _with_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every row against the listed rows of its node that are of another component."""
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rep, n, part = (batch.column(c).to_numpy() for c in ("rep", "n", "part"))
-        sketch, lists = _sketches(batch.column("tokens")), batch.column("others")
-        flat, at = lists.flatten(), lists.offsets.to_numpy()
-        o_rep, o_n, o_part = (flat.field(c).to_numpy() for c in ("rep", "n", "part"))
-        o_sketch = _sketches(flat.field("tokens"))
-        at = at - at[0]
-        found = []
-        for i in range(len(rep)):
-            s = slice(at[i], at[i + 1])
-            fits = (o_part[s] != part[i]) & _alike(n[i], sketch[i], o_n[s], o_sketch[s])
-            if fits.any():
-                found.append(np.stack([np.full(fits.sum(), rep[i]), o_rep[s][fits]]))
-        if found:
-            both = np.concatenate(found, axis=1)
-            yield _pairs(both[0], both[1])
+        sides = zip(batch.column("left_set"), batch.column("right_set"), strict=True)
+        keep = [
+            bool(_similar(np.frombuffer(x.as_buffer(), "<u8"), [np.frombuffer(y.as_buffer(), "<u8")])[0]) for x, y in sides
+        ]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     limit = np.uint64(int(2.0**64 * 100 / (SIMILARITY_PCT * TOKENS)))
     for batch in batches:
         node = batch.column("node").to_numpy().view(np.uint64)
-        sketch = _sketches(batch.column("tokens"))
+        tokens = _stacked(batch.column("tokens"), "<u4", TOKENS)
         rows, keys = [], []
         for i in range(TOKENS):
             chosen = np.flatnonzero(tx.mix(node ^ _FACTORS[i]) < limit)
             rows.append(chosen)
-            keys.append(tx.mix(tx.mix(node[chosen] + _FACTORS[i]) ^ sketch[chosen, i].astype(np.uint64)))
+            keys.append(tx.mix(tx.mix(node[chosen] + _FACTORS[i]) ^ tokens[chosen, i].astype(np.uint64)))
         rows, keys = np.concatenate(rows), np.concatenate(keys)
         out = batch.take(pa.array(rows))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.view("i8")), *(out.column(c) for c in ("rep", "n", "tokens"))],
-            names=["node", "rep", "n", "tokens"],
+            [pa.array(keys.view("i8")), out.column("rep")], names=["node", "rep"]
         )
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        sides = (batch.column("left_set"), batch.column("right_set"))
-        for left, right in zip(*sides, strict=True):
-            x, y = np.frombuffer(left.as_buffer(), "<u8"), np.frombuffer(right.as_buffer(), "<u8")
-            both = np.concatenate((x, y))
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * shared >= SIMILARITY_PCT * (len(both) - shared))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+_PAIR = "a long, b long"
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough, written."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left_set"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right_set"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "left_set", "right_set")
-    return staged(rows.mapInArrow(_confirmed, "a long, b long"), "near-links")
+_ROW = "node long, rep long, n long, sketch binary, earlier array<long>"
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that hold two documents at least."""
-    return rows.join(rows.groupBy("node").count().where("count > 1").select("node"), "node", "left_semi")
+def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Full sets of the documents that ``ids`` (id) lists: their texts are read again."""
+    wanted = staged(ids.distinct(), "near-ids")
+    found = texts.join(small_enough(wanted, 32), "id", "left_semi")
+    return staged(found.mapInArrow(_full_sets, "id long, shingles binary"), "near-sets")
+
+
+def _compared(rows: DataFrame, described: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links within the nodes of ``rows`` (node, rep, earlier), all of ``NODE`` rows at most."""
+    seen = rows.join(described.select("rep", "n", "sketch"), "rep").select("node", "rep", "n", "sketch", "earlier")
+    flagged = staged(seen.repartition("node").sortWithinPartitions("node").mapInArrow(_flagged, _ROW), "near-flagged")
+    if flagged.isEmpty():
+        return texts.sparkSession.createDataFrame([], _PAIR)
+    sets = _sets_of(texts, flagged.select(F.col("rep").alias("id")))
+    ordered = flagged.join(sets.withColumnRenamed("id", "rep"), "rep").repartition("node").sortWithinPartitions("node")
+    columns = ["node", "rep", "n", "sketch", "earlier", "shingles"]
+    return staged(ordered.select(*columns).mapInArrow(_linked, _PAIR), "near-links")
+
+
+def _star(rows: DataFrame, described: DataFrame, texts: DataFrame, level: int) -> DataFrame:
+    """Links of the rows (node, rep, count) of large nodes with a few pivots of their node."""
+    held = rows.join(described.select("rep", "n", "sketch"), "rep")
+    draw = F.shiftrightunsigned(F.xxhash64("rep", F.lit(level)), 1) / F.lit(2.0**63)
+    pivots = held.where(draw < PIVOTS / F.col("count")).groupBy("node").agg(
+        F.collect_list(F.struct("rep", "n", "sketch")).alias("pivots")
+    )
+    pairs = staged(
+        held.join(pivots, "node").select("rep", "n", "sketch", "pivots").mapInArrow(_to_pivots, _PAIR).distinct(),
+        "near-pairs",
+    )
+    if pairs.isEmpty():
+        return pairs
+    sets = _sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left_set"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right_set"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left_set", "right_set")
+    return staged(both.mapInArrow(_confirmed, _PAIR), "near-links")
 
 
 def links_of(texts: DataFrame, described: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) that connect what all links of the wanted similarity connect.
+    """Links (a, b), of the wanted similarity, that connect whatever such links connect.
 
-    ``described`` has one row per distinct set: rep, n, tokens; ``texts`` has id and text. Within a
-    node every row is first compared with one pivot; rows that this joins are one component
-    already, and only pairs of different components are compared after that. A link left out thus
-    joins documents that other links have joined.
+    ``described`` has one row per distinct set: rep, n, tokens, sketch; ``texts`` has id and text.
+    Full sets are built, and shuffled, only for documents that sketches leave open in some node.
     """
-    positions = roots()
-    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("tokens", 4 * i + 1, 4)) for i in positions])
-    spread = described.select("rep", F.explode(keys).alias("node"))
-    rows = staged(_shared(spread).join(described, "rep").select("node", "rep", "n", "tokens"), "near-nodes")
-
-    wanted = staged(rows.select(F.col("rep").alias("id")).distinct(), "near-ids")
-    sets = staged(
-        texts.join(small_enough(wanted, 32), "id", "left_semi").mapInArrow(_full_sets, "id long, shingles binary"),
-        "near-sets",
+    key = [F.xxhash64(F.lit(i), F.substring("tokens", 4 * i + 1, 4)) for i in roots()]
+    spread = described.select("rep", F.posexplode(F.array(*key)).alias("root", "node"))
+    nodes = staged(spread.groupBy("node").count().where("count > 1"), "near-nodes")
+    rows = staged(spread.join(nodes, "node"), "near-rows")
+    # a pair is compared in the first small node that it shares: rows carry those of earlier roots
+    places = range(len(key))
+    small = rows.where(F.col("count") <= NODE).groupBy("rep").agg(
+        *[F.max(F.when(F.col("root") == k, F.col("node"))).alias(f"n{k}") for k in places]
     )
-    links: DataFrame | None = None
-    level = 0
-    while not rows.isEmpty():
+    nothing = F.lit(0).cast("long")
+    each = F.posexplode(F.array(*[F.col(f"n{k}") for k in places])).alias("root", "node")
+    before = F.array(*[F.when(F.col("root") > k, F.coalesce(f"n{k}", nothing)).otherwise(nothing) for k in places])
+    first = small.select("rep", *[f"n{k}" for k in places], each).where("node IS NOT NULL")
+    links = [_compared(first.select("node", "rep", before.alias("earlier")), described, texts)]
+
+    none = F.array_repeat(nothing, len(key))
+    large = rows.where(F.col("count") > NODE).select("node", "rep", "count")
+    level = 1
+    while not large.isEmpty():
+        links.append(_star(large, described, texts, level))
+        # a node whose documents are one component by now is done
+        labels = components(reduce(DataFrame.union, links)).select(F.col("vertex").alias("rep"), "label")
+        part = F.coalesce("label", "rep")
+        parts = large.join(labels, "rep", "left").groupBy("node").agg(F.min(part).alias("low"), F.max(part).alias("high"))
+        open_nodes = staged(parts.where("low <> high").select("node"), "near-open")
+        open_rows = large.join(open_nodes, "node", "left_semi")
         level += 1
-        # a few pivot orders, so that pivots of different nodes tend to be the same documents
-        order = F.xxhash64(F.col("node") % 4, "rep")
-        pivots = rows.groupBy("node").agg(F.min(F.struct(order.alias("o"), "rep"))["rep"].alias("pivot"))
-        pivot_rows = pivots.join(
-            described.select(F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("tokens").alias("pivot_tokens")),
-            "pivot",
-        )
-        against = rows.join(pivot_rows, "node").where("rep <> pivot")
-        pairs = against.select("rep", "n", "tokens", "pivot", "pivot_n", "pivot_tokens").mapInArrow(
-            _with_pivot, "a long, b long"
-        ).distinct()
-        found = _confirm(pairs, sets)
-        links = found if links is None else staged(links.union(found), "near-links")
-
-        labels = components(links, rounds=2).select(F.col("vertex").alias("rep"), "label")
-        parted = staged(
-            rows.join(labels, "rep", "left").withColumn("part", F.coalesce("label", "rep")).drop("label"),
-            "near-parts",
-        )
-        parts = parted.groupBy("node", "part").count()
-        nodes = parts.groupBy("node").agg(
-            F.sum("count").alias("size"), F.max(F.struct("count", "part")).alias("main"),
-            F.count(F.lit(1)).alias("parts"),
-        ).where("parts > 1").select(
-            "node", F.col("main.part").alias("main"), (F.col("size") - F.col("main.count")).alias("outside")
-        )
-        nodes = staged(nodes, "near-mixed")
-        last = level >= LEVELS
-        near = nodes if last else nodes.where(F.col("outside") <= SMALL_NODE)
-        # rows outside the node's main component, in blocks of about half SMALL_NODE if there are more
-        blocks = F.when(F.col("outside") > SMALL_NODE, F.ceil(F.col("outside") / (SMALL_NODE // 2))).otherwise(1)
-        outside = (
-            parted.join(near, "node").where("part <> main")
-            .groupBy("node", F.pmod(F.xxhash64("rep"), blocks).alias("block"))
-            .agg(F.collect_list(F.struct("rep", "n", "part", "tokens")).alias("others"))
-        )
-        pairs = parted.join(outside, "node").select("rep", "n", "part", "tokens", "others").mapInArrow(
-            _with_others, "a long, b long"
-        ).distinct()
-        links = staged(links.union(_confirm(pairs, sets)), "near-links")
-        if last:
+        if level > LEVELS:
+            # every two blocks of a node meet in a node of their own
+            blocks = F.ceil(2 * F.col("count") / NODE).cast("int")
+            mine = F.pmod(F.xxhash64("rep", F.lit(level)), blocks).cast("int")
+            pairs = open_rows.select("node", "rep", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+            key_of = F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other"))
+            links.append(_compared(pairs.select(key_of.alias("node"), "rep", none.alias("earlier")), described, texts))
             break
-        large = nodes.where(F.col("outside") > SMALL_NODE).select("node")
-        branched = rows.join(large, "node", "left_semi").select("node", "rep", "n", "tokens").mapInArrow(
-            _children, "node long, rep long, n long, tokens binary"
+        branched = staged(
+            open_rows.select("node", "rep").join(described.select("rep", "tokens"), "rep").mapInArrow(_children, "node long, rep long"),
+            "near-branched",
         )
-        rows = staged(_shared(staged(branched, "near-branched")), "near-nodes")
-    if links is None:
-        links = texts.sparkSession.createDataFrame([], "a long, b long")
-    return links
+        sizes = staged(branched.groupBy("node").count().where("count > 1"), "near-nodes")
+        children = staged(branched.join(sizes, "node"), "near-rows")
+        links.append(_compared(children.where(F.col("count") <= NODE).select("node", "rep", none.alias("earlier")), described, texts))
+        large = children.where(F.col("count") > NODE).select("node", "rep", "count")
+    return reduce(DataFrame.union, links)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,7 +351,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = staged(
-        texts.mapInArrow(_describe, "id long, n_shingles long, set_a long, set_b long, tokens binary"),
+        texts.mapInArrow(_describe, "id long, n_shingles long, set_a long, set_b long, tokens binary, sketch binary"),
         "near-described",
     )
     usable = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
@@ -284,7 +363,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = groups.select("rep").distinct()
     described = staged(
         rows.where(usable).join(reps, rows["id"] == reps["rep"], "left_semi")
-        .select(F.col("id").alias("rep"), F.col("n_shingles").alias("n"), "tokens").dropDuplicates(["rep"]),
+        .select(F.col("id").alias("rep"), F.col("n_shingles").alias("n"), "tokens", "sketch").dropDuplicates(["rep"]),
         "near-sketches",
     )
     # one word sequence below the shingle length is similar to itself only
@@ -294,7 +373,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = groups.join(labels, "rep", "left").where("members > 1 OR label IS NOT NULL").select(
         *same, F.coalesce("label", "rep").alias("label")
     )
-    out = rows.drop("tokens").join(named, same, "left")
+    out = rows.drop("tokens", "sketch").join(named, same, "left")
     component = F.when(usable, F.coalesce("label", "id")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
