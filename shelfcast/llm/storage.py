@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +17,21 @@ from shelfcast.session import scratch_path
 BROADCAST_BYTES = 16 << 20
 
 
+@functools.cache
+def _shipped(spark: SparkSession) -> None:
+    """Give this package to the Python workers of a session, unless their search path has it."""
+    root = Path(__file__).resolve().parents[2]
+    found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    context = spark.sparkContext
+    if context.master.startswith("local") and any(p and Path(p).resolve() == root for p in found):
+        return
+    # the driver serves this file to the executors
+    folder = tempfile.mkdtemp(prefix="shelfcast-code-")
+    context.addPyFile(shutil.make_archive(f"{folder}/shelfcast-code", "zip", root, root.joinpath("shelfcast").name))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -20,6 +40,7 @@ def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
 
     A lost executor then costs a read of a committed file, never the work before it.
     """
+    _shipped(df.sparkSession)
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
