@@ -137,27 +137,28 @@ def reshard(
         F.pmod(F.xxhash64("text", F.lit(29)), F.lit(BLOCKS)).cast("int").alias("whole"),
         F.pmod(F.xxhash64("id", F.lit(5)), F.lit(CUTS)).cast("int").alias("cut"),
     )
-    cells = rows.groupBy("old_shard", "whole", "cut").agg(F.sum("size").alias("size")).collect()
-    total = sum(r["size"] for r in cells)
-    sums: dict[tuple[int, int], int] = {}
-    for r in cells:
-        sums[r["old_shard"], r["whole"]] = sums.get((r["old_shard"], r["whole"]), 0) + r["size"]
-    large = {b for b, size in sums.items() if size > LARGE_BLOCK * total / new_shards}
-    blocks = {(s, w * (CUTS + 1)): size for (s, w), size in sums.items() if (s, w) not in large}
-    blocks |= {
-        (r["old_shard"], r["whole"] * (CUTS + 1) + 1 + r["cut"]): r["size"]
-        for r in cells if (r["old_shard"], r["whole"]) in large
+    sums = {
+        (r["old_shard"], r["whole"]): r["size"]
+        for r in rows.groupBy("old_shard", "whole").agg(F.sum("size").alias("size")).collect()
     }
-    placed = plan_transfers(blocks, old_shards, new_shards)
+    large = {b for b, size in sums.items() if size > LARGE_BLOCK * sum(sums.values()) / new_shards}
+    blocks = {(s, w * (CUTS + 1)): size for (s, w), size in sums.items() if (s, w) not in large}
     spark = docs.sparkSession
+    # of large blocks there are a few at most, whatever the data
+    marks = F.broadcast(
+        spark.createDataFrame(sorted(large), "old_shard int, whole int").withColumn("is_large", F.lit(True))
+    )
+    if large:
+        cells = rows.join(marks, ["old_shard", "whole"]).groupBy("old_shard", "whole", "cut").agg(F.sum("size").alias("size"))
+        blocks |= {(r["old_shard"], r["whole"] * (CUTS + 1) + 1 + r["cut"]): r["size"] for r in cells.collect()}
+    placed = plan_transfers(blocks, old_shards, new_shards)
     transfers = spark.createDataFrame(
         [(s, b, blocks[s, b], to) for (s, b), to in sorted(placed.items())],
         "old_shard int, block int, bytes long, shard int",
     )
-    marks = spark.createDataFrame(sorted(large), "old_shard int, whole int") if large else None
     block: Column = F.col("whole") * (CUTS + 1)
-    if marks is not None:
-        rows = rows.join(F.broadcast(marks.withColumn("is_large", F.lit(True))), ["old_shard", "whole"], "left")
+    if large:
+        rows = rows.join(marks, ["old_shard", "whole"], "left")
         block = F.when(F.col("is_large"), block + 1 + F.col("cut")).otherwise(block)
     # both tables have a row per block at most
     rows = rows.withColumn("block", block).join(
