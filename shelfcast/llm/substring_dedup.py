@@ -220,7 +220,8 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
         ),
         "repeat-anchors",
     )
-    shared = runs.groupBy("anchor").count().where("count > 1").select("anchor")
+    # written, so that a hot anchor's rows can be split in the join
+    shared = staged(runs.groupBy("anchor").count().where("count > 1").select("anchor"), "repeat-shared")
     live = staged(runs.join(shared, "anchor", "left_semi"), "repeat-live")
     groups = staged(
         live.groupBy("anchor", "digest", "windows", "lead").agg(
