@@ -53,11 +53,13 @@ def exact_duplicates(
         "dedup-lengths",
     )
 
-    shared_length = narrow.groupBy("length").count().where("count > 1").select("length")
-    by_length = narrow.join(shared_length, "length", "left_semi")
-    shared_prefix = by_length.groupBy("length", "prefix").count().where("count > 1")
+    shared_length = staged(narrow.groupBy("length").count().where("count > 1").select("length"), "dedup-shared")
+    by_length = narrow.join(small_enough(shared_length, 16), "length", "left_semi")
+    shared_prefix = staged(
+        by_length.groupBy("length", "prefix").count().where("count > 1").drop("count"), "dedup-shared"
+    )
     open_ids = staged(
-        by_length.join(shared_prefix.drop("count"), ["length", "prefix"], "left_semi")
+        by_length.join(small_enough(shared_prefix, 32), ["length", "prefix"], "left_semi")
         .select("id").distinct(),
         "dedup-open",
     )
