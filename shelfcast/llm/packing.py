@@ -37,6 +37,7 @@ def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                     ],
                     names=["id", "part", "before", "n_tokens", "ids"],
                 )
+        encoder.forget()
 
     return run
 

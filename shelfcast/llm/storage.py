@@ -17,9 +17,15 @@ from shelfcast.session import scratch_path
 BROADCAST_BYTES = 16 << 20
 
 
+#: Largest batch of rows that Spark hands to a Python worker; one row may be larger.
+BATCH_BYTES = 8 << 20
+
+
 @functools.cache
 def _shipped(spark: SparkSession) -> None:
-    """Give this package to the Python workers of a session, unless their search path has it."""
+    """Bound what Python workers get at once, and give them this package unless their search path
+    has it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     root = Path(__file__).resolve().parents[2]
     found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     context = spark.sparkContext

@@ -123,6 +123,7 @@ def _pack(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                         yield out
         if block:
             yield _block_rows(block, part, row)
+        encoder.forget()
 
     return run
 

@@ -16,7 +16,7 @@ _PIECE = re.compile(
     f" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?![\\w'’])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
 #: Pieces of a cache generation; the pieces of the one before are still looked up.
-CACHE = 500_000
+CACHE = 200_000
 #: Ids are kept as two bytes each: the vocabulary has fewer than 65,536.
 ID_TYPE = "<u2"
 
@@ -70,6 +70,10 @@ class PieceTokenizer:
             raise ValueError("ids of this vocabulary don't fit two bytes")
         self.known = _Pieces(self.tokenizer, {})
 
+    def forget(self) -> None:
+        """Empty the cache: a worker that goes on to other work holds no memory for this one."""
+        self.known = _Pieces(self.tokenizer, {})
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes of ``ID_TYPE``; null is empty."""
         if len(self.known) > CACHE:
