@@ -86,13 +86,13 @@ def exact_duplicates(
 
     # rows that repeat id and text are counted once here and told apart by a number at the end
     members = hashed.where("open").groupBy("id", "points", "length", "sha").agg(F.count(F.lit(1)).alias("copies"))
-    groups = members.groupBy("length", "sha").agg(
+    groups = staged(members.groupBy("length", "sha").agg(
         F.sum("copies").alias("group_size"),
         F.max(F.struct("points", F.col("id").isNotNull().alias("named"), (-F.col("id")).alias("minus_id"))).alias("best"),
     ).where("group_size > 1").select(
         "length", "sha", "group_size", (-F.col("best.minus_id")).alias("keep_id"),
         F.col("best.points").alias("keep_points"),
-    )
+    ), "dedup-groups")
     grouped = members.join(groups, ["length", "sha"], "left").select(
         "id", F.coalesce("group_size", F.lit(1)).alias("group_size"),
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
