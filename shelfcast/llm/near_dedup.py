@@ -1,9 +1,9 @@
 """Near duplicates by a chosen-path set similarity join over minwise tokens.
 
 Every document's set of word shingles gets ``TOKENS`` minwise tokens. A tree branches documents by
-tokens it chooses: at each node every token position is chosen with probability
-1 / (similarity * TOKENS), the same for all documents of the node, so that a pair at the wanted
-similarity is expected to share one child. Nodes of at most ``NODE`` documents are compared
+tokens it chooses: at each node every token position not used above it is chosen with probability
+1 / (similarity * their number), the same for all documents of the node, so that a pair at the
+wanted similarity is expected to share one child, and one position at least is. Nodes of at most ``NODE`` documents are compared
 exhaustively, on their full sets; larger ones are branched again. Independent trees, with other
 positions at their roots, bring the recall up.
 """
@@ -224,19 +224,24 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    limit = np.uint64(int(2.0**64 * 100 / (SIMILARITY_PCT * TOKENS)))
+    """Rows of the children. A node chooses among the positions not used on its way (bits of
+    ``used``), each with 1 / (similarity * their number), and the one drawn lowest if none is."""
+    places = np.arange(TOKENS)
     for batch in batches:
         node = batch.column("node").to_numpy().view(np.uint64)
+        used = batch.column("used").to_numpy()
         tokens = _stacked(batch.column("tokens"), "<u4", TOKENS)
-        rows, keys = [], []
-        for i in range(TOKENS):
-            chosen = np.flatnonzero(tx.mix(node ^ _FACTORS[i]) < limit)
-            rows.append(chosen)
-            keys.append(tx.mix(tx.mix(node[chosen] + _FACTORS[i]) ^ tokens[chosen, i].astype(np.uint64)))
-        rows, keys = np.concatenate(rows), np.concatenate(keys)
-        out = batch.take(pa.array(rows))
+        free = (used[:, None] >> places) & 1 == 0
+        share = (tx.mix(node[:, None] ^ _FACTORS[:TOKENS]) >> np.uint64(11)).astype(np.float64) / 2.0**53
+        share[~free] = np.inf
+        picked = share < 100 / (SIMILARITY_PCT * np.maximum(free.sum(axis=1), 1))[:, None]
+        bare = np.flatnonzero(~picked.any(axis=1) & free.any(axis=1))
+        picked[bare, share[bare].argmin(axis=1)] = True
+        rows, at = np.nonzero(picked)
+        keys = tx.mix(tx.mix(node[rows] + _FACTORS[at]) ^ tokens[rows, at].astype(np.uint64))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.view("i8")), out.column("rep")], names=["node", "rep"]
+            [pa.array(keys.view("i8")), batch.column("rep").take(pa.array(rows)), pa.array(used[rows] | 1 << at)],
+            names=["node", "rep", "used"],
         )
 
 
@@ -307,7 +312,8 @@ def links_of(texts: DataFrame, described: DataFrame) -> DataFrame:
     links = [_compared(first.select("node", "rep", before.alias("earlier")), described, texts)]
 
     none = F.array_repeat(nothing, len(key))
-    large = rows.where(F.col("count") > NODE).select("node", "rep", "count")
+    bits = F.array(*[F.lit(1 << i).cast("long") for i in roots()])
+    large = rows.where(F.col("count") > NODE).select("node", "rep", "count", F.get(bits, "root").alias("used"))
     level = 1
     while not large.isEmpty():
         links.append(_star(large, described, texts, level))
@@ -318,7 +324,7 @@ def links_of(texts: DataFrame, described: DataFrame) -> DataFrame:
         open_nodes = staged(parts.where("low <> high").select("node"), "near-open")
         open_rows = large.join(open_nodes, "node", "left_semi")
         level += 1
-        if level > LEVELS:
+        if level > min(LEVELS, TOKENS):
             # every two blocks of a node meet in a node of their own
             blocks = F.ceil(2 * F.col("count") / NODE).cast("int")
             mine = F.pmod(F.xxhash64("rep", F.lit(level)), blocks).cast("int")
@@ -327,13 +333,14 @@ def links_of(texts: DataFrame, described: DataFrame) -> DataFrame:
             links.append(_compared(pairs.select(key_of.alias("node"), "rep", none.alias("earlier")), described, texts))
             break
         branched = staged(
-            open_rows.select("node", "rep").join(described.select("rep", "tokens"), "rep").mapInArrow(_children, "node long, rep long"),
+            open_rows.select("node", "rep", "used").join(described.select("rep", "tokens"), "rep")
+            .mapInArrow(_children, "node long, rep long, used long"),
             "near-branched",
         )
         sizes = staged(branched.groupBy("node").count().where("count > 1"), "near-nodes")
         children = staged(branched.join(sizes, "node"), "near-rows")
         links.append(_compared(children.where(F.col("count") <= NODE).select("node", "rep", none.alias("earlier")), described, texts))
-        large = children.where(F.col("count") > NODE).select("node", "rep", "count")
+        large = children.where(F.col("count") > NODE).select("node", "rep", "count", "used")
     return reduce(DataFrame.union, links)
 
 

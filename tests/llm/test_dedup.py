@@ -92,6 +92,35 @@ def test_chains_of_near_copies_in_large_nodes(spark, monkeypatch):
     assert found == components(rows)
 
 
+def test_boilerplate_pairs_in_large_nodes(spark, monkeypatch):
+    """Pairs at 0.77 among pages at 0.69 that share most of their text, without help of pivots."""
+    monkeypatch.setattr(near_dedup, "NODE", 16)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 0)
+    monkeypatch.setattr(near_dedup, "LEVELS", 5)
+    common, rows = words(304, 51), []
+    for i in range(200):
+        shared = words(20, 1000 + i)
+        rows += [(2 * i + j, f"{common} {shared} {words(48, 5000 + 2 * i + j)}") for j in range(2)]
+    assert components(rows) == {d: d - d % 2 for d, _ in rows}
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, rows)).collect()}
+    assert sum(found[2 * i + 1] != 2 * i for i in range(200)) <= 2
+
+
+def test_every_large_node_gets_a_child():
+    import pyarrow as pa
+
+    nodes = np.random.default_rng(9).integers(-(2**63), 2**63 - 1, 3000)
+    tokens = [np.arange(near_dedup.TOKENS, dtype="<u4").tobytes()] * len(nodes)
+    used = near_dedup.TOKENS // 2
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(nodes), pa.array(np.arange(len(nodes))), pa.array(tokens, pa.binary()), pa.array([(1 << used) - 1] * len(nodes))],
+        names=["node", "rep", "tokens", "used"],
+    )
+    children = next(near_dedup._children(iter([batch])))
+    assert set(children.column("rep").to_pylist()) == set(range(len(nodes)))
+    assert all(u >> used for u in children.column("used").to_pylist())
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)]
     found = {r.vertex: r.label for r in spark_components(table(spark, links, "a long, b long")).collect()}
