@@ -3,11 +3,13 @@
 Texts become templates: a token that is a number, a unit behind a number or a name is replaced by a
 typed placeholder. Windows of template tokens are hashed and joined with those of the benchmark.
 Windows of one passage lie on one diagonal (document position less item position); along it each
-placeholder's value has to be exchanged consistently for the passage to count.
+placeholder's value has to be exchanged consistently for the passage to count. Windows of the tokens
+themselves are joined as well: a long verbatim passage counts whatever stands elsewhere on its diagonal.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,10 +24,12 @@ from shelfcast.llm.storage import BROADCAST_BYTES, staged
 #: Tokens of a window, and of the shortest item that is searched for.
 TOKENS = 8
 SHORTEST = 5
-#: Share of a window's tokens that have to be literal words.
+#: Share of a template window's tokens that have to be literal words; those that begin a sentence count.
 LITERAL = 0.5
 #: Windows on one diagonal that make a finding, if the item has as many: 13 words in a row.
 LEAST_WINDOWS = 6
+#: Verbatim windows that make a finding even if values contradict each other, if the item has as many.
+LEAST_EXACT = 12
 
 # Number words and units.
 NUMBER_WORDS = [
@@ -73,13 +77,14 @@ def _lowered(column: pa.Array) -> pa.Array:
 
 
 def _templates(data: np.ndarray, lowered: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Tokens of a slice: (template hash, kind, start, end, row). Punctuation around a token and its
-    letters' case don't count; tokens of punctuation alone are left out."""
+    """Tokens of a slice: (template hash, token hash, kind, literal, start, end, row). Punctuation
+    around a token and its letters' case don't count; tokens of punctuation alone are left out. A
+    capitalised word is a name wherever its sentence begins, and literal as well where it begins one."""
     starts, ends, rows = tx.word_spans(~tx.SPACE[data], offsets)
     inner = np.flatnonzero(_INNER[data])
     if not len(inner) or not len(starts):
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none.astype(bool), none, none, none
     first = np.searchsorted(inner, starts)
     last = np.searchsorted(inner, ends) - 1
     full = last >= first
@@ -96,19 +101,22 @@ def _templates(data: np.ndarray, lowered: np.ndarray, offsets: np.ndarray) -> tu
     hashes = tx.span_hash(tx.prefix_hash(tx.LOWER[lowered]), starts, ends)
     size = ends - starts
     kind = np.full(len(starts), WORD)
-    named = _UPPER[data[starts]] & (size > 1) & (lower[ends] - lower[starts] == size - 1) & ~begins
+    named = _UPPER[data[starts]] & (size > 1) & (lower[ends] - lower[starts] == size - 1)
     kind[named] = NAME
     number = (digits[ends] > digits[starts]) & (letters[ends] == letters[starts])
     kind[number | _within(_literal_hashes(NUMBER_WORDS), hashes)] = NUMBER
     behind = np.zeros(len(kind), bool)
     behind[1:] = (kind[:-1] == NUMBER) & (rows[1:] == rows[:-1])
     kind[behind & (kind != NUMBER) & _within(_literal_hashes(UNITS), hashes)] = UNIT
-    return np.where(kind == WORD, hashes, tx.constants(4, 77)[kind]), kind, starts, ends, rows
+    literal = (kind == WORD) | ((kind == NAME) & begins)
+    template = np.where(kind == WORD, hashes, tx.constants(4, 77)[kind])
+    return template, tx.mix(hashes ^ tx.constants(1, 78)[0]), kind, literal, starts, ends, rows
 
 
 def _windows(lengths: list[int] | None, wanted: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Template windows with their values. Without ``lengths`` each row's own length, ``TOKENS`` at
-    most, is taken; with ``wanted`` only windows whose hash is there are given."""
+    """Template windows with their values, and verbatim windows. Without ``lengths``, for items, each
+    row's own length, ``TOKENS`` at most, is taken, and template windows need their share of literal
+    words; with ``wanted`` only windows whose hash is there are given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,37 +124,43 @@ def _windows(lengths: list[int] | None, wanted: np.ndarray | None) -> Callable[[
             texts = pc.fill_null(batch.column("text"), "")
             both = zip(tx.slices(texts), tx.slices(_lowered(texts)), strict=True)
             for (first, last, data, offsets), (_, _, lowered, _) in both:
-                hashes, kind, starts, ends, rows = _templates(data, lowered, offsets)
+                template, exact, kind, is_literal, starts, ends, rows = _templates(data, lowered, offsets)
                 counts = np.bincount(rows, minlength=last - first)
                 begin = np.concatenate(([0], np.cumsum(counts)))
-                out: dict[str, list] = {"id": [], "window": [], "at": [], "size": [], "tokens": [], "values": []}
-                for k in lengths or range(SHORTEST, TOKENS + 1):
+                literal = np.concatenate(([0], np.cumsum(is_literal)))
+                out: dict[str, list] = {c: [] for c in ("id", "window", "at", "size", "tokens", "kept", "exact", "values")}
+                for k, hashes in itertools.product(lengths or range(SHORTEST, TOKENS + 1), (template, exact)):
                     grams, by = tx.windows(hashes, rows, last - first, k)
                     take = counts >= k if lengths else np.minimum(counts, TOKENS) == k
                     row = np.repeat(np.arange(last - first), np.diff(by))
                     at = np.arange(len(grams)) - by[row]
                     good = take[row]
-                    literal = np.concatenate(([0], np.cumsum(kind == WORD)))
                     place = np.minimum(begin[row] + at, len(kind))
-                    good &= literal[np.minimum(place + k, len(kind))] - literal[place] >= LITERAL * k
+                    filled = literal[np.minimum(place + k, len(kind))] - literal[place] >= LITERAL * k
+                    if not lengths and hashes is template:
+                        good &= filled
+                        kept = np.bincount(row[good], minlength=last - first)
                     if wanted is not None:
                         good &= _within(wanted, grams)
                     for i in np.flatnonzero(good).tolist():
                         a, r = int(place[i]), int(row[i])
                         slots = [
                             f"{int(kind[j])}:{bytes(data[starts[j]: ends[j]]).decode(errors='replace').lower()}"
-                            for j in range(a, a + k) if kind[j] != WORD
+                            for j in range(a, a + k) if kind[j] != WORD and hashes is template
                         ]
-                        values = (ids[first + r].as_py(), grams[i].view("i8").item(), int(at[i]), k, int(counts[r]), slots)
+                        values = (
+                            ids[first + r].as_py(), grams[i].view("i8").item(), int(at[i]), k, int(counts[r]),
+                            0 if lengths else int(kept[r]), hashes is exact, slots,
+                        )
                         for column, value in zip(out.values(), values, strict=True):
                             column.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
     return run
 
 
-_SCHEMA = "id long, window long, at long, size int, tokens long, values array<string>"
+_SCHEMA = "id long, window long, at long, size int, tokens long, kept long, exact boolean, values array<string>"
 
 
 def leaked_passages(
@@ -155,9 +169,11 @@ def leaked_passages(
     """One row per document and benchmark item found in it: id, item id, n_windows, n_slots,
     coverage, position, contaminated (always true).
 
-    n_windows counts the item's windows on the best diagonal, coverage is their share of all, and
-    n_slots the placeholder values there. A diagonal whose values contradict each other, two for one
-    value or one for two, is no finding.
+    n_windows counts the item's windows on the best diagonal, as templates or verbatim, coverage is
+    their share of all, and n_slots the placeholder values in template windows there. A diagonal needs
+    ``LEAST_WINDOWS`` template windows with literal words, or as many verbatim ones; if values there
+    contradict each other, two for one value or one for two, it needs ``LEAST_EXACT`` verbatim ones.
+    An item with fewer windows of a sort needs all of them.
 
     Items of fewer than ``SHORTEST`` tokens and null texts have no window; rows without an id are
     left out, since nothing names them; repeated rows give one finding; equal items each give
@@ -179,15 +195,20 @@ def leaked_passages(
     hits = seen.alias("d").join(asked.alias("b"), ["window", "size"]).select(
         F.col("d.id").alias("doc"), F.col("b.id").alias("item"), (F.col("d.at") - F.col("b.at")).alias("diagonal"),
         F.col("b.at").alias("at"), F.greatest(F.col("b.tokens") - F.col("b.size") + 1, F.lit(1)).alias("windows"),
+        F.col("b.kept").alias("kept"), F.col("b.exact").alias("exact"),
         F.arrays_zip(F.col("b.values").alias("asked"), F.col("d.values").alias("seen")).alias("slots"),
     )
     pairs = F.array_distinct(F.flatten(F.collect_set("slots")))
-    lines = hits.groupBy("doc", "item", "diagonal", "windows").agg(
-        F.count_distinct("at").alias("n_windows"), pairs.alias("pairs")
+    places = lambda which: F.size(F.collect_set(F.when(which, F.col("at")))).cast("long")
+    lines = hits.groupBy("doc", "item", "diagonal", "windows", "kept").agg(
+        places(F.lit(True)).alias("n_windows"), places(~F.col("exact")).alias("n_template"),
+        places(F.col("exact")).alias("n_exact"), pairs.alias("pairs"),
     )
     n = F.size("pairs")
     consistent = (F.size(F.array_distinct("pairs.asked")) == n) & (F.size(F.array_distinct("pairs.seen")) == n)
-    lines = lines.where(consistent & (F.col("n_windows") >= F.least(F.lit(LEAST_WINDOWS), F.col("windows"))))
+    as_template = (F.col("n_template") > 0) & (F.col("n_template") >= F.least(F.lit(LEAST_WINDOWS), "kept"))
+    verbatim = lambda least: F.col("n_exact") >= F.least(F.lit(least), "windows")
+    lines = lines.where((consistent & (as_template | verbatim(LEAST_WINDOWS))) | verbatim(LEAST_EXACT))
     return lines.groupBy("doc", "item").agg(
         F.max_by(F.struct("n_windows", n.cast("long").alias("n_slots"), "windows", "diagonal"), F.struct("n_windows", -F.col("diagonal"))).alias("best")
     ).select(

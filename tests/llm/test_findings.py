@@ -114,6 +114,22 @@ def test_passages_are_found_with_other_numbers_and_names(spark):
     assert {d for d, _ in found} <= {1, 2, 4, 9}
 
 
+def test_verbatim_passages_are_found_whatever_they_hold(spark):
+    short = "Carla bought 7 red lamps from an old shop beside the quiet harbour"
+    dense = "Compute 12 + 34 * 56 - 78 + 90 and 11 + 13 * 17 - 19"
+    shown = "Seven boats 21 22 23 24 cross the cold bay in a storm tonight"
+    long = f"first {words(25, 61)} 40 {words(14, 62)} 40 {words(18, 63)}"
+    twisted = " 41 ".join(long.rsplit(" 40 ", 1))
+    bench = table(spark, [(1, short), (2, dense), (3, long), (4, shown)], "item_id long, text string")
+    rows = [
+        (10, f"{words(20, 64)} {short} {words(9, 65)}"), (20, f"{words(20, 66)} {dense} {words(9, 67)}"),
+        (30, f"{words(20, 68)} {twisted} {words(9, 69)}"), (40, f"{words(20, 70)} {shown} {words(9, 71)}"),
+        (11, f"{words(20, 72)} {short.replace('Carla', 'Denis').replace('7', '8')} {words(9, 73)}"), (50, words(80, 74)),
+    ]
+    found = rows_of(decontaminate.leaked_passages(table(spark, rows), bench).select("doc_id", "item_id"))
+    assert found == [(10, 1), (11, 1), (20, 2), (30, 3), (40, 4)]
+
+
 def test_no_passages_in_nothing(spark):
     bench = table(spark, [(100, ITEM)], "item_id long, text string")
     assert decontaminate.leaked_passages(table(spark, []), bench).count() == 0
