@@ -97,25 +97,28 @@ class _Roller:
 
 
 def _write(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by range and page: a row without text tells what the next row of its page is."""
+    """Rows sorted by range and page: a page's rows without text, which come first, tell which payload
+    of it is a revisit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         attempt = f"{context.partitionId()}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-        roller, decided, done = None, (None, None), []
+        roller, decided, of, done = None, {}, None, []
         for batch in batches:
             columns = [batch.column(c) for c in ("part", "page", "digest", "decision", "refers_to", "url", "html")]
             for part, page, digest, decision, refers_to, url, html in zip(*columns, strict=True):
                 part, page = part.as_py(), page.as_py()
+                if page != of:
+                    of, decided = page, {}
                 if decision.as_py():
-                    decided = (page, refers_to.as_py())
+                    decided[digest.as_py()] = refers_to.as_py()
                     continue
                 if roller is None or roller.part != part:
                     if roller is not None:
                         roller.close()
                         done += roller.done
                     roller = _Roller(folder, part, attempt)
-                to = decided[1] if page is not None and decided[0] == page else None
+                to = decided.get(digest.as_py())
                 payload = (html.as_py() or "").encode()
                 member = gzip.compress(record(page, url.as_py(), payload, digest.as_py(), to), 6, mtime=0)
                 roller.add(member)
@@ -170,9 +173,8 @@ def write_archive(pages: DataFrame, path: str) -> DataFrame:
     their final names. Readers go by the manifest.
 
     A null html is an empty payload, a null url an empty target. A row without page_id is written
-    as a response. Rows that repeat a page_id and its payload are all written alike; with different
-    payloads each keeps its own digest, and a revisit then goes by page_id. Other columns are not
-    looked at. An empty table writes a manifest without files.
+    as a response. Rows that repeat a page_id and its payload are all written alike; different payloads
+    of a page_id are decided each by itself. Other columns are not looked at. An empty table writes a manifest without files.
     """
     spark = pages.sparkSession
     rows = pages.select(

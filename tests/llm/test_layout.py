@@ -48,6 +48,18 @@ def test_archive_round_trip(spark, tmp_path):
         assert r.payload == (body if to is None else None)
 
 
+def test_payloads_of_a_page_are_decided_one_by_one(spark, tmp_path):
+    one, two, three = (f"<html>{words(300, 80 + i)}</html>" for i in range(3))
+    rows = [(1, "u", one), (1, "u", two), (1, "u", "short"), (2, "v", two), (3, "w", three), (3, "w", one), (4, "x", three), (None, "y", two)]
+    path = str(tmp_path / "w")
+    warc.write_archive(table(spark, rows, PAGES), path)
+    digest = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    to = {(1, one): 3, (1, two): 2, (3, three): 4}
+    expected = [(p, digest(t), to.get((p, t)), None if (p, t) in to else t.encode()) for p, _, t in rows]
+    found = warc.read_archive(spark, path).collect()
+    assert sorted([(r.page_id, r.payload_digest, r.refers_to, r.payload and bytes(r.payload)) for r in found], key=repr) == sorted(expected, key=repr)
+
+
 def test_archives_of_the_same_rows_are_the_same_bytes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "ROLL_BYTES", 2000)
     monkeypatch.setattr(warc, "RANGE_BYTES", 4000)
