@@ -12,8 +12,8 @@ from shelfcast.llm.storage import small_enough, staged
 
 #: Blocks of a shard: what moves. Their number doesn't follow the data.
 BLOCKS = 512
-#: A block above this share of a shard's capacity is cut by document; only a group of equal texts
-#: that is that large by itself is spread over several blocks by this.
+#: A block above this share of a shard's capacity is cut by a further hash of the text, and a group of
+#: equal texts that is that large by itself by document; no other group is spread over several blocks.
 LARGE_BLOCK = 0.25
 CUTS = 64
 
@@ -118,7 +118,8 @@ def reshard(
     """(rows with their shard and slot, the block transfers) of a move to ``new_shards``.
 
     The old layout puts a text into one of ``old_shards`` and there into one of ``BLOCKS`` by its
-    hash, so equal texts share a block and move together. Block sizes (UTF-8 bytes of the text plus
+    hash, so equal texts share a block and move together, unless they alone exceed ``LARGE_BLOCK`` of
+    a shard. Block sizes (UTF-8 bytes of the text plus
     1), their number bounded by the two parameters, go to the flow on the driver; shards of the new
     layout get near equal sizes while the fewest bytes leave their shard. Blocks that move are
     written anew below ``path``, one folder for each new shard; all others stay in the files they
@@ -132,7 +133,7 @@ def reshard(
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
     key = F.xxhash64("text", F.lit(17))
     rows = rows.select(
-        "id", "text", (F.octet_length("text") + 1).cast("long").alias("size"),
+        "id", "text", key.alias("key"), (F.octet_length("text") + 1).cast("long").alias("size"),
         F.pmod(key, F.lit(old_shards)).cast("int").alias("old_shard"),
         F.pmod(F.xxhash64("text", F.lit(29)), F.lit(BLOCKS)).cast("int").alias("whole"),
         F.pmod(F.xxhash64("id", F.lit(5)), F.lit(CUTS)).cast("int").alias("cut"),
@@ -141,25 +142,35 @@ def reshard(
         (r["old_shard"], r["whole"]): r["size"]
         for r in rows.groupBy("old_shard", "whole").agg(F.sum("size").alias("size")).collect()
     }
-    large = {b for b, size in sums.items() if size > LARGE_BLOCK * sum(sums.values()) / new_shards}
-    blocks = {(s, w * (CUTS + 1)): size for (s, w), size in sums.items() if (s, w) not in large}
+    limit = LARGE_BLOCK * sum(sums.values()) / new_shards
+    large = {b for b, size in sums.items() if size > limit}
+    # numbers of a block: itself, its cuts by text, its cuts by document
+    numbers = 2 * CUTS + 1
+    blocks = {(s, w * numbers): size for (s, w), size in sums.items() if (s, w) not in large}
     spark = docs.sparkSession
     # of large blocks there are a few at most, whatever the data
     marks = F.broadcast(
         spark.createDataFrame(sorted(large), "old_shard int, whole int").withColumn("is_large", F.lit(True))
     )
+    block: Column = F.col("whole") * numbers
     if large:
-        cells = rows.join(marks, ["old_shard", "whole"]).groupBy("old_shard", "whole", "cut").agg(F.sum("size").alias("size"))
-        blocks |= {(r["old_shard"], r["whole"] * (CUTS + 1) + 1 + r["cut"]): r["size"] for r in cells.collect()}
+        marked = rows.join(marks, ["old_shard", "whole"])
+        heavy = marked.groupBy("old_shard", "whole", "key").agg(F.sum("size").alias("size")).where(F.col("size") > limit)
+        # as few: each has its share of a shard
+        hot = F.broadcast(
+            spark.createDataFrame([(r["key"],) for r in heavy.collect()], "key long").withColumn("is_hot", F.lit(True))
+        )
+        by_text = F.pmod(F.xxhash64("text", F.lit(41)), F.lit(CUTS)).cast("int")
+        inner = F.when(F.col("is_hot"), 1 + CUTS + F.col("cut")).otherwise(1 + by_text)
+        block = F.when(F.col("is_large"), block + inner).otherwise(block)
+        rows = rows.join(marks, ["old_shard", "whole"], "left").join(hot, "key", "left")
+        cells = rows.where("is_large").groupBy("old_shard", block.alias("block")).agg(F.sum("size").alias("size"))
+        blocks |= {(r["old_shard"], r["block"]): r["size"] for r in cells.collect()}
     placed = plan_transfers(blocks, old_shards, new_shards)
     transfers = spark.createDataFrame(
         [(s, b, blocks[s, b], to) for (s, b), to in sorted(placed.items())],
         "old_shard int, block int, bytes long, shard int",
     )
-    block: Column = F.col("whole") * (CUTS + 1)
-    if large:
-        rows = rows.join(marks, ["old_shard", "whole"], "left")
-        block = F.when(F.col("is_large"), block + 1 + F.col("cut")).otherwise(block)
     # both tables have a row per block at most
     rows = rows.withColumn("block", block).join(
         F.broadcast(transfers.select("old_shard", "block", "shard")), ["old_shard", "block"]

@@ -128,6 +128,25 @@ def test_reshard_places_every_row_once(spark, tmp_path):
     assert max(sizes.values()) - min(sizes.values()) < 0.9 * max(len((t or "").encode()) for _, t in rows)
 
 
+def test_reshard_cuts_a_large_block_by_text_first(spark, tmp_path):
+    """One text above the limit, and groups of others in its block, which have to stay whole."""
+    key = lambda texts, seed, n: [
+        r[0] for r in table(spark, [(t,) for t in texts], "t string").selectExpr(f"pmod(xxhash64(t, {seed}), {n})").collect()
+    ]
+    texts = [f"text {i}" for i in range(40_000)]
+    places = list(zip(key(texts, 17, 3), key(texts, 29, resharding.BLOCKS), strict=True))
+    mates = [t for t, p in zip(texts, places, strict=True) if p == places[0]]
+    assert len(mates) > 8
+    rows = [(i, mates[0]) for i in range(3000)] + [(10_000 + 100 * k + i, t) for k, t in enumerate(mates[1:]) for i in range(40)]
+    rows += [(90_000 + i, texts[i]) for i in range(2000)]
+    found, _ = resharding.reshard(table(spark, rows), str(tmp_path / "s"), 3, 4)
+    text_of, shards = dict(rows), defaultdict(set)
+    for r in found.collect():
+        shards[text_of[r.doc_id]].add(r.shard)
+    assert len(shards[mates[0]]) > 1
+    assert all(len(s) == 1 for t, s in shards.items() if t != mates[0])
+
+
 def test_reshard_nothing(spark, tmp_path):
     found, transfers = resharding.reshard(table(spark, []), str(tmp_path / "s"), 3, 4)
     assert found.count() == 0 and transfers.count() == 0
