@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfcast.llm.storage import small_enough, staged
@@ -112,6 +112,18 @@ def plan_transfers(blocks: dict[tuple[int, int], int], old: int, new: int) -> di
     return placed
 
 
+def _written(rows: DataFrame, path: str) -> None:
+    rows.write.option("maxRecordsPerFile", 1_000_000).option("compression", "zstd").partitionBy("shard").parquet(path)
+
+
+def _move_folder(spark: SparkSession, source: str, target: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(source), hadoop.Path(target)
+    store = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.rename(source, target):
+        raise OSError(f"{source} can't be moved to {target}")
+
+
 def reshard(
     docs: DataFrame, path: str, old_shards: int, new_shards: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
@@ -121,9 +133,10 @@ def reshard(
     hash, so equal texts share a block and move together, unless they alone exceed ``LARGE_BLOCK`` of
     a shard. Block sizes (UTF-8 bytes of the text plus
     1), their number bounded by the two parameters, go to the flow on the driver; shards of the new
-    layout get near equal sizes while the fewest bytes leave their shard. Blocks that move are
-    written anew below ``path``, one folder for each new shard; all others stay in the files they
-    are in. Rows: id, size, text_crc32, old_shard, shard, slot, moved. Slots count from 0 in every
+    layout get near equal sizes while the fewest bytes leave their shard. The old layout is written
+    to ``path``-old, one folder for each shard. Shards that lose or gain a block are written anew
+    below ``path`` from the old files; folders of the others are moved there, so ``path`` holds all
+    rows. Rows: id, size, text_crc32, old_shard, shard, slot, moved. Slots count from 0 in every
     shard, ordered by block and id.
 
     Null texts are empty ones. Ids may be null, and repeat: repeated rows get slots of their own.
@@ -171,16 +184,20 @@ def reshard(
         [(s, b, blocks[s, b], to) for (s, b), to in sorted(placed.items())],
         "old_shard int, block int, bytes long, shard int",
     )
+    columns = ["id", "text", "size", "old_shard", "block", "cut", "shard"]
+    schema = "id long, text string, size long, old_shard int, block int, cut int, shard int"
+    old = rows.withColumn("block", block).withColumn("shard", F.col("old_shard")).select(*columns)
+    _written(old, f"{path}-old")
+
+    changed = {x for (s, _), to in placed.items() if s != to for x in (s, to)}
     # both tables have a row per block at most
-    rows = rows.withColumn("block", block).join(
+    again = spark.read.schema(schema).parquet(f"{path}-old").drop("shard").join(
         F.broadcast(transfers.select("old_shard", "block", "shard")), ["old_shard", "block"]
-    ).select("id", "text", "size", "old_shard", "block", "cut", "shard")
-
-    moved = rows.where("shard <> old_shard")
-    moved.repartition("shard", "block", "cut").write.option("maxRecordsPerFile", 1_000_000).partitionBy("shard").parquet(path)
-    schema = "id long, text string, size long, old_shard int, block int, cut int, shard int"
-    again = spark.read.schema(schema).parquet(path).select(*rows.columns)
-    everything = rows.where("shard = old_shard").withColumn("moved", F.lit(False)).union(again.withColumn("moved", F.lit(True)))
+    ).where(F.col("shard").isin(sorted(changed)))
+    _written(again.select(*columns).repartition("shard", "block", "cut"), path)
+    for shard in sorted({s for s, _ in placed} - changed):
+        _move_folder(spark, f"{path}-old/shard={shard}", f"{path}/shard={shard}")
+    everything = spark.read.schema(schema).parquet(path).withColumn("moved", F.col("shard") != F.col("old_shard"))
     narrow = staged(
         everything.select(
             "id", "size", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "old_shard", "block", "cut", "shard", "moved"

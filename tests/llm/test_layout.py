@@ -147,6 +147,26 @@ def test_reshard_cuts_a_large_block_by_text_first(spark, tmp_path):
     assert all(len(s) == 1 for t, s in shards.items() if t != mates[0])
 
 
+def test_resharded_files_hold_every_row(spark, tmp_path, monkeypatch):
+    rows = awkward_rows() + [(200 + i, words(40 + i, i)) for i in range(60)]
+    expected = sorted((d is None, d or 0, t or "") for d, t in rows)
+
+    def check(path):
+        found, _ = resharding.reshard(table(spark, rows), path, 3, 4)
+        files = spark.read.parquet(path)
+        assert sorted((r.id is None, r.id or 0, r.text) for r in files.collect()) == expected
+        placed = sorted((r.id or 0, r["size"], r.shard, r.old_shard) for r in files.collect())
+        assert placed == sorted((r.doc_id or 0, r["size"], r.shard, r.old_shard) for r in found.collect())
+
+    check(str(tmp_path / "s"))
+    # one block changes its shard; shard 2 is left as it is
+    monkeypatch.setattr(
+        resharding, "plan_transfers",
+        lambda blocks, old, new: {b: 1 if b == min(blocks) else b[0] for b in blocks},
+    )
+    check(str(tmp_path / "t"))
+
+
 def test_reshard_nothing(spark, tmp_path):
     found, transfers = resharding.reshard(table(spark, []), str(tmp_path / "s"), 3, 4)
     assert found.count() == 0 and transfers.count() == 0
