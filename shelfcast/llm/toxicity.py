@@ -4,13 +4,19 @@ Tokens are lower-cased runs of letters. A token's score is its log-odds between
 labelled texts under a Dirichlet prior, whose weights follow the token's share of the whole corpus.
 One scan per document finds all maximal scoring segments; the scores of the best segments are held
 against their extreme-value distribution, and that surprise is calibrated to a probability.
+
+Labelled near copies share the weight of one text. A cluster is what agrees in a band of minwise
+shingles; without this, thousands of variants of one text shift the class totals, and ordinary words
+get log-odds of their own.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +31,17 @@ from shelfcast.llm.storage import small_enough, staged
 TRAINING_ROWS = 400_000
 #: Weight of the prior, as a share of the labelled texts.
 PRIOR_SHARE = 0.1
-#: Least z-score of the log-odds, and least toxic texts, of a token with a score of its own.
-LEAST_Z = 3.0
+#: Tokens that may get a score of their own by chance, over all tokens looked at, and the least
+#: toxic texts of a token with one.
+CHANCE_TOKENS = 0.5
 LEAST_TEXTS = 3
-#: Most tokens with a score of their own: the model's size. Those of largest z are taken.
-LEXICON = 100_000
+#: Least factor between the odds of a token in toxic and in other texts. On many texts every common
+#: word of a language differs a little, by length and mix of the texts; that speaks for nothing.
+LEAST_FACTOR = 2.0
+#: Words of a shingle, bands of a labelled text and minwise shingles of a band.
+SHINGLE, BANDS, BAND_ROWS = 5, 8, 3
+#: A text's weight is a whole number of these parts, so sums don't depend on their order.
+WHOLE = 1 << 20
 #: Expected chance segments as good as a segment, below which it is significant.
 SIGNIFICANT = 0.05
 THRESHOLD = 0.7
@@ -62,40 +74,88 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield first, last, hashes, rows, starts - offsets[rows], ends - offsets[rows]
 
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text, a key of each band: near copies agree in some, other texts hardly ever."""
+    factors = tx.constants(BANDS * BAND_ROWS, 41)
+    for batch in batches:
+        for first, last, data, offsets in tx.slices(batch.column("text")):
+            words, rows = tx.word_hashes(data, offsets)
+            shingles, at = tx.windows(words, rows, last - first, SHINGLE)
+            some = np.flatnonzero(np.diff(at))
+            least = np.full((BANDS * BAND_ROWS, last - first), np.iinfo(np.uint64).max, dtype=np.uint64)
+            for j, factor in enumerate(factors):
+                if len(some):
+                    least[j, some] = np.minimum.reduceat(shingles * factor, at[some])
+            keys = np.zeros((BANDS, last - first), dtype=np.uint64)
+            for j, row in enumerate(least):
+                keys[j // BAND_ROWS] = tx.mix(keys[j // BAND_ROWS] + row)
+            keys += np.arange(BANDS, dtype=np.uint64)[:, None]
+            n = last - first
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id").slice(first, n), batch.column("toxic").slice(first, n),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.arange(n + 1, dtype="i4") * BANDS), pa.array(keys.T.ravel().view("i8"))
+                    ),
+                ],
+                names=["id", "toxic", "keys"],
+            )
+
+
+def weighted(texts: DataFrame) -> DataFrame:
+    """(id, toxic, weight) of labelled ``texts``: ``WHOLE`` parts over the largest number of texts
+    that agree with one in a band. Keys alone are shuffled, and counted before they are."""
+    banded = staged(texts.mapInArrow(_bands, "id long, toxic int, keys array<long>"), "toxic-bands")
+    rows = banded.select("id", "toxic", F.explode("keys").alias("key"))
+    groups = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "toxic-groups")
+    largest = rows.join(small_enough(groups, 24), "key").groupBy("id").agg(F.max("n").alias("n"))
+    largest = staged(largest, "toxic-largest")
+    return banded.join(small_enough(largest, 24), "id", "left").select(
+        "id", "toxic", F.round(WHOLE / F.coalesce("n", F.lit(1))).cast("long").alias("weight")
+    )
+
+
 def _text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per slice, in how many toxic and other texts a token occurs."""
+    """Per slice, the weight of the toxic and of the other texts in which a token occurs."""
     for batch in batches:
-        toxic = batch.column("toxic").to_numpy()
+        toxic, weight = batch.column("toxic").to_numpy(), batch.column("weight").to_numpy()
         for first, _, hashes, rows, _, _ in _words(batch.column("text")):
             order = np.lexsort((rows, hashes))
             h, r = hashes[order], rows[order]
             new = np.ones(len(h), dtype=bool)
             new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-            h, y = h[new], toxic[first + r[new]]
+            h, y, w = h[new], toxic[first + r[new]], weight[first + r[new]]
             tokens, at = np.unique(h, return_inverse=True)
-            bad = np.bincount(at, weights=y, minlength=len(tokens)).astype("i8")
-            all_ = np.bincount(at, minlength=len(tokens)).astype("i8")
+            bad = np.bincount(at, weights=y * w, minlength=len(tokens)).astype("i8")
+            all_ = np.bincount(at, weights=w, minlength=len(tokens)).astype("i8")
             yield pa.RecordBatch.from_arrays(
                 [pa.array(tokens.view("i8")), pa.array(bad), pa.array(all_ - bad)], names=["token", "bad", "good"]
             )
 
 
 def _corpus_counts(tokens: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per partition, how often each of ``tokens`` and (as null) any token occurs."""
+    """Per partition, how often each of ``tokens`` occurs and in how many texts; as null token, how
+    many tokens and texts there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = np.zeros(len(tokens), "i8"), 0
+        counts, texts, total, n_texts = np.zeros(len(tokens), "i8"), np.zeros(len(tokens), "i8"), 0, 0
         for batch in batches:
-            for _, _, hashes, _, _, _ in _words(batch.column("text")):
-                counts += np.bincount(_places(tokens, hashes), minlength=len(tokens) + 1)[:-1]
+            n_texts += batch.num_rows
+            for first, last, hashes, rows, _, _ in _words(batch.column("text")):
+                at = _places(tokens, hashes)
+                known = at < len(tokens)
+                counts += np.bincount(at[known], minlength=len(tokens))
+                pairs = np.unique(at[known] * (last - first) + rows[known])
+                texts += np.bincount(pairs // (last - first), minlength=len(tokens))
                 total += len(hashes)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([*tokens[seen].view("i8").tolist(), None], pa.int64()),
                 pa.array([*counts[seen].tolist(), total], pa.int64()),
+                pa.array([*texts[seen].tolist(), n_texts], pa.int64()),
             ],
-            names=["token", "n"],
+            names=["token", "n", "texts"],
         )
 
     return run
@@ -149,13 +209,14 @@ def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 counts = np.bincount(rows, minlength=size)
                 begin = np.cumsum(counts) - counts
                 best, passages = np.zeros(size), [[] for _ in range(size)]
-                surprise = np.zeros(size)
+                surprise, sums = np.zeros(size), [[] for _ in range(size)]
                 at = _places(model.tokens, hashes)
                 hits = np.flatnonzero(at < len(model.tokens))
                 for row in np.unique(rows[hits]).tolist():
                     mine = hits[np.searchsorted(rows[hits], row): np.searchsorted(rows[hits], row, side="right")]
                     segments = _segments(mine, model.scores[at[mine]], model.other)
-                    best[row] = max(s for _, _, s in segments)
+                    sums[row] = [s for _, _, s in segments]
+                    best[row] = max(sums[row])
                     for a, b, s in segments:
                         chance = model.scale * counts[row] * math.exp(-model.decay * s)
                         if chance <= SIGNIFICANT:
@@ -169,18 +230,19 @@ def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(first, size), batch.column("toxic").slice(first, size),
+                        batch.column("weight").slice(first, size),
                         pa.array(counts, pa.int64()), pa.array(best), pa.array(surprise), pa.array(score),
-                        pa.array(passages, pa.list_(passage)),
+                        pa.array(passages, pa.list_(passage)), pa.array(sums, pa.list_(pa.float64())),
                     ],
-                    names=["id", "toxic", "n_tokens", "best", "surprise", "score", "passages"],
+                    names=["id", "toxic", "weight", "n_tokens", "best", "surprise", "score", "passages", "sums"],
                 )
 
     return run
 
 
 _SCORED = (
-    "id long, toxic int, n_tokens long, best double, surprise double, score double, "
-    "passages array<struct<start: long, end: long, score: double, chance: double>>"
+    "id long, toxic int, weight long, n_tokens long, best double, surprise double, score double, "
+    "passages array<struct<start: long, end: long, score: double, chance: double>>, sums array<double>"
 )
 
 
@@ -208,7 +270,11 @@ def _decay(scores: np.ndarray, shares: np.ndarray, other: float) -> float:
 
 
 def _platt(x: np.ndarray, bad: np.ndarray, good: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope of a logistic regression on binned counts, slightly regularised."""
+    """Intercept and slope of a logistic regression on binned weights, slightly regularised.
+
+    Surprise can't speak against a label: if the labels say so, no score follows from it, which is
+    said in a warning, and all texts get the share of toxic ones.
+    """
     design = np.stack([np.ones_like(x), x], axis=1)
     beta = np.zeros(2)
     for _ in range(50):
@@ -219,16 +285,38 @@ def _platt(x: np.ndarray, bad: np.ndarray, good: np.ndarray) -> tuple[float, flo
         beta += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0]), float(max(beta[1], 0.0))
+    if beta[1] <= 0:
+        warnings.warn("surprising passages are no likelier in toxic texts: every text gets one score", stacklevel=2)
+        return _log_odds(bad.sum(), good.sum()), 0.0
+    return float(beta[0]), float(beta[1])
+
+
+def _log_odds(bad: float, good: float) -> float:
+    base = (bad + 0.5) / (bad + good + 1) if bad + good else 0.5
+    return math.log(base / (1 - base))
+
+
+def _deviance_root(bad: Column, good: Column, share: float) -> Column:
+    """How far from ``share`` a token's share of toxic texts is, as a normal deviate: the root of the
+    binomial deviance, which holds for tokens that one label never has, too."""
+
+    def part(n: Column, expected: Column) -> Column:
+        return F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+
+    n = bad + good
+    return F.sqrt(F.greatest(F.lit(0.0), 2 * (part(bad, n * share) + part(good, n * (1 - share)))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from the labelled rows that aren't ``held_out``.
 
-    Equal texts count once, with the label that most of their rows have, so a group of copies
-    doesn't turn its words into toxic ones. Only the labelled sample's token counts are shuffled;
-    counts over the whole corpus are made for the sample's tokens alone, one row per partition and
-    token. With no toxic or no other text the model gives every document the share of toxic labels.
+    Equal texts and near copies share the weight of one text (see ``weighted``), in token counts,
+    class totals, the extreme-value scale and the calibration alike. Tokens get a score where so
+    large a share of toxic texts isn't expected by chance. Only the labelled sample's token counts
+    and band keys are shuffled; counts over the whole corpus are made for the scored tokens alone,
+    one row per partition and token. The lexicon is at most the vocabulary of the sample, which
+    ``TRAINING_ROWS`` bounds. With no toxic or no other text, or no telling token, the model gives
+    every document the share of toxic labels.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     usable = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(
@@ -241,63 +329,77 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         usable = staged(usable.where(draw < int(share * (1 << 20))), "toxic-labels")
     texts = docs.join(small_enough(usable, 32), "id").where("text IS NOT NULL")
     chosen = staged(
-        texts.groupBy(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
-        .agg(F.min("id").alias("id"), F.avg("toxic").alias("share")).select("id", (F.col("share") >= 0.5).cast("int").alias("toxic")),
-        "toxic-texts",
+        weighted(texts).groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("weight").alias("weight")), "toxic-texts"
     )
-    sizes = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
-    n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
+    sizes = {r["toxic"]: r["weight"] / WHOLE for r in chosen.groupBy("toxic").agg(F.sum("weight").alias("weight")).collect()}
+    n_bad, n_good = sizes.get(1, 0.0), sizes.get(0, 0.0)
     empty = np.zeros(0)
+    blank = Model(empty.astype(np.uint64), empty, -1.0, intercept=_log_odds(n_bad, n_good))
     if not n_bad or not n_good:
-        base = (n_bad + 0.5) / (n_bad + n_good + 1) if n_bad + n_good else 0.5
-        return Model(empty.astype(np.uint64), empty, -1.0, intercept=math.log(base / (1 - base)))
+        return blank
     sample = docs.join(small_enough(chosen, 32), "id")
 
     counts = staged(
         sample.mapInArrow(_text_counts, "token long, bad long, good long").groupBy("token")
-        .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        # a share of toxic texts below that of the sample can't have positive log-odds
-        .where((F.col("bad") >= LEAST_TEXTS) & (F.col("bad") * n_good > F.col("good") * n_bad)),
+        .agg((F.sum("bad") / WHOLE).alias("bad"), (F.sum("good") / WHOLE).alias("good"))
+        .where(F.col("bad") >= LEAST_TEXTS),
         "toxic-counts",
     )
-    # without a prior the z-score is at its largest; tokens below it can be left out for good
-    ratio = F.log(F.col("bad") / n_bad) - F.log((F.col("good") + 0.5) / n_good)
-    rough = ratio / F.sqrt(1 / F.col("bad") + 1 / (F.col("good") + 0.5))
-    rows = counts.withColumn("rough", rough).where(F.col("rough") >= LEAST_Z / 2).orderBy(F.desc("rough"), "token").limit(LEXICON).toPandas()
+    least = NormalDist().inv_cdf(1 - min(CHANCE_TOKENS / max(counts.count(), 1), 0.5))
+    # the prior draws both shares together, so a lesser factor can't become large enough
+    rows = counts.where(F.col("bad") * n_good >= F.col("good") * n_bad * math.sqrt(LEAST_FACTOR)).where(
+        _deviance_root(F.col("bad"), F.col("good"), n_bad / (n_bad + n_good)) >= least
+    ).toPandas()
+    if not len(rows):
+        return blank
     rows["token"] = rows["token"].to_numpy().astype("i8").view("u8")
     rows = rows.sort_values("token")
     tokens = rows["token"].to_numpy().astype("u8")
 
-    corpus = docs.select("text").mapInArrow(_corpus_counts(tokens), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    corpus = {r["token"]: r["n"] for r in corpus.collect()}  # a row per token of the sample, and the total
-    total = float(corpus.pop(None, 0)) or 1.0
-    in_corpus = np.array([corpus.get(t, 0) for t in tokens.view("i8").tolist()], dtype=float)
-    # the prior has the corpus' mix of tokens, on the scale of texts per token
+    corpus = docs.select("text").mapInArrow(_corpus_counts(tokens), "token long, n long, texts long").groupBy("token").agg(
+        F.sum("n").alias("n"), F.sum("texts").alias("texts")
+    )
+    corpus = {r["token"]: r for r in corpus.collect()}  # a row per token of the lexicon, and the total
+    every = corpus.pop(None, None)
+    total, n_texts = (float(every["n"]) or 1.0, every["texts"] or 1) if every else (1.0, 1)
+    found = [corpus.get(t) for t in tokens.view("i8").tolist()]
+    shares = np.array([r["n"] / total if r else 0.0 for r in found])
+    # the prior has the corpus' share of texts with the token
     weight = PRIOR_SHARE * (n_bad + n_good)
     bad, good = rows["bad"].to_numpy(float), rows["good"].to_numpy(float)
-    per_text = in_corpus / max(docs.count(), 1)
-    prior = weight * np.minimum(per_text, 1.0) + 0.01
+    prior = weight * np.array([r["texts"] / n_texts if r else 0.0 for r in found]) + 0.01
     odds = np.log((bad + prior) / np.maximum(n_bad + weight - bad - prior, 0.5)) - np.log(
         (good + prior) / np.maximum(n_good + weight - good - prior, 0.5)
     )
-    z = odds / np.sqrt(1 / (bad + prior) + 1 / (good + prior))
-    keep = (z >= LEAST_Z) & (odds > 0)
-    tokens, scores, shares = tokens[keep], odds[keep], in_corpus[keep] / total
+    keep = odds >= math.log(LEAST_FACTOR)
+    tokens, scores, shares = tokens[keep], odds[keep], shares[keep]
+    if not len(tokens):
+        return blank
     mass_bad = min(float((shares * np.exp(scores)).sum()), 0.5)
-    other = math.log((1 - mass_bad) / (1 - min(float(shares.sum()), 0.4))) if len(tokens) else -1.0
+    other = math.log((1 - mass_bad) / (1 - min(float(shares.sum()), 0.4)))
     other = min(other, -1e-3)
     model = Model(tokens, scores, other, _decay(scores, shares, other))
 
     # chance segments of texts that aren't toxic give the scale: their scaled best is exponential
-    plain = staged(sample.mapInArrow(_score(model), _SCORED).select("id", "toxic", "n_tokens", "best"), "toxic-best")
-    fitted = plain.where("toxic = 0 AND n_tokens > 0").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("n_tokens") * F.exp(-model.decay * F.col("best"))).alias("s")
+    found = staged(
+        sample.mapInArrow(_score(model), _SCORED).select("toxic", "weight", "n_tokens", "best", "sums"), "toxic-best"
+    )
+    fitted = found.where("toxic = 0 AND n_tokens > 0").agg(
+        F.sum("weight").alias("n"),
+        F.sum(F.col("weight") * F.col("n_tokens") * F.exp(-model.decay * F.col("best"))).alias("s"),
     ).first()
     scale = float(fitted["n"] / fitted["s"]) if fitted["s"] else 1.0
-    model = Model(tokens, scores, other, model.decay, scale)
 
-    bins = sample.mapInArrow(_score(model), _SCORED).groupBy(F.round("surprise", 1).alias("x")).agg(
-        F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")
+    chances = F.transform("sums", lambda s: F.greatest(scale * F.col("n_tokens") * F.exp(s * -model.decay), F.lit(1e-300)))
+    surprise = F.least(
+        F.aggregate(
+            chances,
+            F.lit(0.0), lambda so_far, c: so_far - F.when(c <= SIGNIFICANT, F.log(c)).otherwise(0.0),
+        ),
+        F.lit(_TOP_SURPRISE),
+    )
+    bins = found.groupBy(F.round(surprise, 1).alias("x")).agg(
+        (F.sum(F.col("toxic") * F.col("weight")) / WHOLE).alias("bad"), (F.sum("weight") / WHOLE).alias("n")
     ).orderBy("x").toPandas()
     bad_n = bins["bad"].to_numpy(float)
     intercept, slope = _platt(bins["x"].to_numpy(float), bad_n, bins["n"].to_numpy(float) - bad_n)
@@ -314,7 +416,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"),
-        F.lit(None).cast("int").alias("toxic"),
+        F.lit(None).cast("int").alias("toxic"), F.lit(None).cast("long").alias("weight"),
     )
     scored = rows.mapInArrow(_score(model), _SCORED)
     return scored.select(
@@ -330,8 +432,8 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blank = pa.nulls(batch.num_rows, pa.int32())
-            plain = pa.RecordBatch.from_arrays([blank, batch.column(at), blank], names=["id", "text", "toxic"])
+            blank = pa.nulls(batch.num_rows, pa.int64())
+            plain = pa.RecordBatch.from_arrays([blank, batch.column(at), blank, blank], names=["id", "text", "toxic", "weight"])
             found = [b.column("score").to_numpy() for b in scoring(iter([plain]))]
             if found:
                 yield batch.filter(pa.array(np.concatenate(found) < THRESHOLD))

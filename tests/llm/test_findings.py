@@ -76,6 +76,98 @@ def test_held_out_labels_change_nothing(spark):
     assert scores[0] == scores[1]
 
 
+def held_out_results(spark, rows, labels, more=(), more_labels=()):
+    """(recall, share of clean ones left alone) over the first rows that aren't learned from."""
+    docs = table(spark, rows)
+    model = toxicity.fit(
+        table(spark, [*rows, *more]), table(spark, [*labels, *more_labels], "doc_id long, toxic int")
+    )
+    found = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    mine = [(y, found[d].predicted) for d, y in labels if found[d].held_out]
+    bad, good = [p for y, p in mine if y], [p for y, p in mine if not y]
+    return sum(bad) / len(bad), 1 - sum(good) / len(good)
+
+
+def near_copies(n, seed=1):
+    base = words(200, seed).split()
+    out = []
+    for i in range(n):
+        text = list(base)
+        text[i % len(text)] = f"edit{i}"
+        out.append((100_000 + i, " ".join(text)))
+    return out
+
+
+def test_near_copies_of_one_text_do_not_change_what_is_learned(spark):
+    rows, labels = toxic_table()
+    for n, label in ((3000, 0), (300, 1)):
+        copies = near_copies(n)
+        recall, left = held_out_results(spark, rows, labels, copies, [(d, label) for d, _ in copies])
+        assert recall >= 0.9 and left >= 0.98, (label, recall, left)
+
+
+def test_near_copies_share_the_weight_of_one_text(spark):
+    rows = [(d, t, 0) for d, t in near_copies(200)] + [(i, words(150, 50 + i), 1) for i in range(50)]
+    rows += [(900 + i, "", 0) for i in range(4)] + [(950, "only three words", 0)]
+    weights = {
+        r.id: r.weight / toxicity.WHOLE
+        for r in toxicity.weighted(table(spark, rows, "id long, text string, toxic int")).collect()
+    }
+    assert sum(weights[d] for d, _ in near_copies(200)) < 3
+    assert all(weights[i] == 1 for i in range(50)) and weights[950] == 1 and weights[900] == 0.25
+
+
+def test_longer_toxic_texts_do_not_make_common_words_toxic(spark):
+    draw, rows, labels = random.Random(16), [], []
+    for i in range(3000):
+        bad = i % 9 == 0
+        text = [f"w{int(draw.paretovariate(0.7)) % 500}" for _ in range(draw.randrange(30, 70) + 20 * bad)]
+        if bad:
+            for _ in range(3):
+                text.insert(draw.randrange(len(text)), draw.choice(BAD))
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(bad)))
+    recall, left = held_out_results(spark, rows, labels)
+    assert recall >= 0.95 and left >= 0.99, (recall, left)
+
+
+def test_scores_by_brute_force(spark):
+    import math
+    import re
+
+    rows, labels = toxic_table()
+    rows += [(5000, words(30_000, 77) + " blorgon snarvik dreckel " + words(20_000, 78))]
+    docs = table(spark, rows)
+    model = toxicity.fit(docs, table(spark, labels, "doc_id long, toxic int"))
+    vocabulary = sorted({w for _, t in rows for w in re.findall(r"[^\W\d_]+", t.lower())})
+    import pyarrow as pa
+
+    hashes = next(toxicity._words(pa.array([" ".join(vocabulary)])))[2]
+    own = dict(zip(model.tokens.tolist(), model.scores.tolist(), strict=True))
+    odds = {w: own.get(h, model.other) for w, h in zip(vocabulary, hashes.tolist(), strict=True)}
+
+    def expected(text):
+        tokens = re.findall(r"[^\W\d_]+", text.lower())
+        surprise = 0.0
+        for _, _, s in toxicity.maximal_segments([odds[w] for w in tokens]):
+            chance = max(model.scale * len(tokens) * math.exp(-model.decay * s), 1e-300)
+            surprise -= math.log(chance) if chance <= toxicity.SIGNIFICANT else 0.0
+        return 1 / (1 + math.exp(-(model.intercept + model.slope * min(surprise, 40.0))))
+
+    for r in toxicity.score(docs, model).collect():
+        assert abs(r.score - expected(dict(rows)[r.doc_id])) < 1e-9, r.doc_id
+        assert r.predicted == (r.score >= 0.7)
+
+
+def test_a_model_without_a_tell_says_so():
+    import numpy as np
+    import pytest
+
+    with pytest.warns(UserWarning):
+        intercept, slope = toxicity._platt(np.array([0.0, 5.0]), np.array([50.0, 1.0]), np.array([50.0, 60.0]))
+    assert slope == 0 and abs(intercept - toxicity._log_odds(51, 110)) < 1e-12
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = table(spark, [], "doc_id long, toxic int")
     docs = table(spark, [(1, "a b"), (2, None)])
