@@ -63,6 +63,23 @@ SELECT s.doc_id, len(s.grams) AS n_shingles, c.component_id, s.doc_id = c.compon
 FROM s JOIN c ON c.v = s.doc_id
 """
 
+OP13 = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+  FROM documents
+), k AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l
+), m AS (
+  SELECT *, length(key) >= 10 AND doc_id <> min(doc_id) OVER (PARTITION BY key) AS dropped FROM k
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op6_warc": OP6, "op10_minhash_near_dedup": OP10}
+    return {"op1_exact_dedup": OP1, "op6_warc": OP6, "op10_minhash_near_dedup": OP10, "op13_line_dedup": OP13}

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.llm import (
-    decontaminate, exact_dedup, near_dedup, packing, resharding, secrets, substring_dedup, token_matrices, toxicity,
-    warc,
+    alignment, decontaminate, exact_dedup, line_dedup, merkle, near_dedup, packing, resharding, secrets, substring_dedup,
+    token_matrices, toxicity, warc,
 )
 from shelfcast.llm.storage import read
 from shelfcast.session import scratch_path
 
-#: Name of the vocabulary file, and the folder that holds it unless a caller names another.
+#: Names of the vocabulary files.
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 OLD_SHARDS, NEW_SHARDS = 5, 8
 
@@ -30,11 +31,11 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_strings(read(spark, sf_dir, "documents")).drop("spans")
 
 
-def vocabulary() -> str:
-    """Place of the vocabulary file, which is installed on every machine."""
+def vocabulary(name: str = VOCABULARY) -> str:
+    """Place of a vocabulary file, which is installed on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +86,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claimed = merkle.tampered(F.col("text"), F.col("doc_id"))
+    return merkle.manifest(read(spark, sf_dir, "documents"), claimed).drop("witness")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(read(spark, sf_dir, "documents"), vocabulary(), vocabulary(PIECES), with_groups=False)
+    return aligned.drop("groups")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.without_repeated_lines(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -97,4 +113,7 @@ def queries() -> dict[str, Query]:
         "op8_resharding": op8_resharding,
         "op9_decontamination": op9_decontamination,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_token_alignment": op12_token_alignment,
+        "op13_line_dedup": op13_line_dedup,
     }
