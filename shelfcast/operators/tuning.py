@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.operators.shared import spread
-
 METRICS = ("MAE", "MAPE")
 # Mean metrics are compared at this many digits behind the first, whatever their size, so equal
 # pairs tie in whichever order they were summed.
@@ -20,37 +19,55 @@ def significant(value: Column, digits: int = SCORE_DIGITS) -> Column:
     return F.format_string(f"%.{digits}e", value).cast("double")
 
 
+def swa_series(series: DataFrame, windows: int = 12) -> DataFrame:
+    """One row per series: ``points``, its points in order as an array of (ds, y, means), where
+    ``means`` are those of the last 1 ... ``windows`` values, NULL where one is missing.
+
+    Every forecast of the grid is one look-up in it: the value for (s, w) at point i is mean w of
+    point i - s. A mean's sum is that of the shorter window and one more value. A series is bounded by
+    the calendar, so a row is small. The one requirement is that a series' points are together: an
+    input partitioned or bucketed by ``unique_id`` isn't shuffled.
+    """
+    by_series = Window.partitionBy("unique_id").orderBy("ds")
+    means, total = [], F.lit(0.0)
+    for w in range(1, windows + 1):
+        total = total + F.col(f"_{w - 1}")
+        means.append(total / w)
+    lagged = series.select(
+        "unique_id", "ds", "y", F.col("y").alias("_0"),
+        *[F.lag("y", w).over(by_series).alias(f"_{w}") for w in range(1, windows)],
+    )
+    return lagged.groupBy("unique_id").agg(
+        F.sort_array(F.collect_list(F.struct("ds", "y", F.array(*means).alias("means")))).alias("points")
+    )
+
+
+def _forecast(point: Column, s: Column, w: Column) -> Column:
+    return F.get(F.get(F.col("points"), point - s)["means"], w - 1)
+
+
+def _pairs(windows: int, shifts: int) -> Column:
+    return F.array(
+        *[F.struct(F.lit(s).alias("s"), F.lit(w).alias("w")) for s in range(1, shifts + 1) for w in range(1, windows + 1)]
+    )
+
+
 def swa_grid(series: DataFrame, windows: int = 12, shifts: int = 12) -> DataFrame:
     """For every point and every (s, w): mean of the ``w`` values that end ``s`` rows earlier,
     NULL unless all ``w`` exist.
 
-    The means of all window lengths and their lags share one partitioning and one sort by series;
-    the grid is two explodes on top, without a join. The rows grow ``windows * shifts`` times
-    here, so the partitions are those the session asks for and not the few that adaptive
-    execution would merge the small input into.
+    The grid is a look-up behind two explodes of ``swa_series``, the second one of a constant, and
+    all of it one generated loop. The rows grow ``windows * shifts`` times here: an input that is
+    small and not yet dealt out by series should be ``spread`` first, because adaptive execution
+    would merge its partitions by the input's size.
     """
-    by_series = Window.partitionBy("unique_id").orderBy("ds")
-    means = F.array(
-        *[
-            F.when(
-                F.count("y").over(by_series.rowsBetween(1 - w, 0)) == w,
-                F.avg("y").over(by_series.rowsBetween(1 - w, 0)),
-            )
-            for w in range(1, windows + 1)
-        ]
-    )
-    nothing = F.array_repeat(F.lit(None).cast("double"), windows)
-    lagged = F.array(
-        *[F.coalesce(F.lag("_means", s).over(by_series), nothing) for s in range(1, shifts + 1)]
-    )
-    point = ["ds", "unique_id", "y"]
     return (
-        spread(series, "unique_id").select(*point, means.alias("_means"))
-        .select(*point, lagged.alias("_lagged"))
-        .select(*point, F.posexplode("_lagged").alias("_s", "_by_w"))
-        .select(*point, "_s", F.posexplode("_by_w").alias("_w", "SWA_value"))
+        swa_series(series, windows)
+        .select("unique_id", "points", F.posexplode("points.ds").alias("_i", "ds"))
+        .select("unique_id", "ds", "points", "_i", F.explode(_pairs(windows, shifts)).alias("_p"))
         .select(
-            *point, (F.col("_s") + 1).alias("s"), (F.col("_w") + 1).alias("w"), "SWA_value"
+            "ds", "unique_id", F.get("points", F.col("_i"))["y"].alias("y"), "_p.s", "_p.w",
+            _forecast(F.col("_i"), F.col("_p.s"), F.col("_p.w")).alias("SWA_value"),
         )
     )
 
@@ -107,10 +124,11 @@ def best_window_forecast(
     results: DataFrame, start: str, target: str, metric: str = "MAE",
     tie_order: Sequence[str] = ("w", "s"), unique_ids: Sequence[str] = (),
 ) -> DataFrame:
-    """Actual and predicted series of each series' best (s, w) up to the ``target`` month-end.
+    """Actual and predicted series of each series' best (s, w) up to the ``target`` month-end, from
+    stored results.
 
-    Pairs without a prediction at the target are out. The points of a pair travel as an array,
-    bounded by the months of the range, so the grid is computed once and nothing is joined back.
+    Pairs without a prediction at the target are out. The results are read twice, for the scores and
+    for the rows of the chosen pairs; from a panel ``best_series_forecast`` needs neither.
     """
     target_ds = F.last_day(F.lit(target).cast("date"))
     rows = results.where(F.col("ds").between(F.lit(start).cast("date"), target_ds))
@@ -118,19 +136,95 @@ def best_window_forecast(
         rows = rows.where(F.col("unique_id").isin(list(unique_ids)))
     missing = (F.col("ds") == target_ds) & F.col("SWA_value").isNull()
     pairs = rows.groupBy("unique_id", "s", "w").agg(
-        F.avg(_metric(metric)).alias("_mean"), F.bool_or(missing).alias("_missing"),
-        F.collect_list(F.struct("ds", "y", "SWA_value", "MAE", "MAPE")).alias("_points"),
+        F.avg(_metric(metric)).alias("_mean"), F.bool_or(missing).alias("_missing")
     )
     order = F.struct(significant(F.col("_mean")), *_tie_order(tie_order))
     chosen = (
         pairs.where(~F.col("_missing") & F.col("_mean").isNotNull())
-        .groupBy("unique_id").agg(F.min_by(F.struct("s", "w", "_points"), order).alias("_best"))
+        .groupBy("unique_id").agg(F.min_by(F.struct("s", "w"), order).alias("_best"))
+        .select("unique_id", "_best.s", "_best.w")
     )
-    return chosen.select("unique_id", "_best.s", "_best.w", F.inline("_best._points")).select(
+    return rows.join(chosen, ["unique_id", "s", "w"]).select(
         "unique_id", "ds", "s", "w", "y", "SWA_value", "MAE", "MAPE"
     )
 
 
+def _error(actual: Column, predicted: Column, metric: str) -> Column:
+    error = F.abs(actual - predicted)
+    return error if _metric(metric) == "MAE" else F.try_divide(error, actual)
+
+
+def _scored(
+    rows: DataFrame, start: str, end: Column, metric: str, tie_order: Sequence[str], windows: int, shifts: int,
+    target: Column | None = None,
+) -> DataFrame:
+    """``rows`` of ``swa_series`` with the mean, s and w of the best pair over the points ``_in`` of
+    the range; series without one are left out.
+
+    The sums of all pairs are arrays in the series' own row: nothing is multiplied or grouped.
+    """
+    first, last = F.lit(start).cast("date"), end.cast("date")
+    places = F.transform("points", lambda p, i: F.when(p["ds"].between(first, last), i))
+    at_target = F.lit(None).cast("int") if target is None else F.array_position("points.ds", target).cast("int") - 1
+    ties = _tie_order(tie_order)
+
+    def scored(pair: Column) -> Column:
+        errors = F.transform(
+            "_in", lambda i: _error(F.get("points", i)["y"], _forecast(i, pair["s"], pair["w"]), metric)
+        )
+        mean = F.aggregate(
+            errors, F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n")),
+            lambda so_far, e: F.when(e.isNull(), so_far).otherwise(
+                F.struct((so_far["total"] + e).alias("total"), (so_far["n"] + 1).alias("n"))
+            ),
+            lambda done: F.try_divide(done["total"], done["n"]),
+        )
+        at = _forecast(F.col("_target"), pair["s"], pair["w"])
+        missing = F.coalesce(F.col("_target") >= 0, F.lit(False)) & at.isNull()
+        return F.struct(mean.alias("mean"), missing.alias("missing"), pair["s"].alias("s"), pair["w"].alias("w"))
+
+    ranged = rows.select("unique_id", "points", F.array_compact(places).alias("_in"), at_target.alias("_target"))
+    scores = F.filter(F.transform(_pairs(windows, shifts), scored), lambda x: x["mean"].isNotNull() & ~x["missing"])
+    best = F.array_min(
+        F.transform(
+            scores,
+            lambda x: F.struct(
+                significant(x["mean"]).alias("_mean"), *[x[c].alias(f"_{c}") for c in ties], x["s"].alias("s"), x["w"].alias("w")
+            ),
+        )
+    )
+    # a series without a pair is dropped by the explode: a condition would be evaluated a second time
+    return ranged.select("unique_id", "points", "_in", F.explode(F.array_compact(F.array(best))).alias("_best"))
+
+
+def best_series_window(
+    rows: DataFrame, start: str, end: str, metric: str = "MAE", tie_order: Sequence[str] = ("s", "w"),
+    windows: int = 12, shifts: int = 12,
+) -> DataFrame:
+    """``best_window`` of the whole grid, from the rows of ``swa_series`` instead of its results."""
+    return _scored(rows, start, F.lit(end), metric, tie_order, windows, shifts).select(
+        "unique_id", "_best.s", "_best.w", F.col("_best._mean").alias(f"{metric}_mean")
+    )
+
+
+def best_series_forecast(
+    rows: DataFrame, start: str, target: str, metric: str = "MAE", tie_order: Sequence[str] = ("w", "s"),
+    unique_ids: Sequence[str] = (), windows: int = 12, shifts: int = 12,
+) -> DataFrame:
+    """``best_window_forecast`` of the whole grid, from the rows of ``swa_series``: the pair of least
+    mean error is chosen by position, and its values are read from the same row."""
+    target_ds = F.last_day(F.lit(target).cast("date"))
+    if unique_ids:
+        rows = rows.where(F.col("unique_id").isin(list(unique_ids)))
+    best = _scored(rows, start, target_ds, metric, tie_order, windows, shifts, target_ds)
+    value = _forecast(F.col("_i"), F.col("_best.s"), F.col("_best.w"))
+    points = best.select("unique_id", "points", "_best", F.explode("_in").alias("_i")).select(
+        "unique_id", F.get("points", F.col("_i"))["ds"].alias("ds"), "_best.s", "_best.w",
+        F.get("points", F.col("_i"))["y"].alias("y"), value.alias("SWA_value"),
+    )
+    return forecast_errors(points)
+
+
 def actual_vs_forecast_wide(best: DataFrame, unique_ids: Sequence[str]) -> DataFrame:
     """One row per month with a prediction and an actual column for each listed series."""
     return (
@@ -143,38 +237,33 @@ def actual_vs_forecast_wide(best: DataFrame, unique_ids: Sequence[str]) -> DataF
 
 
 def reshape_forecast_columns(wide: DataFrame, data_type: str = "true_and_pred") -> DataFrame:
-    """Wide ``SWA_s<n>_w<n>`` result columns to the long result layout with errors.
+    """Wide ``SWA_s<n>_w<n>`` result columns of one data type to the long result layout with errors.
 
-    A missing actual stays NULL. Only observed combinations give rows.
+    The columns form one array, whose places are the pairs of their names, so each row is exploded
+    where it is. A missing actual stays NULL, a row gives all its pairs, and rows that repeat a point
+    are reshaped one by one.
     """
-    pattern = r"SWA_s(\d+)_w(\d+)"
-    keys = ["unique_id", "ds", "y", "data_type"]
-    predictions = [c for c in wide.columns if c.startswith("SWA_s")]
-    long = wide.unpivot(keys, predictions, "variable", "value").select(
-        *keys, "value",
-        *[
-            F.regexp_extract("variable", pattern, i).try_cast("int").alias(name)
-            for i, name in enumerate(("s", "w"), start=1)
-        ],
+    found = [(c, re.fullmatch(r"SWA_s(\d+)_w(\d+)", c)) for c in wide.columns]
+    pairs = [(c, int(m[1]), int(m[2])) for c, m in found if m]
+    names = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(w).alias("w")) for _, s, w in pairs])
+    long = (
+        wide.where(F.col("data_type") == data_type)
+        .select("unique_id", "ds", "y", F.array(*[c for c, _, _ in pairs]).alias("_values"))
+        .select("unique_id", "ds", "y", "_values", F.posexplode(names).alias("_i", "_p"))
     )
-    pivoted = (
-        long.groupBy("unique_id", "ds", "y", "s", "w").pivot("data_type", [data_type])
-        .agg(F.max("value")).withColumnRenamed(data_type, "SWA_value")
+    return forecast_errors(
+        long.select("unique_id", "ds", "y", "_p.s", "_p.w", F.get("_values", F.col("_i")).alias("SWA_value"))
     )
-    return forecast_errors(pivoted)
 
 
-def widen_forecast_columns(results: DataFrame, windows: int, shifts: int) -> DataFrame:
-    """Long results to one ``SWA_s<n>_w<n>`` column per pair of the first shifts and windows."""
-    pairs = [(s, w) for s in range(1, shifts + 1) for w in range(1, windows + 1)]
-    return (
-        results.groupBy("unique_id", "ds", "y")
-        .agg(
-            *[
-                F.max(F.when((F.col("s") == s) & (F.col("w") == w), F.col("SWA_value")))
-                .alias(f"SWA_s{s}_w{w}")
-                for s, w in pairs
-            ]
-        )
-        .withColumn("data_type", F.lit("true_and_pred"))
+def widen_forecast_columns(rows: DataFrame, windows: int = 12, shifts: int = 12) -> DataFrame:
+    """Rows of ``swa_series`` to points with one ``SWA_s<n>_w<n>`` column per pair."""
+    points = rows.select("unique_id", "points", F.posexplode("points.ds").alias("_i", "ds"))
+    return points.select(
+        "unique_id", "ds", F.get("points", F.col("_i"))["y"].alias("y"),
+        *[
+            _forecast(F.col("_i"), F.lit(s), F.lit(w)).alias(f"SWA_s{s}_w{w}")
+            for s in range(1, shifts + 1) for w in range(1, windows + 1)
+        ],
+        F.lit("true_and_pred").alias("data_type"),
     )

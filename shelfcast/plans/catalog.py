@@ -673,6 +673,10 @@ def _results(spark, sf_dir):
     return tuning.forecast_errors(tuning.swa_grid(panel.extend_series(_panel(spark, sf_dir))))
 
 
+def _series(spark, sf_dir):
+    return tuning.swa_series(panel.extend_series(_panel(spark, sf_dir)))
+
+
 @query
 def densify_panel(spark, sf_dir):
     return panel.densify_panel(tables.stock_log(spark, sf_dir), MONTHLY)
@@ -709,11 +713,11 @@ def forecast_errors(spark, sf_dir):
 
 @query
 def best_window(spark, sf_dir):
-    return tuning.best_window(_results(spark, sf_dir), CHECK_START, CHECK_END)
+    return tuning.best_series_window(_series(spark, sf_dir), CHECK_START, CHECK_END)
 
 
 def _best_forecast(spark, sf_dir):
-    return tuning.best_window_forecast(_results(spark, sf_dir), CHECK_START, TARGET)
+    return tuning.best_series_forecast(_series(spark, sf_dir), CHECK_START, TARGET)
 
 
 @query
@@ -744,8 +748,7 @@ def actual_vs_forecast_wide(spark, sf_dir):
 @query
 def reshape_forecast_columns(spark, sf_dir):
     """All points and pairs of the grid, widened, reshaped back and averaged per series."""
-    grid = tuning.swa_grid(panel.extend_series(_panel(spark, sf_dir)))
-    long = tuning.reshape_forecast_columns(tuning.widen_forecast_columns(grid, 12, 12))
+    long = tuning.reshape_forecast_columns(tuning.widen_forecast_columns(_series(spark, sf_dir)))
     return long.groupBy("unique_id", "s", "w").agg(
         F.count(F.lit(1)).alias("points"), F.count("SWA_value").alias("predicted"),
         F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"),

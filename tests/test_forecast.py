@@ -152,6 +152,42 @@ def test_best_forecast_skips_pairs_missing_at_target(spark):
     assert wide.columns == ["month", "a_SWA_value", "a_y", "zz_SWA_value", "zz_y"] and wide.count() == 17
 
 
+def test_series_rows_choose_what_results_choose(spark, grid):
+    extended = panel.extend_series(grid)
+    rows, results = tuning.swa_series(extended), tuning.forecast_errors(tuning.swa_grid(extended))
+    known = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    for metric in tuning.METRICS:
+        for ties in (("s", "w"), ("w", "s")):
+            args = ("2021-02-28", "2022-01-31", metric, ties)
+            assert known(tuning.best_series_window(rows, *args)) == known(tuning.best_window(results, *args))
+            args = ("2021-02-28", "2023-05-15", metric, ties)
+            mine, stored = tuning.best_series_forecast(rows, *args), tuning.best_window_forecast(results, *args)
+            assert mine.columns == stored.columns
+            assert known(mine) == known(stored) and mine.count() > 12
+    one = tuning.best_series_forecast(rows, "2021-02-28", "2023-05-15", unique_ids=["s1"])
+    assert {r.unique_id for r in one.collect()} == {"s1"}
+    with pytest.raises(ValueError):
+        tuning.best_series_window(rows, "2021-02-28", "2022-01-31", metric="RMSE")
+
+
+def test_small_grids_have_other_sizes(spark, grid):
+    expected = brute_grid(grid.toPandas(), shifts=3, windows=5)
+    got = tuning.swa_grid(grid, windows=5, shifts=3).toPandas()
+    joined = expected.merge(got, on=["unique_id", "ds", "s", "w"], suffixes=("_e", ""))
+    assert len(got) == len(expected) == len(joined)
+    np.testing.assert_allclose(joined.SWA_value, joined.SWA_value_e, atol=1e-9)
+
+
+def test_widened_and_reshaped_is_the_grid(spark, grid):
+    keys = ["unique_id", "ds", "y", "s", "w", "SWA_value", "MAE", "MAPE"]
+    wide = tuning.widen_forecast_columns(tuning.swa_series(grid, 5), 5, 3)
+    assert len([c for c in wide.columns if c.startswith("SWA_s")]) == 15
+    long = tuning.reshape_forecast_columns(wide).select(keys).collect()
+    plain = tuning.forecast_errors(tuning.swa_grid(grid, 5, 3)).select(keys).collect()
+    assert sorted(map(repr, long)) == sorted(map(repr, plain))
+    assert tuning.reshape_forecast_columns(wide, "other").count() == 0
+
+
 def test_stored_results_give_the_same_choice(spark, grid, tmp_path):
     from shelfcast import schemas
     from shelfcast.sources import writers

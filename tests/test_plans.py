@@ -61,8 +61,30 @@ def test_grid_and_scores_share_one_shuffle(spark):
     assert plan(results).count("Exchange") == 1
     best = plan(tuning.best_window(results, "2023-01-31", "2023-12-31"))
     assert best.count("Exchange") == 1 and "Window" in best
-    # the date range is applied before the rows are multiplied
-    assert best.index(">= 2023-01-31") > best.rindex("Generate")
+    # the date range is applied before the points are multiplied by the pairs
+    assert best.index("Generate explode") < best.index(">= 2023-01-31") < best.index("Generate posexplode")
+
+
+def test_series_rows_are_scored_and_reshaped_without_a_shuffle_of_their_own(spark):
+    series = spark.createDataFrame([], "ds date, unique_id string, y double")
+    rows = tuning.swa_series(series)
+    assert plan(rows).count("Exchange") == 1
+    wide = tuning.widen_forecast_columns(rows)
+    for df in (
+        tuning.best_series_window(rows, "2023-01-31", "2023-12-31"), tuning.best_series_forecast(rows, "2023-01-31", "2023-12-31"),
+        wide, tuning.reshape_forecast_columns(wide),
+    ):
+        text = plan(df)
+        assert text.count("Exchange") == 1 and "Join" not in text
+    # the reshaping itself aggregates nothing
+    above = plan(tuning.reshape_forecast_columns(wide)).split("Exchange")[0]
+    assert above.count("Aggregate") == plan(rows).split("Exchange")[0].count("Aggregate")
+
+
+def test_a_panel_dealt_out_by_series_is_not_shuffled_again(spark, sf_dir):
+    panel_rows = catalog._panel(spark, sf_dir)
+    before = plan(panel.extend_series(panel_rows)).count("Exchange hashpartitioning")
+    assert plan(tuning.swa_grid(panel.extend_series(panel_rows))).count("Exchange hashpartitioning") == before
 
 
 def test_panel_subqueries_read_the_shuffle_of_the_main_branch(spark, sf_dir):
