@@ -98,3 +98,138 @@ def auto_ar_forecast(panel: DataFrame, test_part: str = "test") -> DataFrame:
         "unique_id", (F.col("last_idx") + F.col("h")).alias("time_idx"), "h",
         model.alias("model"), forecast.alias("forecast"),
     )
+
+
+SEASON = 12
+MAX_ORDER = 12
+#: Least points after the seasonal difference, and the share of the variance that counts as none.
+SEASONAL_POINTS = 20
+NO_VARIANCE = 1e-9
+
+
+def _once(df: DataFrame, keep: list[str], **values: Column) -> DataFrame:
+    """Columns ``keep`` and new ones, each computed once per row.
+
+    A projection may be copied into every place that names it, lambdas included, where it would be
+    computed for each element; the explode of a one-element array can't be.
+    """
+    made = F.struct(*[v.alias(name) for name, v in values.items()])
+    return df.select(*keep, F.inline(F.array(made)))
+
+
+def _autocovariances(values: str, mean: str, order: int) -> Column:
+    """Of lags 0 ... ``order``, each over the number of all points."""
+    n = F.size(values)
+
+    def lagged(k: Column) -> Column:
+        products = F.zip_with(
+            F.slice(values, F.lit(1), n - k), F.slice(values, k + 1, n - k),
+            lambda a, b: (a - F.col(mean)) * (b - F.col(mean)),
+        )
+        return F.aggregate(products, F.lit(0.0), lambda total, x: total + x) / n
+
+    return F.transform(F.sequence(F.lit(0), F.lit(order)), lagged)
+
+
+def _levinson_durbin(covariances: str, order: int) -> Column:
+    """Models (p, v, phi) of orders 0 ... ``order``: coefficients and innovation variance. The
+    recursion ends where no variance is left."""
+    c = F.col(covariances)
+    first = F.struct(
+        F.lit(0).alias("p"), F.get(c, F.lit(0)).alias("v"), F.array().cast("array<double>").alias("phi")
+    )
+    model = "array<struct<p: int, v: double, phi: array<double>>>"
+
+    def step(models: Column, k: Column) -> Column:
+        def grown(last: Column) -> Column:
+            ahead = F.aggregate(
+                F.zip_with(last["phi"], F.reverse(F.slice(c, F.lit(2), k - 1)), lambda f, x: f * x),
+                F.lit(0.0), lambda total, x: total + x,
+            )
+
+            def next_model(r: Column) -> Column:
+                phi = F.zip_with(last["phi"], F.reverse(last["phi"]), lambda f, b: f - r * b)
+                return F.struct(
+                    k.cast("int").alias("p"), (last["v"] * (1 - r * r)).alias("v"), F.concat(phi, F.array(r)).alias("phi")
+                )
+
+            # the lambda of a one-element array computes the reflection once
+            reflection = F.array((F.get(c, k) - ahead) / last["v"])
+            left = last["v"] > F.get(c, F.lit(0)) * NO_VARIANCE
+            return F.when(left & (last["p"] == k - 1), F.get(F.transform(reflection, next_model), F.lit(0)))
+
+        more = F.transform(F.slice(models, -1, 1), grown)
+        return F.concat(models, F.array_compact(more)).cast(model)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(order)), F.array(first).cast(model), step)
+
+
+def seasonal_ar_forecast(
+    panel: DataFrame, test_part: str = "test", season: int = SEASON, max_order: int = MAX_ORDER
+) -> DataFrame:
+    """Fit AR(0) ... AR(``max_order``) per series on the train part, to the values and to their
+    differences over a ``season``, and forecast by the model of smallest AICc as many steps as the
+    test part has months.
+
+    ``panel`` is the output of ``time_index_split``. Both forms are judged on the points that have a
+    value a season earlier, so their errors are errors of the same values. Coefficients come from
+    autocovariances by the Levinson-Durbin recursion, which gives all orders in one pass over them.
+    Scores are compared at ten significant digits; ties go to the plain form, then to the lower
+    order. Without variance the mean (or the last season) goes on. Series with fewer than
+    ``SEASONAL_POINTS`` such points have NULL forecasts.
+
+    A series is one row of a calendar-sized array, and all of it is array work in that row: one
+    shuffle by series.
+    """
+    index = F.when(F.col("part") == test_part, F.col("time_idx"))
+    steps = panel.agg(F.struct((F.max(index) - F.min(index) + 1).alias("n"), F.max("y").alias("top"))).scalar()["n"]
+    series = panel.where(F.col("part") != test_part).groupBy("unique_id").agg(
+        F.sort_array(F.collect_list(F.struct("time_idx", "y"))).alias("points"), F.max("time_idx").alias("last_idx")
+    )
+    rows = _once(series, ["unique_id", "last_idx"], past=F.col("points.y")).withColumn("_steps", steps)
+    rows = _once(rows, ["unique_id", "last_idx", "past", "_steps"], late=F.slice("past", season + 1, F.greatest(F.size("past") - season, F.lit(0))))
+    enough = F.size("late") >= SEASONAL_POINTS
+    seasonal = F.zip_with("late", F.slice("past", F.lit(1), F.size("late")), lambda now, before: now - before)
+    forms = F.array(
+        F.struct(F.lit(0).alias("d"), F.col("late").alias("x")), F.struct(F.lit(1).alias("d"), seasonal.alias("x"))
+    )
+    keys = ["unique_id", "last_idx", "past", "_steps"]
+    forms = rows.where(enough).select(*keys, F.inline(forms))
+    mean = F.aggregate("x", F.lit(0.0), lambda total, v: total + v) / F.size("x")
+    forms = _once(forms, [*keys, "d", "x"], mean=mean)
+    forms = _once(forms, [*keys, "d", "x", "mean"], c=_autocovariances("x", "mean", max_order))
+    forms = forms.select(*keys, "d", "x", "mean", F.inline(_levinson_durbin("c", max_order)))
+    n, k = F.size("x").cast("double"), F.col("p") + 2.0
+    aicc = n * F.log("v") + 2 * k + F.try_divide(2 * k * (k + 1), n - k - 1)
+    score = F.when(F.col("v") > 0, F.format_string("%.9e", aicc).cast("double")).otherwise(F.lit(float("-inf")))
+    best = forms.where(F.col("p") < F.size("x") - 3).groupBy("unique_id").agg(
+        F.min_by(F.struct(*keys[1:], "d", "x", "mean", "p", "phi"), F.struct(score.alias("score"), "d", "p")).alias("m")
+    )
+    best = best.select("unique_id", "m.*")
+
+    def ahead(so_far: Column, _: Column) -> Column:
+        recent = F.reverse(F.slice(so_far, F.size(so_far) - F.col("p") + 1, F.col("p")))
+        terms = F.zip_with("phi", recent, lambda f, v: f * (v - F.col("mean")))
+        return F.concat(so_far, F.array(F.aggregate(terms, F.col("mean"), lambda total, t: total + t)))
+
+    horizon = F.sequence(F.lit(1), F.col("_steps").cast("int"))
+    best = _once(best, ["unique_id", "last_idx", "past", "_steps", "d", "p", "x"], z=F.aggregate(horizon, F.col("x"), ahead))
+
+    def season_added(so_far: Column, h: Column) -> Column:
+        earlier = F.get(so_far, F.size(so_far) - season)
+        return F.concat(so_far, F.array(F.get(F.col("z"), F.size("x") + h - 1) + F.when(F.col("d") == 1, earlier).otherwise(0.0)))
+
+    best = _once(
+        best, ["unique_id", "d", "p", "_steps", "past"], values=F.aggregate(horizon, F.col("past"), season_added)
+    )
+    found = best.select("unique_id", "d", "p", F.slice("values", F.size("past") + 1, F.col("_steps").cast("int")).alias("values"))
+    every = series.select("unique_id", "last_idx").withColumn("_steps", steps)
+    return (
+        every.join(found, "unique_id", "left")
+        .select("unique_id", "last_idx", "d", "p", "values", F.explode(F.sequence(F.lit(1), F.col("_steps").cast("int"))).alias("h"))
+        .select(
+            "unique_id", (F.col("last_idx") + F.col("h")).cast("int").alias("time_idx"), "h",
+            F.when(F.col("d") == 1, "seasonal").when(F.col("d") == 0, "plain").alias("form"), F.col("p").alias("order"),
+            F.get("values", F.col("h") - 1).alias("forecast"),
+        )
+    )

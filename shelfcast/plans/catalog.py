@@ -782,3 +782,10 @@ def auto_ar_forecast(spark, sf_dir):
     return autoregression.auto_ar_forecast(
         panel.time_index_split(_panel(spark, sf_dir), TEST_START)
     )
+
+
+@query
+def seasonal_ar_forecast(spark, sf_dir):
+    return autoregression.seasonal_ar_forecast(
+        panel.time_index_split(_panel(spark, sf_dir), TEST_START)
+    )

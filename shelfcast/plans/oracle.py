@@ -214,6 +214,43 @@ _CTES["ar_best"] = (["ar_scores"], """
         SELECT unique_id, model FROM ar_scores
         QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY aicc, ord) = 1""")
 
+_CTES["sar_past"] = (["indexed"], """
+        SELECT unique_id, list(y ORDER BY time_idx) AS past, max(time_idx) AS last_idx, count(*) AS n
+        FROM indexed WHERE part = 'train' GROUP BY 1""")
+_CTES["sar_forms"] = (["sar_past"], """
+        SELECT unique_id, d, past, x, len(x) AS m, list_sum(x) / len(x) AS mean
+        FROM (SELECT unique_id, past, d, list_transform(range(13, n + 1),
+                       lambda t: past[t] - CASE WHEN d = 1 THEN past[t - 12] ELSE 0 END) AS x
+              FROM sar_past, (VALUES (0), (1)) v(d) WHERE n - 12 >= 20)""")
+_CTES["sar_cov"] = (["sar_forms"], """
+        SELECT *, list_transform(range(0, 13), lambda k: list_sum(list_transform(range(1, m - k + 1),
+                    lambda t: (x[t] - mean) * (x[t + k] - mean))) / m) AS c
+        FROM sar_forms""")
+_CTES["sar_models"] = (["sar_cov"], """
+        SELECT unique_id, d, 0 AS p, c[1] AS v, []::double[] AS phi, c FROM sar_cov
+        UNION ALL
+        SELECT unique_id, d, p + 1, v * (1 - r * r),
+               list_append(list_transform(range(1, p + 1), lambda j: phi[j] - r * phi[p + 1 - j]), r), c
+        FROM (SELECT *, (c[p + 2] - coalesce(list_sum(list_transform(range(1, p + 1),
+                        lambda j: phi[j] * c[p + 2 - j])), 0)) / v AS r
+              FROM sar_models WHERE p < 12 AND v > c[1] * 1e-9)""")
+_CTES["sar_best"] = (["sar_models"], """
+        SELECT f.unique_id, f.d, s.p, s.phi, f.past, f.x, f.mean
+        FROM sar_forms f JOIN sar_models s ON s.unique_id = f.unique_id AND s.d = f.d
+        WHERE s.p < f.m - 3
+        QUALIFY row_number() OVER (PARTITION BY f.unique_id ORDER BY
+          CASE WHEN s.v > 0 THEN printf('%.9e', f.m * ln(s.v) + 2 * (s.p + 2.0)
+               + 2 * (s.p + 2.0) * (s.p + 3.0) / nullif(f.m - s.p - 3.0, 0))::double
+               ELSE '-inf'::double END NULLS LAST, f.d, s.p) = 1""")
+_CTES["sar_steps"] = (["sar_best"], """
+        SELECT unique_id, d, p, phi, mean, 0 AS h, x, past FROM sar_best
+        UNION ALL
+        SELECT unique_id, d, p, phi, mean, h + 1, list_append(x, z),
+               list_append(past, z + CASE WHEN d = 1 THEN past[len(past) - 11] ELSE 0 END)
+        FROM (SELECT *, mean + coalesce(list_sum(list_transform(range(1, p + 1),
+                        lambda j: phi[j] * (x[len(x) + 1 - j] - mean))), 0) AS z
+              FROM sar_steps WHERE h < (SELECT count(DISTINCT time_idx) FROM indexed WHERE part = 'test'))""")
+
 
 def _collect(names: list[str], seen: dict[str, str]) -> None:
     for name in names:
@@ -227,7 +264,8 @@ def _add(name: str, ctes: list[str], body: str) -> None:
     seen: dict[str, str] = {}
     _collect(ctes, seen)
     head = ",\n".join(f"{n} AS ({b})" for n, b in seen.items())
-    _SQL[name] = f"WITH {head}\n{body}" if head else body
+    recursive = "RECURSIVE " if any(f"FROM {n}" in b for n, b in seen.items()) else ""
+    _SQL[name] = f"WITH {recursive}{head}\n{body}" if head else body
 
 
 def statements() -> dict[str, str]:
@@ -673,3 +711,11 @@ _add("auto_ar_forecast", ["ar_best", "ar_slopes", "ar_last"], """
                                            WHERE part = 'test'))) AS h) h
     LEFT JOIN ar_best b ON b.unique_id = l.unique_id
     LEFT JOIN ar_slopes f ON f.unique_id = l.unique_id""")
+_add("seasonal_ar_forecast", ["sar_past", "sar_steps"], """
+    SELECT l.unique_id, (l.last_idx + h.h)::int AS time_idx, h.h::int AS h,
+           CASE s.d WHEN 1 THEN 'seasonal' WHEN 0 THEN 'plain' END AS form, s.p::int AS "order",
+           round(s.past[len(s.past)], 4) + 0.0 AS forecast
+    FROM sar_past l
+    CROSS JOIN (SELECT unnest(range(1, 1 + (SELECT count(DISTINCT time_idx) FROM indexed
+                                           WHERE part = 'test'))) AS h) h
+    LEFT JOIN sar_steps s ON s.unique_id = l.unique_id AND s.h = h.h""")

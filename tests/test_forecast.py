@@ -345,3 +345,55 @@ def test_auto_ar_short_series_is_null(spark):
     split = panel.time_index_split(df, "2020-11-01")
     rows = autoregression.auto_ar_forecast(split).where("unique_id = 'short'").collect()
     assert len(rows) == 2 and all(r.forecast is None and r.model is None for r in rows)
+
+
+def yule_walker(y, h, season=12, top=12):
+    """(form, order, forecasts) by solving the equations of every order on its own."""
+    y = np.array(y)
+    late = y[season:]
+    if len(late) < 20:
+        return None
+    found = []
+    for d, x in ((0, late), (1, late - y[: len(late)])):
+        centred, m = x - x.mean(), len(x)
+        c = [float((centred[: m - k] * centred[k:]).sum()) / m for k in range(top + 1)]
+        for p in range(min(top, m - 4) + 1):
+            if p and c[0] <= 1e-12:
+                break
+            lags = np.array([[c[abs(i - j)] for j in range(p)] for i in range(p)]).reshape(p, p)
+            phi = np.linalg.solve(lags, c[1: p + 1]) if p else np.zeros(0)
+            v, k = c[0] - float(phi @ c[1: p + 1]), p + 2
+            aicc = m * np.log(v) + 2 * k + 2 * k * (k + 1) / (m - k - 1) if v > 1e-12 else -np.inf
+            found.append((round(aicc, 7), d, p, phi, x))
+    _, d, p, phi, x = min(found, key=lambda f: f[:3])
+    z, values = list(x - x.mean()), list(y)
+    for _ in range(h):
+        z.append(sum(phi[j] * z[-1 - j] for j in range(p)))
+        values.append(z[-1] + x.mean() + (values[-season] if d else 0))
+    return ("seasonal" if d else "plain"), p, values[len(y):]
+
+
+def test_seasonal_models_match_their_equations(spark):
+    rng = np.random.default_rng(21)
+    series = {"flat": [4.0] * 80, "perfect": [float(i % 12) for i in range(80)], "short": [1.0, 5.0] * 12}
+    pattern = rng.normal(0, 6, 12)
+    for i in range(12):
+        noise, y = rng.normal(0, 1, 80), np.zeros(80)
+        for t in range(2, 80):
+            y[t] = (0.9, 0.5, 0.0)[i % 3] * y[t - 1] - (0.0, 0.3, 0.0)[i % 3] * y[t - 2] + noise[t]
+        series[f"s{i}"] = (y + (pattern[np.arange(80) % 12] if i % 2 else 0)).tolist()
+    split = panel.time_index_split(series_frame(spark, series), "2025-10-01")
+    rows = autoregression.seasonal_ar_forecast(split).orderBy("unique_id", "h").collect()
+    forms = set()
+    for uid, y in series.items():
+        mine, known = [r for r in rows if r.unique_id == uid], yule_walker(y[:69], 11)
+        assert [r.h for r in mine] == list(range(1, 12))
+        if uid == "short":
+            assert all(r.forecast is None and r.form is None for r in mine)
+            continue
+        forms.add((known[0], known[1] > 0))
+        assert {(r.form, r.order) for r in mine} == {known[:2]}, uid
+        np.testing.assert_allclose([r.forecast for r in mine], known[2], rtol=1e-7, atol=1e-7)
+        if uid.startswith("s") and int(uid[1:]) % 2:
+            assert known[0] == "seasonal"
+    assert len(forms) == 4
