@@ -243,6 +243,55 @@ def filter_and_publish(spark, sf_dir):
     return spark.read.schema(schemas.PANEL).parquet(path)
 
 
+@query
+def append_once(spark, sf_dir):
+    """Two tries of one run and another run over some of the same rows leave each row once."""
+    path = scratch_path(spark, "stock-once")
+    rows = tables.stock_log(spark, sf_dir)
+    keys = ["inv_mov_type", "item"]
+    deliveries = rows.where(F.col("inv_mov_type") == "delivery")
+    # a first try that was stopped on its way
+    writers.append_once(deliveries.where(F.col("quantity") < 20), path, "first", keys)
+    writers.append_once(deliveries, path, "first", keys)
+    writers.append_once(rows, path, "second", keys)
+    written = spark.read.schema(rows.schema).parquet(path)
+    return written.groupBy("inv_mov_type", "unit").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("quantity")
+    )
+
+
+@query
+def publish_once(spark, sf_dir):
+    path = scratch_path(spark, "published-once")
+    rows = _panel(spark, sf_dir)
+    writers.filter_and_publish(rows, path, CATEGORY_IDS[:15], run="first")
+    writers.filter_and_publish(rows, path, CATEGORY_IDS[:15], run="first")
+    writers.filter_and_publish(rows, path, CATEGORY_IDS, run="second")
+    return spark.read.schema(schemas.PANEL).parquet(path).select(schemas.PANEL.names)
+
+
+@query
+def load_delimited_rescued(spark, sf_dir):
+    """Lines with a number that is none, or with a field too many, go to a table of their own."""
+    path, good, bad = (scratch_path(spark, f"rescued-{name}") for name in ("csv", "good", "bad"))
+    line = F.col("l_linenumber")
+    quantity = F.when(line == 7, F.lit("many")).otherwise(F.col("l_quantity").cast("string"))
+    tail = F.when(line == 6, F.lit(",surplus")).otherwise(F.lit(""))
+    tables.read(spark, sf_dir, "lineitem").select(
+        F.concat(F.concat_ws(",", F.col("l_orderkey"), line, quantity), tail).alias("value")
+    ).write.text(path)
+    schema = T.StructType.fromDDL("order_id long, line int, quantity double")
+    # part files have no header line of their own
+    rows = readers.load_delimited(spark, path, schema, rescued=True, header=False)
+    writers.quarantine(rows, good, bad)
+    kept = spark.read.schema(schema).parquet(good).select(F.lit("fits").alias("kind"), "quantity")
+    lost = spark.read.schema(f"{readers.RESCUED} string, {readers.SOURCE} string").parquet(bad).select(
+        F.when(F.col(readers.RESCUED).endswith(",surplus"), "a field too many").otherwise("not a number").alias("kind"),
+        F.lit(None).cast("double").alias("quantity"),
+    )
+    return kept.union(lost).groupBy("kind").agg(F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("quantity"))
+
+
 # ---------------------------------------------------------------- filters and dimensions
 
 
@@ -466,6 +515,11 @@ def unique_customers_series(spark, sf_dir):
     return order_reports.unique_customers_series(tables.orders(spark, sf_dir), WEEKLY)
 
 
+@query
+def unique_customers_rollup(spark, sf_dir):
+    return order_reports.unique_customers_rollup(tables.orders(spark, sf_dir), DAILY)
+
+
 @query
 def total_income(spark, sf_dir):
     return sales_reports.total_income(tables.sales(spark, sf_dir, with_item=False), WEEKLY)

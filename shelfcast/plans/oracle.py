@@ -70,10 +70,11 @@ _CTES: dict[str, tuple[list[str], str]] = {
                count(*) AS lines
         FROM lineitem GROUP BY 1"""),
     "feed_rows": (["stock"], """
-        SELECT i.item, i.desc_he, m.m AS month,
-               coalesce((SELECT sum(s.quantity) FROM delivered s
-                         WHERE s.item = i.item AND s.month = m.m), 0)::double AS quantity
-        FROM (SELECT DISTINCT item, desc_he FROM stock) i, (SELECT unnest(range(1, 13)) AS m) m"""),
+        SELECT i.item, i.desc_he, m.month, coalesce(sum(s.quantity), 0)::double AS quantity
+        FROM (SELECT DISTINCT item, desc_he FROM stock) i
+        CROSS JOIN (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH))::date AS month) m
+        LEFT JOIN stock s ON s.item = i.item AND date_trunc('month', s.cur_date)::date = m.month
+        GROUP BY 1, 2, 3"""),
     "per_month": (["stock"], """
         SELECT item, desc_he AS item_desc, strftime(cur_date, '%Y-%m') AS date,
                sum(CASE WHEN inv_mov_type = 'return' THEN -2 * quantity ELSE quantity END) AS sales
@@ -137,12 +138,6 @@ _CTES: dict[str, tuple[list[str], str]] = {
         FROM panel"""),
 }
 
-# The stock rows of the feed, summed before the correlated lookup.
-_CTES["delivered"] = (["stock"], """
-        SELECT item, month(cur_date) AS month, sum(quantity) AS quantity
-        FROM stock WHERE inv_mov_type = 'delivery' GROUP BY 1, 2""")
-_CTES["feed_rows"] = (["stock", "delivered"], _CTES["feed_rows"][1])
-
 
 def _means(windows: int) -> str:
     """For every point the means of the last 1, 2, ... values, NULL unless all exist."""
@@ -341,24 +336,33 @@ _add("yearly_amount", ["erp"], f"""
     FROM (SELECT unnest(range({START[:4]}, 2004))::int AS y) y
     LEFT JOIN erp e ON year(e.date) = y.y GROUP BY y.y""")
 _add("unpivot_month_columns", ["feed_rows"], """
-    SELECT item, desc_he, strftime(make_date(2001, month::int, 1), '%Y-%m-%d') AS date, quantity
+    SELECT item, desc_he, strftime(month, '%Y-%m-%d') AS date, quantity
     FROM feed_rows""")
 _add("representative_unit", ["stock"], "SELECT item, min(unit) AS unit FROM stock GROUP BY 1")
 _add("conform_stock_log", ["feed_rows"], """
-    SELECT strftime(make_date(2001, month::int, 1), '%Y-%m-%d') AS cur_date,
+    SELECT strftime(month, '%Y-%m-%d') AS cur_date,
            'דאטה מסאפ' AS inv_mov_type, NULL::varchar AS doc_no, NULL::varchar AS cust_id,
            NULL::varchar AS cust_name, NULL::varchar AS supply_id, NULL::varchar AS supply_name,
            NULL::varchar AS warehouse_name, f.item, f.desc_he, f.quantity, u.unit,
            0.0::double AS "UCOST", 0.0::double AS "COST", 0.0::double AS "USECONDCOST",
            0.0::double AS "SECONDCOST", NULL::varchar AS coin, NULL::varchar AS to_warehouse_name,
            NULL::varchar AS general_item,
-           strftime(make_date(2001, month::int, 1), '%Y-%m-%d') AS update_date,
+           strftime(month, '%Y-%m-%d') AS update_date,
            '0' AS trans_id, NULL::varchar AS line_id, NULL::varchar AS type
     FROM feed_rows f LEFT JOIN (SELECT item, min(unit) AS unit FROM stock GROUP BY 1) u USING (item)""")
 _add("append_table", ["stock"], """
     SELECT inv_mov_type, unit, CASE WHEN inv_mov_type = 'invoice' THEN 2 ELSE 1 END * count(*) AS lines,
            round(CASE WHEN inv_mov_type = 'invoice' THEN 2 ELSE 1 END * sum(quantity), 4) AS quantity
     FROM stock GROUP BY 1, 2""")
+_add("append_once", ["stock"], """
+    SELECT inv_mov_type, unit, count(*) AS lines, round(sum(quantity), 4) AS quantity
+    FROM stock GROUP BY 1, 2""")
+_add("publish_once", ["panel"], f"""
+    SELECT {_day('ds')}, unique_id, round(y, 4) AS y FROM panel WHERE unique_id LIKE '%\\_category' ESCAPE '\\'""")
+_add("load_delimited_rescued", [], """
+    SELECT CASE l_linenumber WHEN 7 THEN 'not a number' WHEN 6 THEN 'a field too many' ELSE 'fits' END AS kind,
+           count(*) AS lines, round(sum(l_quantity) FILTER (l_linenumber < 6), 4) AS quantity
+    FROM lineitem GROUP BY 1""")
 _add("filter_and_publish", ["panel"], f"""
     SELECT {_day('ds')}, unique_id, round(y, 4) AS y FROM panel WHERE unique_id LIKE '%\\_category' ESCAPE '\\'""")
 
@@ -512,6 +516,16 @@ _add("income_by_state", ["customers"], """
 _add("unique_customers_series", ["weeks"], f"""
     SELECT {_day('w.period')}, count(DISTINCT o.o_custkey) AS unique_customers
     FROM weeks w LEFT JOIN orders o ON o.o_orderdate::date BETWEEN w.period AND w.period + 6 GROUP BY 1""")
+_add("unique_customers_rollup", [], f"""
+    WITH o AS (SELECT o_orderdate::date AS day, o_custkey FROM orders
+               WHERE o_orderdate::date BETWEEN DATE '{START}' AND DATE '{END}')
+    SELECT freq, strftime(period, '%Y-%m-%d') AS period, count(DISTINCT o_custkey) AS unique_customers
+    FROM (SELECT 'D' AS freq, day AS period, o_custkey FROM o
+          UNION ALL SELECT 'W', day - dayofweek(day)::int, o_custkey FROM o
+          UNION ALL SELECT 'M', date_trunc('month', day)::date, o_custkey FROM o
+          UNION ALL SELECT 'Q', date_trunc('quarter', day)::date, o_custkey FROM o
+          UNION ALL SELECT 'Y', date_trunc('year', day)::date, o_custkey FROM o)
+    GROUP BY 1, 2""")
 _add("total_income", ["sales"], "SELECT round(sum(total_price), 4) AS total_income FROM sales")
 _add("share_of_total", ["sales"], """
     SELECT unit, order_status, round(sum(total_price), 4) AS total_price,

@@ -203,20 +203,21 @@ def inventory_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Years that the supplied movements lie in.
+FEED_YEARS = range(1995, 2002)
+
+
 def month_columns() -> dict[str, str]:
-    return {str(m): f"2001-{m:02d}-01" for m in range(1, 13)}
+    """Column name to first day of each month of the feed."""
+    return {f"{y}-{m:02d}": f"{y}-{m:02d}-01" for y in FEED_YEARS for m in range(1, 13)}
 
 
 def monthly_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delivered quantity per item with one column per month of year, NULL where none."""
+    """Moved quantity per item, of all movement types, with one column per month; NULL where the item
+    has no rows."""
     log = stock_log(spark, sf_dir)
-    delivered = F.when(F.col("inv_mov_type") == "delivery", F.col("quantity"))
-    return log.groupBy("item", "desc_he").agg(
-        *[
-            F.sum(F.when(F.month("cur_date") == int(m), delivered)).alias(m)
-            for m in month_columns()
-        ]
-    )
+    months = log.withColumn("month", F.date_format("cur_date", "yyyy-MM"))
+    return months.groupBy("item", "desc_he").pivot("month", list(month_columns())).agg(F.sum("quantity"))
 
 
 def sales_per_month(spark: SparkSession, sf_dir: str) -> DataFrame:

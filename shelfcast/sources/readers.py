@@ -2,29 +2,50 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Column with the text of a row that doesn't fit its schema, and column with the file it is from.
+RESCUED, SOURCE = "_rescued", "_source"
+
+
 def load_delimited(
     spark: SparkSession, path: str, schema: T.StructType, index_column: bool = False,
-    multi_line: bool = False,
+    multi_line: bool = False, rescued: bool = False, header: bool = True,
 ) -> DataFrame:
-    """Quoted CSV with a header, doubled quotes inside quotes and, optionally, a leading
+    """Quoted CSV with a ``header`` line, doubled quotes inside quotes and, optionally, a leading
     unnamed index column that is dropped.
 
     ``multi_line`` allows line breaks inside quotes; such a file cannot be split over tasks.
+    With ``rescued`` a row with a value that isn't of its column's type, or with too few or too many
+    fields, has its whole text in ``_rescued``, which is null in all other rows, and every row has
+    its file in ``_source``. All columns are parsed then, whatever a query asks for, because a row
+    is judged by all of them.
     """
-    read_schema = schema
+    fields = list(schema.fields)
     if index_column:
-        read_schema = T.StructType([T.StructField("_index", T.StringType()), *schema.fields])
+        fields = [T.StructField("_index", T.StringType()), *fields]
+    if rescued:
+        fields.append(T.StructField(RESCUED, T.StringType()))
+    reader = spark.read.schema(T.StructType(fields))
+    if rescued:
+        reader = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=RESCUED, columnPruning="false")
     rows = (
-        spark.read.schema(read_schema)
-        .option("header", True).option("quote", '"').option("escape", '"')
+        reader
+        .option("header", header).option("quote", '"').option("escape", '"')
         .option("enforceSchema", True).option("multiLine", multi_line)
         .csv(path)
     )
+    if rescued:
+        # values are only looked at where a query asks for them: this condition, never met, asks for all
+        named = [F.col(f"`{name}`") for name in schema.names]
+        text = F.coalesce(F.col(RESCUED), F.when(reduce(or_, [c != c for c in named]), F.lit("")))
+        rows = rows.select(*[f.name for f in fields[:-1]], text.alias(RESCUED), F.col("_metadata.file_path").alias(SOURCE))
     return rows.drop("_index") if index_column else rows
 
 

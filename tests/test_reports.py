@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from shelfcast.functions.filters import Scope
 from shelfcast.operators import order_reports, sales_reports, supply_reports
 from shelfcast.operators.shared import share_of_total
@@ -181,3 +183,25 @@ def test_topk_and_others_sum_to_total(spark, sf_dir):
     parts = sum(r.sales for r in sales_reports.topk_and_others(sales, scope, "sales").collect())
     whole = sum(r.sales for r in sales_reports.period_totals(sales, scope, "sales").collect())
     assert parts == whole
+
+
+def test_customers_of_all_frequencies_from_one_pass(spark):
+    import random
+
+    from shelfcast.functions.calendar import period_start
+    from shelfcast.operators import order_reports
+
+    draw = random.Random(8)
+    rows = [
+        (f"o{i}", draw.choice([None, 1, 5, 32_768, 32_769, 70_000, 2**40 + 7]), dt.date(2023, 11, 1) + dt.timedelta(draw.randrange(200)), "F", 1.0)
+        for i in range(600)
+    ]
+    orders = spark.createDataFrame(rows, "order_id string, cust_id long, status_date date, order_status string, total_price_with_discount double")
+    scope = Scope("2023-11-15", "2024-04-30", "D")
+    got = {(r.freq, r.period): r.unique_customers for r in order_reports.unique_customers_rollup(orders, scope).collect()}
+    expected = {}
+    for freq in "DWMQY":
+        inside = scope.orders(orders).where("cust_id IS NOT NULL")
+        for r in inside.groupBy(period_start("status_date", freq).cast("date").alias("p")).agg(F.count_distinct("cust_id").alias("n")).collect():
+            expected[freq, r.p] = r.n
+    assert got == expected

@@ -141,3 +141,53 @@ def test_scratch_path_uses_the_cluster_setting(spark):
     assert first != second
     if shared:
         assert first.startswith(f"{shared.rstrip('/')}/x-")
+
+
+def test_runs_are_appended_once(spark, tmp_path):
+    path = str(tmp_path / "once")
+    schema = "k string, d int, v int"
+    first = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), (None, 2, 3)], schema)
+    read = lambda: sorted((tuple(r) for r in spark.read.schema(schema).parquet(path).select("k", "d", "v").collect()), key=repr)
+    writers.append_once(first, path, "one", ["k", "d"])
+    expected = read()
+    writers.append_once(first, path, "one", ["k", "d"])
+    assert read() == expected and len(expected) == 3
+    # another run adds the rows whose keys are new, and its repetition nothing
+    second = first.union(spark.createDataFrame([("b", 1, 9)], schema))
+    for _ in range(2):
+        writers.append_once(second, path, "two", ["k", "d"])
+        assert read() == sorted([*expected, ("b", 1, 9)], key=repr)
+    # what a stopped run has left is replaced by its next try
+    spark.createDataFrame([("c", 1, 1)], schema).withColumn("run", F.lit("three")).write.mode("append").partitionBy("run").parquet(path)
+    writers.append_once(spark.createDataFrame([("c", 1, 1), ("c", 2, 1)], schema), path, "three", ["k", "d"])
+    assert len(read()) == 6
+    with pytest.raises(ValueError):
+        writers.append_once(first, path, "one", [])
+
+
+def test_publishing_a_run_twice(spark, tmp_path):
+    path = str(tmp_path / "p")
+    df = spark.createDataFrame([(dt.date(2024, 1, 31), "x", 1.0), (dt.date(2024, 2, 29), "y", 2.0)], schemas.PANEL)
+    for run, ids in (("r1", ["x"]), ("r1", ["x"]), ("r2", ["x", "y"])):
+        writers.filter_and_publish(df, path, ids, run=run)
+    assert sorted(r.unique_id for r in spark.read.schema(schemas.PANEL).parquet(path).collect()) == ["x", "y"]
+
+
+def test_rows_that_do_not_fit_are_rescued(spark, tmp_path):
+    path = tmp_path / "raw"
+    path.mkdir()
+    (path / "a.csv").write_text('n,day,t\n1,2024-01-31,"a ""b"""\nx,2024-01-31,c\n2,31/01/2024,d\n3,2024-02-01,e,f\n4\n', encoding="utf-8")
+    (path / "b.csv").write_text("n,day,t\n5,,\n", encoding="utf-8")
+    rows = readers.load_delimited(spark, str(path), T.StructType.fromDDL("n int, day date, t string"), rescued=True)
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    writers.quarantine(rows, good, bad)
+    kept = spark.read.parquet(good)
+    assert kept.columns == ["n", "day", "t"]
+    assert sorted(r.n for r in kept.collect()) == [1, 5]
+    lost = spark.read.parquet(bad).collect()
+    assert sorted(r[readers.RESCUED] for r in lost) == ["2,31/01/2024,d", "3,2024-02-01,e,f", "4", "x,2024-01-31,c"]
+    assert all(r[readers.SOURCE].endswith("a.csv") for r in lost)
+    # a query of one column judges rows by all of them
+    assert rows.where(F.col(readers.RESCUED).isNull()).select("t").count() == 2
+    plain = readers.load_delimited(spark, str(path), T.StructType.fromDDL("n int, day date, t string"))
+    assert plain.columns == ["n", "day", "t"] and plain.count() == 6
