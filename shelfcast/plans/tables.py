@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast import schemas
+from shelfcast.operators.shared import spread
 
 # Stored conversion rates, different from those of the converted reports.
 STORED_RATES = {"ILS": 1.0, "USD": 3.72, "EUR": 4.03}
@@ -152,7 +153,12 @@ def erp_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         "county_origin": F.lit("None"),
         "delivery_type": F.concat_ws("/", "l_returnflag", "l_linestatus"),
     }
-    lines = read(spark, sf_dir, "lineitem").join(parts(spark, sf_dir), "l_partkey")
+    # an export comes in many files; a table of one row group would be formatted and cleaned by one task
+    rows = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+        "l_returnflag", "l_linestatus", "l_shipdate",
+    )
+    lines = spread(rows, "l_orderkey").join(parts(spark, sf_dir), "l_partkey")
     return lines.select(*[text[new].alias(old) for old, new in schemas.ERP_HEADERS.items()])
 
 
