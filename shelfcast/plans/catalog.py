@@ -23,7 +23,7 @@ from shelfcast.operators import (
 from shelfcast.operators.shared import share_of_total
 from shelfcast.plans import tables
 from shelfcast.session import scratch_path
-from shelfcast.sources import readers, writers
+from shelfcast.sources import readers, stored, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -821,6 +821,14 @@ def baseline_backtest(spark, sf_dir):
     return backtest.baseline_backtest(_train(spark, sf_dir))
 
 
+@query
+def backtest_stored(spark, sf_dir):
+    """The backtest of a panel that is stored in buckets by series."""
+    path = scratch_path(spark, "panel-by-series")
+    stored.store_by_series(_train(spark, sf_dir).select(schemas.PANEL.names), path)
+    return backtest.baseline_backtest(stored.open_by_series(spark, path, schemas.PANEL))
+
+
 @query
 def backtest_rmse(spark, sf_dir):
     return backtest.backtest_rmse(backtest.baseline_backtest(_train(spark, sf_dir)))

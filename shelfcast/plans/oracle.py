@@ -699,6 +699,7 @@ _add("baseline_backtest", ["backtest"], f"""
            round(WindowAverage, 4) AS "WindowAverage",
            round(SeasonalWindowAverage, 4) AS "SeasonalWindowAverage"
     FROM backtest""")
+_SQL["backtest_stored"] = _SQL["baseline_backtest"]
 _add("backtest_rmse", ["backtest"], """
     SELECT unique_id, model, round(avg(rmse), 4) AS mean_rmse
     FROM (SELECT unique_id, fold, model, sqrt(avg((v - y) * (v - y))) AS rmse

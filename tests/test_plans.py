@@ -18,7 +18,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-WRITING = {"load_delimited", "write_csv", "load_json_envelope", "append_table", "filter_and_publish", "inventory_to_table", "append_once", "publish_once", "load_delimited_rescued"}
+WRITING = {"load_delimited", "write_csv", "load_json_envelope", "append_table", "filter_and_publish", "inventory_to_table", "append_once", "publish_once", "load_delimited_rescued", "backtest_stored"}
 
 
 @pytest.mark.parametrize("name", [n for n in catalog.queries() if n not in WRITING])
@@ -87,6 +87,29 @@ def test_a_panel_dealt_out_by_series_is_not_shuffled_again(spark, sf_dir):
     assert plan(tuning.swa_grid(panel.extend_series(panel_rows))).count("Exchange hashpartitioning") == before
 
 
+def test_a_stored_panel_is_not_shuffled(spark, tmp_path):
+    from shelfcast import schemas
+    from shelfcast.operators import autoregression, backtest
+    from shelfcast.sources import stored
+
+    path = str(tmp_path / "panel")
+    rows = [(f"s{i % 5}", f"2023-{1 + i // 5:02d}-28", float(i)) for i in range(60)]
+    made = spark.createDataFrame(rows, "unique_id string, ds string, y double").selectExpr("ds", "unique_id", "y")
+    made = made.withColumn("ds", F.last_day(F.to_date("ds"))).select(schemas.PANEL.names)
+    for _ in range(2):
+        stored.store_by_series(made, path, 4)
+    kept = stored.open_by_series(spark, path, schemas.PANEL, 4)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, made.collect()))
+    extended, split = panel.extend_series(kept), panel.time_index_split(kept, "2023-10-01")
+    results = tuning.forecast_errors(tuning.swa_grid(extended))
+    for df in (
+        results, tuning.best_window(results, "2023-06-30", "2023-12-31"), tuning.best_series_window(tuning.swa_series(extended), "2023-06-30", "2023-12-31"),
+        backtest.baseline_backtest(kept), autoregression.auto_ar_forecast(split), autoregression.seasonal_ar_forecast(split),
+    ):
+        assert "Exchange hashpartitioning" not in plan(df)
+        df.collect()
+
+
 def test_panel_subqueries_read_the_shuffle_of_the_main_branch(spark, sf_dir):
     """The panel's end is read from the shuffle already written, without another table scan."""
     df = catalog.queries()["extend_series"](spark, sf_dir)
