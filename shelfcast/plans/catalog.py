@@ -107,6 +107,16 @@ def load_json_envelope(spark, sf_dir):
     return readers.load_json_envelope(spark, path, schema, multi_line=False)
 
 
+@query
+def load_pretty_envelope(spark, sf_dir):
+    """Envelopes printed over many lines, read by byte ranges."""
+    path = scratch_path(spark, "pretty-envelopes")
+    lines = tables.inventory_text(spark, sf_dir)
+    tables.pretty_envelopes(lines, 4).write.partitionBy("part").text(path)
+    schema = _text_schema(lines.columns)
+    return readers.load_pretty_envelope(spark, f"{path}/part=*", schema)
+
+
 @query
 def explode_order_items(spark, sf_dir):
     return ingest.explode_order_items(tables.order_documents(spark, sf_dir))

@@ -285,6 +285,7 @@ _add("load_json_envelope", ["inventory"], """
     SELECT doc AS "DOC", kline AS "KLINE", coalesce(CASE WHEN tquant IS NOT NULL THEN tquant_text END, 'None') AS "TQUANT",
            coalesce(CASE WHEN cost IS NOT NULL THEN cost_text END, no_number) AS "COST", coalesce(kind, 'None') AS "TYPE"
     FROM inventory""")
+_SQL["load_pretty_envelope"] = _SQL["load_json_envelope"]
 _add("explode_order_items", [], """
     SELECT l_linenumber * 10 + part AS "KLINE", l_quantity * sign AS "TQUANT",
            l_orderkey::varchar AS "ORDNAME"

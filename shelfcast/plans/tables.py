@@ -6,7 +6,7 @@ broadcasts a dimension only while its measured size is below the session's thres
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfcast import schemas
@@ -209,6 +209,34 @@ def inventory_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pretty_envelopes(lines: DataFrame, files: int) -> DataFrame:
+    """(part, value): the lines of ``files`` JSON envelopes, printed with a line per field, from a
+    table of texts. Each part is one document."""
+    fields = [
+        F.concat(F.lit(f'      "{c}": '), F.coalesce(F.get(F.split(F.to_json(F.struct(c)), ":", 2), F.lit(1)), F.lit("null}")))
+        for c in lines.columns
+    ]
+    element = F.concat(
+        F.lit("    {\n"), F.array_join(F.transform(F.array(*fields), lambda f: F.substring(f, F.lit(1), F.length(f) - 1)), ",\n"),
+        F.lit("\n    }"),
+    )
+    part = F.pmod(F.xxhash64(*lines.columns), F.lit(files)).alias("part")
+    elements = lines.select(part, F.lit(1).alias("place"), element.alias("value"))
+    ends = lines.sparkSession.range(files).select(
+        F.col("id").alias("part"),
+        F.inline(
+            F.array(
+                F.struct(F.lit(0).alias("place"), F.lit('{\n  "context": "export",\n  "value": [').alias("value")),
+                F.struct(F.lit(2).alias("place"), F.lit("  ]\n}").alias("value")),
+            )
+        ),
+    )
+    order = Window.partitionBy("part").orderBy("place", "value")
+    # a comma goes ahead of all elements but a file's first
+    comma = F.when((F.col("place") == 1) & (F.lag("place").over(order) == 1), F.lit("    ,\n")).otherwise(F.lit(""))
+    return elements.unionByName(ends).select("part", F.concat(comma, "value").alias("value"))
+
+
 #: Years that the supplied movements lie in.
 FEED_YEARS = range(1995, 2002)
 

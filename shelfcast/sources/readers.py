@@ -61,3 +61,34 @@ def load_json_envelope(
     envelope = T.StructType([T.StructField(array_field, T.ArrayType(row_schema))])
     documents = spark.read.schema(envelope).option("multiLine", multi_line).json(path)
     return documents.select(F.explode(array_field).alias("_row")).select("_row.*")
+
+
+def load_pretty_envelope(
+    spark: SparkSession, path: str, row_schema: T.StructType, array_field: str = "value", indent: str | None = None
+) -> DataFrame:
+    """One row per element of the array inside a JSON envelope that is printed over many lines, each
+    element from a line with ``indent`` and ``{`` to a line with ``indent`` and ``}``.
+
+    Line breaks inside JSON texts are escaped, so a line break, the indent and ``}`` end an element
+    wherever they stand. With that as separator of records one file is read by many tasks, each from
+    its own byte range. ``indent`` is that of the first such line unless it is given. What stands
+    between two elements is checked: another layout (elements on one line, empty ones, a second
+    array) is an error, never a lost row; ``load_json_envelope`` reads those. No files give no row.
+    """
+    if indent is None:
+        first = spark.read.text(path).where(F.col("value").rlike(r"^\s+\{\s*$")).limit(1).collect()
+        indent = first[0][0].split("{")[0] if first else "    "
+    begin, end = f"\n{indent}{{", f"\n{indent}}}"
+    parts = F.split(F.col("value"), rf"\r?\Q{begin}\E(?=\s)", 2)
+    records = spark.read.option("lineSep", end).text(path).select(
+        F.trim(F.translate(parts[0], "\r\n\t", "   ")).alias("_head"), F.get(parts, F.lit(1)).alias("_body")
+    )
+    opening = rf'^\{{(?s:.*)"\Q{array_field}\E"\s*:\s*\[$'
+    between = (F.col("_head") == ",") | F.col("_head").rlike(opening)
+    after = F.col("_head").startswith("]") | (F.col("_head") == "") | F.col("_head").rlike(r"\[\s*\]")
+    wrong = F.raise_error(F.concat(F.lit("not an envelope of this layout, near: "), F.substring("_head", 1, 200)))
+    element = F.when(F.col("_body").isNotNull() & between, F.concat(F.lit("{"), F.col("_body"), F.lit("}"))).when(
+        F.col("_body").isNull() & after, F.lit(None).cast("string")
+    ).otherwise(wrong.cast("string"))
+    texts = records.select(element.alias("_text")).where(F.col("_text").isNotNull())
+    return texts.select(F.from_json("_text", row_schema).alias("_row")).select("_row.*")

@@ -18,7 +18,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-WRITING = {"load_delimited", "write_csv", "load_json_envelope", "append_table", "filter_and_publish", "inventory_to_table", "append_once", "publish_once", "load_delimited_rescued", "backtest_stored"}
+WRITING = {"load_delimited", "write_csv", "load_json_envelope", "append_table", "filter_and_publish", "inventory_to_table", "append_once", "publish_once", "load_delimited_rescued", "backtest_stored", "load_pretty_envelope"}
 
 
 @pytest.mark.parametrize("name", [n for n in catalog.queries() if n not in WRITING])

@@ -191,3 +191,40 @@ def test_rows_that_do_not_fit_are_rescued(spark, tmp_path):
     assert rows.where(F.col(readers.RESCUED).isNull()).select("t").count() == 2
     plain = readers.load_delimited(spark, str(path), T.StructType.fromDDL("n int, day date, t string"))
     assert plain.columns == ["n", "day", "t"] and plain.count() == 6
+
+
+def test_pretty_envelopes_are_read_in_ranges(spark, tmp_path):
+    rows = [
+        {"KLINE": i, "ORDNAME": f'tricky "x" \\n    }} {{ , [ ] é {i}', "deep": [{"a": {"b": i}}, {}], "none": None} for i in range(400)
+    ]
+    path = tmp_path / "big.json"
+    for newline in ("\n", "\r\n"):
+        for indent in (1, 2, 4, "\t"):
+            with open(path, "w", encoding="utf-8", newline=newline) as out:
+                json.dump({"context": {"a": [1, 2]}, "value": rows, "count": 400}, out, indent=indent, ensure_ascii=False)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            try:
+                found = readers.load_pretty_envelope(spark, str(path), ITEM)
+                assert sorted((r.KLINE, r.ORDNAME) for r in found.collect()) == [(r["KLINE"], r["ORDNAME"]) for r in rows]
+                assert found.rdd.getNumPartitions() > 8
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+                spark.conf.unset("spark.sql.files.openCostInBytes")
+            whole = readers.load_json_envelope(spark, str(path), ITEM)
+            assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_other_layouts_are_errors_and_empty_ones_nothing(spark, tmp_path):
+    def read(document, indent=2):
+        path = tmp_path / f"{abs(hash(str(document)))}-{indent}.json"
+        path.write_text(json.dumps(document, indent=indent), encoding="utf-8")
+        return readers.load_pretty_envelope(spark, str(path), ITEM).collect()
+
+    one = {"KLINE": 1, "ORDNAME": "a"}
+    assert [r.KLINE for r in read({"value": [one]})] == [1] and read({"value": []}) == []
+    for wrong in ({"value": [one, {}, one]}, {"value": [one], "other": [one]}, {"other": [one]}, {"value": [one, None, one]}):
+        with pytest.raises(Exception, match="not an envelope"):
+            read(wrong)
+    with pytest.raises(Exception, match="not an envelope"):
+        read({"value": [one]}, None)
