@@ -61,7 +61,7 @@ def _literal_hashes(words: list[str]) -> np.ndarray:
     data = np.frombuffer("".join(words).encode(), np.uint8)
     ends = np.cumsum([len(w.encode()) for w in words])
     starts = np.concatenate(([0], ends[:-1]))
-    return np.sort(tx.span_hash(tx.prefix_hash(data), starts, ends))
+    return np.sort(tx.word_hash(data, starts, ends))
 
 
 def _within(sorted_hashes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -98,7 +98,7 @@ def _templates(data: np.ndarray, lowered: np.ndarray, offsets: np.ndarray) -> tu
     digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
     letters = np.concatenate(([0], np.cumsum(_UPPER[data] | _LOWER[data] | (data >= 0x80))))
     lower = np.concatenate(([0], np.cumsum(_LOWER[data] | (data >= 0x80))))
-    hashes = tx.span_hash(tx.prefix_hash(tx.LOWER[lowered]), starts, ends)
+    hashes = tx.word_hash(tx.LOWER[lowered], starts, ends)
     size = ends - starts
     kind = np.full(len(starts), WORD)
     named = _UPPER[data[starts]] & (size > 1) & (lower[ends] - lower[starts] == size - 1)

@@ -64,11 +64,15 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 
 
 def _minima(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Minwise hashes, one row of ``HASHES`` 32-bit numbers for each row that has a set."""
+    """Minwise hashes, one row of ``HASHES`` 32-bit numbers for each row that has a set.
+
+    The least of many hashes is a small number: it is mixed before it is cut, or the upper half of
+    those of long texts would hold a few bits only, and unrelated texts would share tokens.
+    """
     full = offsets[:-1][np.diff(offsets) > 0]
     out = np.empty((len(full), HASHES), dtype="<u4")
     for i, factor in enumerate(_FACTORS):
-        out[:, i] = np.minimum.reduceat(values * factor, full) >> np.uint64(32)
+        out[:, i] = tx.mix(np.minimum.reduceat(values * factor, full)) >> np.uint64(32)
     return out
 
 

@@ -11,10 +11,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE = 1 << 19
 BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
+#: Bytes from which a word is hashed by itself.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,6 +73,19 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start])
 
 
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words [start, end) of ``data``.
+
+    Spans' hashes are polynomials modulo 2**64, whose values agree for certain pairs of 1,024 letters
+    and more whatever the base; words of ``LONG`` bytes and more, which are rare, are hashed one by
+    one instead.
+    """
+    out = span_hash(prefix_hash(data), start, end)
+    for i in np.flatnonzero(end - start >= LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i]: end[i]].tobytes())
+    return out
+
+
 def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of pieces of a text column; null is empty."""
     column = pc.cast(pc.fill_null(column, ""), pa.large_binary())
@@ -107,7 +123,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """(hash, row) of every word: a maximal run of other bytes than white space, A-Z lowered."""
     data = LOWER[data]
     starts, ends, rows = word_spans(~SPACE[data], offsets)
-    return span_hash(prefix_hash(data), starts, ends), rows
+    return word_hash(data, starts, ends), rows
 
 
 def windows(words: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -70,7 +70,7 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
     """(first row, row after the last, token hashes, their rows, starts and ends in the row's bytes)."""
     for first, last, data, offsets in tx.slices(pc.utf8_lower(column)):
         starts, ends, rows = tx.word_spans(LETTER[data], offsets)
-        hashes = tx.span_hash(tx.prefix_hash(data), starts, ends)
+        hashes = tx.word_hash(data, starts, ends)
         yield first, last, hashes, rows, starts - offsets[rows], ends - offsets[rows]
 
 

@@ -178,3 +178,33 @@ def test_index_marks_exactly_the_repeated_windows():
     counts = Counter(bytes(p[i: i + width]) for p in pieces for i in range(len(p) - width + 1))
     for piece, flags in zip(pieces, repeated_windows(pieces, width), strict=True):
         assert flags.tolist() == [counts[bytes(piece[i: i + width])] > 1 for i in range(len(piece) - width + 1)]
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_long_words_of_one_polynomial_are_told_apart(spark):
+    import pyarrow as pa
+
+    from shelfcast.llm import text as tx
+
+    pairs = [(thue_morse(n), thue_morse(n, "b", "a")) for n in (64, 512, 1024, 2048, 4096)]
+    data = pa.array([" ".join(p) for p in pairs])
+    for _, _, piece, offsets in tx.slices(data):
+        hashes, _ = tx.word_hashes(piece, offsets)
+        assert len(np.unique(hashes)) == 2 * len(pairs)
+    rows = [(i, words(6, 1) + " " + w + " " + words(6, 2)) for i, w in enumerate(w for p in pairs for w in p)]
+    rows += [(100, rows[4][1].upper())]
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, rows)).collect()}
+    assert found == {**{i: i for i in range(10)}, 100: 4} == components(rows)
+
+
+def test_tokens_of_long_texts_use_all_their_bits():
+
+    from shelfcast.llm import text as tx
+
+    sets = np.sort(tx.mix(np.arange(1, 4001 * 50, dtype=np.uint64)))[: 4000 * 50]
+    values = tx.mix(sets)
+    tokens = near_dedup._minima(values, np.arange(0, 4000 * 50 + 1, 4000))
+    assert (tokens >> np.uint32(16)).max() > 60_000 and len(np.unique(tokens >> np.uint32(20))) > 1500
