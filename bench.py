@@ -17,6 +17,7 @@ HEADLINES = [
     "unpivot_month_columns", "profile_columns", "topn_by_count", "histogram", "hierarchy_rollup",
     "extend_series", "swa_grid", "best_window", "best_window_forecast", "reshape_forecast_columns",
     "baseline_backtest", "backtest_rmse", "time_index_split", "auto_ar_forecast",
+    "seasonal_ar_forecast", "unique_customers_rollup", "load_pretty_envelope", "backtest_stored",
 ]
 
 
