@@ -266,14 +266,105 @@ def test_no_secrets_in_nothing(spark):
     assert secrets.scan(table(spark, [(1, "only short words here")])).count() == 0
 
 
-def test_forest_on_findings_it_has_not_seen(spark):
-    rows = secrets.with_features(
-        secrets.candidates(read(spark, "/root/testdata/sf0.01", "documents")),
-        secrets.dictionary(read(spark, "/root/testdata/sf0.01", "documents")),
-    )
-    labelled = secrets.labelled_findings(rows).cache()
-    third = "pmod(xxhash64(value), 3) = 1"
-    model = secrets.fit(labelled.where(f"NOT {third}"), [])
-    seen = secrets.scored(labelled.where(third), model).select("label", "is_secret").collect()
-    labelled.unpersist()
-    assert len(seen) > 50 and sum((r.label == 1) == r.is_secret for r in seen) / len(seen) > 0.98
+LINES = [
+    # (text, secrets in it); none of them is made by the planted findings
+    ("please use password=Tr0ub4dor&3 today", ["Tr0ub4dor&3"]),
+    ('{"user":"bob","api_key":"9f8a7b6c5d4e3f2a1b0c9d8e"}', ["9f8a7b6c5d4e3f2a1b0c9d8e"]),
+    ("see https://site.example.org/a/b?user=bob&token=9f8a7b6c5d4e3f2a1b0c and", ["9f8a7b6c5d4e3f2a1b0c"]),
+    ("postgres://user:S3cretPassw0rd@db.host/x", ["S3cretPassw0rd"]),
+    ("export AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIK7MDENGbPxRfiCYzzKEYabcdefg", ["wJalrXUtnFEMIK7MDENGbPxRfiCYzzKEYabcdefg"]),
+    ("commit 1c5c31775edb0e97c8e972c4a50a0d9e0560c638 was", []),
+    ("the password: please ask the office", []),
+    ("visit https://www.garden-stone.org/paper/winter/story.html now", []),
+    ('password = "changeme" and token = "${TOKEN}"', []),
+    ("sha256: 8d969eef6ecad3c29a3a629280e686cf0c3f5d5a86aff3ca12020c923adc6c92", []),
+]
+
+
+def test_forms_of_secrets_and_their_look_alikes(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = table(spark, [(-1 - i, text) for i, (text, _) in enumerate(LINES)])
+    found = secrets.scan(docs.union(lines)).where("is_secret AND doc_id < 0").collect()
+    assert sorted((r.doc_id, r.value) for r in found) == sorted((-1 - i, v) for i, (_, s) in enumerate(LINES) for v in s)
+    keys = {r.value: r.key for r in found}
+    assert keys["Tr0ub4dor&3"] == "password" and keys["S3cretPassw0rd"] == "password"
+    assert keys["9f8a7b6c5d4e3f2a1b0c9d8e"] == "api_key" and keys["9f8a7b6c5d4e3f2a1b0c"] == "token"
+
+
+def candidates_by_hand(text):
+    """(position, value, key, assigned), piece by piece."""
+    import re
+
+    name = re.compile(rf"(?:^|_)(?:{'|'.join(secrets.SECRET_PARTS)})[0-9]*(?:_|$)")
+    own = lambda s: re.sub(r"[^a-z0-9]+", "_", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", s).lower()).strip("_")
+    text = re.sub(r"[&?](?=[A-Za-z0-9_.\-]{1,64}=)", " ", text or "")
+    pieces = re.findall(r"""[=:]+>?|["'`]?[^\x20\x09-\x0D"'`,;=:]+["'`]?""", text)
+    out = []
+    for i, piece in enumerate(pieces):
+        back = ["", "", "", *pieces[:i]]
+        sign = back[-1][:1] in ("=", ":") and back[-1] != ""
+        if piece[0] in "=:":
+            continue
+        key, value = (back[-2] if sign else back[-1]), re.sub(r"""^["'`(\[{<*#|]+|["'`)\]}>*#|.]+$""", "", piece)
+        if back[-1] == ":" and back[-2].startswith("//") and "@" in piece:
+            key, value = "password", re.match("([^@/]*@)?", piece).group()[:-1]
+        elif back[-2][:1] in ("=", ":") and back[-2] and back[-1].lower() in ("bearer", "basic"):
+            key, sign = back[-1], True
+        if value and (len(value) >= secrets.SHORTEST or (sign and name.search(own(key)))):
+            out.append((i, value, own(key), sign))
+    return out
+
+
+def test_candidates_by_brute_force(spark):
+    draw = random.Random(9)
+    parts = ["password", "apiKey", "=", ":", " ", " ", ", ", '"', "'", "&", "?", "x", "user", "//", "@", "4f5a6b7c8d9e0f1a2b", "a" * 20, "Bearer", ";", ".", "\n", "é"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(60))) for _ in range(300)]
+    rows = list(enumerate([*texts, *(text for text, _ in LINES), None, "", "w" * 100_000 + " token=" + "k9" * 50_000]))
+    found = secrets.candidates(clashing(table(spark, rows))).collect()
+    expected = [(d, *c) for d, text in rows for c in candidates_by_hand(text)]
+    assert sorted((r.id, r.position, r.value, r.key, r.assigned) for r in found) == sorted(expected)
+    assert len(expected) > 100
+
+
+def test_transitions_and_coverage_by_brute_force(spark):
+    import math
+    import re
+    from collections import Counter
+
+    texts = [words(50, 1), words(70, 2) + " Größe x1y2 snake_case", None, "stone stone stone", ""]
+    counted = secrets.word_counts(table(spark, list(enumerate(texts))))
+    runs = [w for t in texts for w in re.split("[^a-zà-öø-ÿ0-9_]+", (t or "").lower())]
+    expected = Counter(w for w in runs if len(w) >= 2 and not re.search("[0-9_]", w))
+    assert dict(rows_of(counted)) == expected
+    pairs = Counter()
+    for w, n in expected.items():
+        for a, b in zip(w, w[1:], strict=False):
+            pairs[a, b] += n
+    letters = secrets._ALPHABET
+    for at, found in enumerate(secrets.transitions(counted)):
+        a, b = letters[at // 36], letters[at % 36]
+        total = sum(pairs[a, c] + 1 for c in letters)
+        assert math.isclose(found, math.log((pairs[a, b] + 1) / total)), (a, b)
+    values = ["stone-garden", "xyz9stone", "12345", "größe/STONE"]
+    found = dict(rows_of(secrets.with_coverage(spark.createDataFrame([(v,) for v in values], "value string"), counted)))
+    most = math.log(max(*expected.values(), 2))
+    for v in values:
+        known = [p for p in re.split("[^a-zà-öø-ÿ]+", v.lower()) if len(p) >= 3 and p in expected]
+        assert math.isclose(found[v], sum(len(p) * math.log(expected[p]) / most for p in known) / len(v)), v
+
+
+def test_forest_on_findings_it_has_not_seen(spark, sf_dir):
+    counted = secrets.word_counts(read(spark, sf_dir, "documents"))
+    likelihoods = secrets.transitions(counted)
+    forest = secrets.fit(secrets.labelled(secrets.planted(spark, counted), counted, likelihoods))
+    unseen = secrets.labelled(secrets.planted(spark, counted, seed=99), counted, likelihoods)
+    seen = secrets.scored(unseen, forest).select("label", "is_secret").collect()
+    assert len(seen) > 10_000 and sum((r.label == 1) == r.is_secret for r in seen) / len(seen) > 0.98
+
+
+def test_findings_given_by_the_caller(spark):
+    rows = [(f"{words(3, i)} id={'ab'[i % 2]}{'12345678901234567' if i % 2 else 'zzyyxxwwvvuuttss'}{i}", i) for i in range(200)]
+    findings = [(text, text.split("=")[1], float(i % 2)) for text, i in rows]
+    given = spark.createDataFrame([*findings, ("id=1", None, 1.0), (None, "x", 0.0)], "text string, value string, label double")
+    found = secrets.scan(table(spark, [(i, text) for text, i in rows]), findings=given).collect()
+    assert len(found) == 200 and all(r.is_secret == (r.doc_id % 2 == 1) for r in found)
