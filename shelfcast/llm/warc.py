@@ -11,19 +11,20 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfcast.llm.storage import small_enough, staged
 
 #: Compressed bytes after which a file is closed and the next one begun.
 ROLL_BYTES = 64 << 20
-#: Payload bytes of a range that one task writes, about, and the bins its borders are taken from.
+#: Payload bytes of a range that one task writes, about. Beyond ``RANGES`` times as many, ranges grow.
 RANGE_BYTES = 32 << 20
-BINS = 1 << 14
+RANGES = 1 << 18
 #: Payloads of fewer bytes are never written as revisits.
 REVISIT_BYTES = 1000
 #: Part of every record, so that the same rows always give the same bytes.
@@ -155,25 +156,46 @@ def _uri(spark: SparkSession, path: str) -> str:
     return f"file://{path}"
 
 
-def _bin(page: Column, low: int, high: int) -> Column:
-    """One of ``BINS`` ranges of equal width of the keys; rows without a key come first."""
-    share = (page - F.lit(low)).cast("double") / F.lit(float(max(high - low, 1)))
-    return F.coalesce(F.least(F.floor(share * BINS), F.lit(BINS - 1)), F.lit(-1)).cast("int")
+def _key(page: Column, digest: Column, url: Column) -> Column:
+    """Sorts by page and digest; rows without a page come first, by digest and url."""
+    number = F.lpad(F.hex(page.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    place = F.concat(F.lit("1"), number, F.substring(digest, 1, 8))
+    return F.coalesce(place, F.concat(F.lit("0"), F.substring(digest, 1, 8), F.lpad(F.hex(F.xxhash64(url)), 16, "0")))
+
+
+def _borders(narrow: DataFrame) -> np.ndarray:
+    """First key of each range: exact prefix sums of the keys' bytes, cut at multiples of the range size.
+
+    Keys are sorted by ranges of Spark's own, whose totals, a row per partition, give the offsets. What
+    comes to the driver besides is one key of 25 characters per range, ``RANGES`` and one at most.
+    """
+    keys = narrow.groupBy("key").agg(F.sum(F.col("size") + 512).alias("w"))
+    ordered = staged(keys.repartitionByRange("key").withColumn("place", F.spark_partition_id()), "warc-keys")
+    totals = ordered.groupBy("place").agg(F.sum("w").alias("w")).orderBy("place").collect()
+    total = sum(r["w"] for r in totals)
+    width = max(RANGE_BYTES, -(-total // RANGES))
+    before = dict(zip((r["place"] for r in totals), np.cumsum([0, *(r["w"] for r in totals)]).tolist(), strict=False))
+    if not before:
+        return np.zeros(0, "S25")
+    offsets = ordered.sparkSession.createDataFrame(list(before.items()), "place int, before long")
+    within = F.sum("w").over(Window.partitionBy("place").orderBy("key")) - F.col("w")
+    cut = ordered.withColumn("within", within).join(small_enough(staged(offsets, "warc-offsets"), 16), "place")
+    firsts = cut.groupBy(F.floor((F.col("before") + F.col("within")) / width).alias("range")).agg(F.min("key").alias("key"))
+    return np.array(sorted(r["key"] for r in firsts.collect()), "S25")
 
 
 def write_archive(pages: DataFrame, path: str) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as gzipped WARC files below ``path``; gives the manifest.
 
     Of records with equal payloads of ``REVISIT_BYTES`` or more the one with the largest page_id is
-    a response, the others revisit it. Rows are cut into key ranges of about ``RANGE_BYTES`` by the
-    bytes of each of ``BINS`` key bins, sorted by page_id inside, and files roll by compressed size;
-    all of that follows the rows alone, so the same rows give the same files whatever the number of
+    a response, the others revisit it. Rows sorted by page_id and digest are cut into ranges of about
+    ``RANGE_BYTES``, whatever the ids, one task each, and files roll by compressed size; all of that follows the rows alone, so the same rows give the same files whatever the number of
     tasks. A task writes under names of its own attempt; the manifest, a Parquet table below
     ``path``/_manifest, lists the files of committed attempts only, and they alone are moved to
     their final names. Readers go by the manifest.
 
     A null html is an empty payload, a null url an empty target. A row without page_id is written
-    as a response. Rows that repeat a page_id and its payload are all written alike; different payloads
+    as a response; such rows are cut by digest and url. Rows that repeat a page_id and its payload are all written alike; different payloads
     of a page_id are decided each by itself. Other columns are not looked at. An empty table writes a manifest without files.
     """
     spark = pages.sparkSession
@@ -182,7 +204,8 @@ def write_archive(pages: DataFrame, path: str) -> DataFrame:
         F.coalesce("html", F.lit("")).alias("html"),
     )
     payload = F.col("html").cast("binary")
-    narrow = staged(rows.select("page", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size")), "warc-pages")
+    key = _key(F.col("page"), F.sha1(payload), F.col("url"))
+    narrow = staged(rows.select("page", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"), key.alias("key")), "warc-pages")
     equal = narrow.where((F.col("size") >= REVISIT_BYTES) & F.col("page").isNotNull())
     first = equal.groupBy("digest", "size").agg(F.max("page").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
     revisits = staged(
@@ -190,22 +213,18 @@ def write_archive(pages: DataFrame, path: str) -> DataFrame:
         "warc-revisits",
     )
 
-    limits = narrow.agg(F.min("page"), F.max("page")).first()
-    low, high = (limits[0] or 0), (limits[1] or 0)
-    weights = narrow.groupBy(_bin(F.col("page"), low, high).alias("bin")).agg(F.sum(F.col("size") + 512).alias("w")).collect()
-    by_bin = np.zeros(BINS + 1, np.int64)
-    for r in weights:
-        by_bin[r["bin"] + 1] = r["w"]
-    ranges = (np.cumsum(by_bin) - by_bin) // RANGE_BYTES
-    # first bin of each range: a few borders, whatever the data
-    borders = [int(b) - 1 for b in np.flatnonzero(np.diff(ranges, prepend=ranges[0])).tolist()]
-    numbers = F.array(*[F.lit(b) for b in borders]) if borders else F.array().cast("array<int>")
-    part = F.size(F.filter(numbers, lambda b: b <= _bin(F.col("page"), low, high)))
+    borders = _borders(narrow)
+    known = spark.sparkContext.broadcast(borders)
+
+    @F.pandas_udf("int")
+    def range_of(key: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(np.searchsorted(known.value, key.to_numpy().astype("S25"), side="right") - 1, 0))
 
     decisions = revisits.select("page", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to", F.lit(True).alias("decision"))
     full = rows.select("page", "url", "html", F.sha1(payload).alias("digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("decision"))
-    together = full.union(decisions).withColumn("part", part)
-    ordered = together.repartition(max(len(borders) + 1, 1), "part").sortWithinPartitions(
+    # a decision's page is never null, so its key is that of its page's records
+    together = full.union(decisions).withColumn("part", range_of(_key(F.col("page"), F.col("digest"), F.col("url"))))
+    ordered = together.repartitionById(max(len(borders), 1), F.col("part")).sortWithinPartitions(
         "part", "page", F.desc("decision"), "digest", "url"
     )
     folder = _uri(spark, path)

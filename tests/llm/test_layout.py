@@ -77,6 +77,30 @@ def test_archives_of_the_same_rows_are_the_same_bytes(spark, tmp_path, monkeypat
     assert files[0] == files[1]
 
 
+def test_ranges_follow_the_bytes_whatever_the_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_BYTES", 20_000)
+    body = [words(60, i) for i in range(300)]
+    for name, ids in {
+        "outlier": [*range(299), 1 << 62], "ends": [-(1 << 63), (1 << 63) - 1, *range(-5, 293)], "none": [None] * 300,
+        "one": [7] * 300,
+    }.items():
+        path = str(tmp_path / name)
+        manifest = warc.write_archive(table(spark, [(p, "u", t) for p, t in zip(ids, body, strict=True)], PAGES), path).collect()
+        total = sum(len(t) + 512 for t in body)
+        assert total // 20_000 <= len({r.part for r in manifest}) <= total // 20_000 + 2, name
+        assert max(r.records for r in manifest) < 50 and sum(r.records for r in manifest) == 300, name
+        found = warc.read_archive(spark, path).collect()
+        assert sorted((r.page_id or 0, bytes(r.payload)) for r in found) == sorted((p or 0, t.encode()) for p, t in zip(ids, body, strict=True))
+
+
+def test_the_number_of_ranges_is_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_BYTES", 1000)
+    monkeypatch.setattr(warc, "RANGES", 4)
+    rows = [(i, "u", words(60, i)) for i in range(100)]
+    manifest = warc.write_archive(table(spark, rows, PAGES), str(tmp_path / "w")).collect()
+    assert len({r.part for r in manifest}) in (4, 5) and sum(r.records for r in manifest) == 100
+
+
 def test_files_that_no_manifest_lists_are_not_read(spark, tmp_path):
     path = tmp_path / "w"
     warc.write_archive(table(spark, page_rows(), PAGES), str(path))
