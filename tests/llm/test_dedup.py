@@ -180,6 +180,22 @@ def test_index_marks_exactly_the_repeated_windows():
         assert flags.tolist() == [counts[bytes(piece[i: i + width])] > 1 for i in range(len(piece) - width + 1)]
 
 
+def test_index_marks_repeats_whose_next_segments_are_equal_too():
+    from collections import Counter
+
+    draw = np.random.default_rng(4)
+    pieces = []
+    for _ in range(10):
+        tail, head = (draw.integers(97, 123, n).astype(np.uint8) for n in (577, 560))
+        for _ in range(3):
+            pieces.append(np.concatenate((draw.integers(97, 123, 100).astype(np.uint8), tail)))
+            pieces.append(np.concatenate((head, draw.integers(97, 123, 120).astype(np.uint8))))
+    width = substring_dedup.WIDTH
+    counts = Counter(bytes(p[i: i + width]) for p in pieces for i in range(len(p) - width + 1))
+    for piece, flags in zip(pieces, repeated_windows(pieces, width), strict=True):
+        assert flags.tolist() == [counts[bytes(piece[i: i + width])] > 1 for i in range(len(piece) - width + 1)]
+
+
 def thue_morse(n, a="a", b="b"):
     return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
 
