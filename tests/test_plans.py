@@ -81,6 +81,31 @@ def test_series_rows_are_scored_and_reshaped_without_a_shuffle_of_their_own(spar
     assert above.count("Aggregate") == plan(rows).split("Exchange")[0].count("Aggregate")
 
 
+def test_grid_work_is_in_generated_code(spark):
+    """No lambda: Spark interprets them, element by element."""
+    series = spark.createDataFrame([], "ds date, unique_id string, y double")
+    rows = tuning.swa_series(series)
+    wide = tuning.widen_forecast_columns(rows)
+    args = ("2023-01-31", "2023-12-31")
+    grid = tuning.forecast_errors(tuning.swa_grid(series, by_shift=True))
+    for df in (
+        rows, grid, tuning.best_window(grid, *args), tuning.best_series_window(rows, *args),
+        tuning.best_series_forecast(rows, *args), tuning.reshape_forecast_columns(wide, by_shift=True),
+    ):
+        assert "lambda" not in plan(df)
+
+
+def test_wide_columns_are_not_copied_into_the_reshaping(spark):
+    """In one generated loop they are a method too large for the JVM to compile."""
+    rows = tuning.swa_series(spark.createDataFrame([], "ds date, unique_id string, y double"))
+    wide = tuning.widen_forecast_columns(rows)
+    for by_shift in (False, True):
+        text = plan(tuning.reshape_forecast_columns(wide, by_shift=by_shift))
+        # a filter is between the array of the columns and their look-ups
+        above, below = text.split("(_row", 1)
+        assert "points#" not in above.split("Generate posexplode", 1)[1] and "points#" in below
+
+
 def test_a_panel_dealt_out_by_series_is_not_shuffled_again(spark, sf_dir):
     panel_rows = catalog._panel(spark, sf_dir)
     before = plan(panel.extend_series(panel_rows)).count("Exchange hashpartitioning")
