@@ -188,6 +188,28 @@ def test_widened_and_reshaped_is_the_grid(spark, grid):
     assert tuning.reshape_forecast_columns(wide, "other").count() == 0
 
 
+def test_best_forecast_reads_other_points_than_those_judged(spark):
+    """Ranges that leave out a series' first point, its target or all of it, and values with signs."""
+    series = {"a": [float((i * 7) % 11 - 5) for i in range(36)], "b": [-0.0, 1.5, None, 2.25] * 9, "late": [3.0]}
+    extended = panel.extend_series(series_frame(spark, series))
+    rows, results = tuning.swa_series(extended), tuning.forecast_errors(tuning.swa_grid(extended))
+    known = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    for start, target in (("2019-01-01", "2022-12-31"), ("2022-06-30", "2023-06-30"), ("2022-06-30", "2030-01-31")):
+        for metric in tuning.METRICS:
+            args = (start, target, metric)
+            assert known(tuning.best_series_forecast(rows, *args)) == known(tuning.best_window_forecast(results, *args))
+
+
+def test_significant_digits_are_those_of_the_text(spark):
+    rng = np.random.default_rng(5)
+    values = [0.0, -0.0, float("nan"), float("inf"), float("-inf"), None, 1e-320, 1e300, 9999999999.4, 1e9, 1e-12]
+    values += [12.345678905, 1.0000000005, 0.99999999995, 2.5, 1 / 3, -2 / 3, 0.1 + 0.2, 123456789.05, 99999.999995]
+    values += [float(x) for x in rng.normal(0, 1, 400) * 10.0 ** rng.integers(-14, 14, 400)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = df.select(tuning.significant(F.col("v")).alias("a"), F.expr("try_cast(format_string('%.9e', v) AS double)").alias("b")).collect()
+    assert [repr(r.a) for r in rows] == [repr(r.b) for r in rows] and len(rows) == len(values)
+
+
 def test_stored_results_give_the_same_choice(spark, grid, tmp_path):
     from shelfcast import schemas
     from shelfcast.sources import writers
