@@ -210,6 +210,11 @@ def test_significant_digits_are_those_of_the_text(spark):
     assert [repr(r.a) for r in rows] == [repr(r.b) for r in rows] and len(rows) == len(values)
 
 
+def test_series_rows_keep_their_longest_window(spark, grid):
+    best = tuning.best_series_window(tuning.swa_series(grid, 2), "2021-02-28", "2022-01-31").collect()
+    assert best and max(r.w for r in best) <= 2
+
+
 def test_stored_results_give_the_same_choice(spark, grid, tmp_path):
     from shelfcast import schemas
     from shelfcast.sources import writers
