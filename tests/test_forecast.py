@@ -215,6 +215,30 @@ def test_series_rows_keep_their_longest_window(spark, grid):
     assert best and max(r.w for r in best) <= 2
 
 
+def test_rows_by_shift_hold_the_same_grid_and_errors(spark, grid):
+    keys = ["unique_id", "ds", "s", "w"]
+    long = tuning.forecast_errors(tuning.swa_grid(grid, 5, 3)).select(*keys, "y", "SWA_value", "MAE", "MAPE")
+    rows = tuning.forecast_errors(tuning.swa_grid(grid, 5, 3, by_shift=True))
+    assert tuning.window_columns(rows, "MAPE") == [f"MAPE_w{w}" for w in range(1, 6)]
+    assert rows.count() * 5 == long.count()
+    ends = {"SWA": "SWA_value", "MAE": "MAE", "MAPE": "MAPE"}
+    values = [lambda c, n, e=e, name=name: F.col(f"{e}_w{n}").alias(name) for e, name in ends.items()]
+    again = rows.select("*", F.inline(tuning.by_window(tuning.window_columns(rows, "SWA"), *values)))
+    assert sorted(map(repr, again.select(long.columns).collect())) == sorted(map(repr, long.collect()))
+    wide = tuning.widen_forecast_columns(tuning.swa_series(grid, 5), 5, 3)
+    reshaped = tuning.reshape_forecast_columns(wide, by_shift=True)
+    assert sorted(map(repr, reshaped.select(rows.columns).collect())) == sorted(map(repr, rows.collect()))
+    with pytest.raises(ValueError):
+        tuning.reshape_forecast_columns(wide.drop("SWA_s2_w3"), by_shift=True)
+    with pytest.raises(ValueError):
+        tuning.forecast_errors(grid)
+    args = ("2021-02-28", "2022-01-31")
+    for metric in tuning.METRICS:
+        plain = tuning.best_window(tuning.forecast_errors(tuning.swa_grid(grid)), *args, metric)
+        by_shift = tuning.best_window(tuning.forecast_errors(tuning.swa_grid(grid, by_shift=True)), *args, metric)
+        assert sorted(map(repr, by_shift.select(plain.columns).collect())) == sorted(map(repr, plain.collect()))
+
+
 def test_stored_results_give_the_same_choice(spark, grid, tmp_path):
     from shelfcast import schemas
     from shelfcast.sources import writers
