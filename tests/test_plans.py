@@ -106,6 +106,13 @@ def test_wide_columns_are_not_copied_into_the_reshaping(spark):
         assert "points#" not in above.split("Generate posexplode", 1)[1] and "points#" in below
 
 
+def test_groups_of_the_grid_are_looked_up_once_per_shift(spark, sf_dir):
+    """The summaries of the grid group rows of twelve windows, not single values."""
+    for name in ("swa_grid", "forecast_errors", "best_window_mape", "reshape_forecast_columns"):
+        keys = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", plan(catalog.queries()[name](spark, sf_dir)))
+        assert keys and not any(re.search(r"\bw#", k) for k in keys)
+
+
 def test_a_panel_dealt_out_by_series_is_not_shuffled_again(spark, sf_dir):
     panel_rows = catalog._panel(spark, sf_dir)
     before = plan(panel.extend_series(panel_rows)).count("Exchange hashpartitioning")
