@@ -117,18 +117,45 @@ def _once(df: DataFrame, keep: list[str], **values: Column) -> DataFrame:
     return df.select(*keep, F.inline(F.array(made)))
 
 
-def _autocovariances(values: str, mean: str, order: int) -> Column:
-    """Of lags 0 ... ``order``, each over the number of all points."""
-    n = F.size(values)
-
-    def lagged(k: Column) -> Column:
-        products = F.zip_with(
-            F.slice(values, F.lit(1), n - k), F.slice(values, k + 1, n - k),
-            lambda a, b: (a - F.col(mean)) * (b - F.col(mean)),
-        )
-        return F.aggregate(products, F.lit(0.0), lambda total, x: total + x) / n
+def _seasonal_forms(series: DataFrame, keys: list[str], season: int) -> DataFrame:
+    """``keys`` with both forms of the values ``past``, ``x0`` and ``x1``, and their means. Too short a
+    series has NULL for them, and so for all that follows."""
+    rows = _once(series, keys, late=F.slice("past", season + 1, F.greatest(F.size("past") - season, F.lit(0))))
+    enough = (F.size("late") >= SEASONAL_POINTS) & F.col("unique_id").isNotNull()
+    seasonal = F.zip_with("late", F.slice("past", F.lit(1), F.size("late")), lambda now, before: now - before)
+    rows = _once(rows, keys, x0=F.when(enough, F.col("late")), x1=F.when(enough, seasonal))
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda total, v: total + v) / F.size(x)
+    return _once(rows, [*keys, "x0", "x1"], mean0=mean("x0"), mean1=mean("x1"))
+
 
-    return F.transform(F.sequence(F.lit(0), F.lit(order)), lagged)
+def _autocovariances(series: DataFrame, order: int, season: int) -> DataFrame:
+    """``series`` (unique_id, last_idx, past) with ``c0`` and ``c1``: for both forms those of lags 0 ...
+    ``order``, each over the number of all points.
+
+    A point is a row and the products with its followers are sums, so they are made in generated code.
+    The values go along as the key of a group of their own, as text: numbers in a key would be
+    normalized by a lambda and the sums leave the generated loop.
+    """
+    rows = _seasonal_forms(series, ["unique_id", "last_idx", "past"], season)
+    centred = lambda x, mean: F.transform(x, lambda v: v - F.col(mean))
+    rows = _once(rows, ["unique_id", "last_idx", "past"], z0=centred("x0", "mean0"), z1=centred("x1", "mean1"))
+    points = rows.select("*", F.posexplode("past").alias("_i", "_y")).select(
+        "*", F.explode(F.when(F.col("_i") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("_group")
+    )
+    own = {d: F.when(F.col("_group") == 1, F.get(f"z{d}", F.col("_i"))) for d in (0, 1)}
+    products = {(d, k): own[d] * F.get(f"z{d}", F.col("_i") + k) for d in (0, 1) for k in range(order + 1)}
+    points = points.select(
+        "unique_id", "last_idx", "_group", F.when(F.col("_group") == 0, F.col("past").cast("array<string>")).alias("_past"),
+        F.size("z0").alias("_n"), *[c.alias(f"_{d}_{k}") for (d, k), c in products.items()],
+    )
+    sums = points.groupBy("unique_id", "last_idx", "_group", "_past", "_n").agg(
+        *[F.sum(f"_{d}_{k}").alias(f"_{d}_{k}") for d, k in products]
+    )
+    both = {d: F.when(F.col("_0_0").isNotNull(), F.array(*[F.col(f"_{d}_{k}") / F.col("_n") for k in range(order + 1)])) for d in (0, 1)}
+    found = sums.select("unique_id", "last_idx", "_past", both[0].alias("c0"), both[1].alias("c1"))
+    return found.groupBy("unique_id", "last_idx").agg(
+        F.max("_past").cast("array<double>").alias("past"), F.max("c0").alias("c0"), F.max("c1").alias("c1")
+    )
 
 
 def _levinson_durbin(covariances: str, order: int) -> Column:
@@ -178,34 +205,37 @@ def seasonal_ar_forecast(
     order. Without variance the mean (or the last season) goes on. Series with fewer than
     ``SEASONAL_POINTS`` such points have NULL forecasts.
 
-    A series is one row of a calendar-sized array, and all of it is array work in that row: one
-    shuffle by series.
+    A series is one row of a calendar-sized array, and all of it is array work in that row, the choice
+    among the models of both forms included: one shuffle by series, no join, no row per model.
     """
     index = F.when(F.col("part") == test_part, F.col("time_idx"))
     steps = panel.agg(F.struct((F.max(index) - F.min(index) + 1).alias("n"), F.max("y").alias("top"))).scalar()["n"]
     series = panel.where(F.col("part") != test_part).groupBy("unique_id").agg(
         F.sort_array(F.collect_list(F.struct("time_idx", "y"))).alias("points"), F.max("time_idx").alias("last_idx")
     )
-    rows = _once(series, ["unique_id", "last_idx"], past=F.col("points.y")).withColumn("_steps", steps)
-    rows = _once(rows, ["unique_id", "last_idx", "past", "_steps"], late=F.slice("past", season + 1, F.greatest(F.size("past") - season, F.lit(0))))
-    enough = F.size("late") >= SEASONAL_POINTS
-    seasonal = F.zip_with("late", F.slice("past", F.lit(1), F.size("late")), lambda now, before: now - before)
-    forms = F.array(
-        F.struct(F.lit(0).alias("d"), F.col("late").alias("x")), F.struct(F.lit(1).alias("d"), seasonal.alias("x"))
-    )
-    keys = ["unique_id", "last_idx", "past", "_steps"]
-    forms = rows.where(enough).select(*keys, F.inline(forms))
-    mean = F.aggregate("x", F.lit(0.0), lambda total, v: total + v) / F.size("x")
-    forms = _once(forms, [*keys, "d", "x"], mean=mean)
-    forms = _once(forms, [*keys, "d", "x", "mean"], c=_autocovariances("x", "mean", max_order))
-    forms = forms.select(*keys, "d", "x", "mean", F.inline(_levinson_durbin("c", max_order)))
-    n, k = F.size("x").cast("double"), F.col("p") + 2.0
-    aicc = n * F.log("v") + 2 * k + F.try_divide(2 * k * (k + 1), n - k - 1)
-    score = F.when(F.col("v") > 0, F.format_string("%.9e", aicc).cast("double")).otherwise(F.lit(float("-inf")))
-    best = forms.where(F.col("p") < F.size("x") - 3).groupBy("unique_id").agg(
-        F.min_by(F.struct(*keys[1:], "d", "x", "mean", "p", "phi"), F.struct(score.alias("score"), "d", "p")).alias("m")
-    )
-    best = best.select("unique_id", "m.*")
+    series = _once(series, ["unique_id", "last_idx"], past=F.col("points.y"))
+    rows = _autocovariances(series, max_order, season)
+    rows = _seasonal_forms(rows, ["unique_id", "last_idx", "past", "c0", "c1"], season).withColumn("_steps", steps)
+    keys = ["unique_id", "last_idx", "past", "_steps", "x0", "x1", "mean0", "mean1"]
+    rows = _once(rows, keys, **{f"models{d}": F.when(F.col(f"c{d}").isNotNull(), _levinson_durbin(f"c{d}", max_order)) for d in (0, 1)})
+
+    def scored(d: int) -> Column:
+        n = F.size(f"x{d}").cast("double")
+
+        def score(m: Column) -> Column:
+            k = m["p"] + 2.0
+            aicc = n * F.log(m["v"]) + 2 * k + F.try_divide(2 * k * (k + 1), n - k - 1)
+            value = F.when(m["v"] > 0, F.format_string("%.9e", aicc).cast("double")).otherwise(F.lit(float("-inf")))
+            return F.struct(value.alias("score"), F.lit(d).alias("d"), m["p"].alias("p"), m["phi"].alias("phi"))
+
+        return F.transform(F.filter(f"models{d}", lambda m: m["p"] < F.size(f"x{d}") - 3), score)
+
+    rows = _once(rows, keys, m=F.array_min(F.concat(scored(0), scored(1))))
+    of_form = lambda name: F.when(F.col("m.d") == 0, F.col(f"{name}0")).when(F.col("m.d") == 1, F.col(f"{name}1"))
+    best = _once(
+        rows, ["unique_id", "last_idx", "past", "_steps"], d=F.col("m.d"), p=F.col("m.p"), phi=F.col("m.phi"),
+        x=of_form("x"), mean=of_form("mean"),
+    )
 
     def ahead(so_far: Column, _: Column) -> Column:
         recent = F.reverse(F.slice(so_far, F.size(so_far) - F.col("p") + 1, F.col("p")))
@@ -220,16 +250,16 @@ def seasonal_ar_forecast(
         return F.concat(so_far, F.array(F.get(F.col("z"), F.size("x") + h - 1) + F.when(F.col("d") == 1, earlier).otherwise(0.0)))
 
     best = _once(
-        best, ["unique_id", "d", "p", "_steps", "past"], values=F.aggregate(horizon, F.col("past"), season_added)
+        best, ["unique_id", "last_idx", "d", "p", "_steps", "past"], values=F.aggregate(horizon, F.col("past"), season_added)
     )
-    found = best.select("unique_id", "d", "p", F.slice("values", F.size("past") + 1, F.col("_steps").cast("int")).alias("values"))
-    every = series.select("unique_id", "last_idx").withColumn("_steps", steps)
     return (
-        every.join(found, "unique_id", "left")
-        .select("unique_id", "last_idx", "d", "p", "values", F.explode(F.sequence(F.lit(1), F.col("_steps").cast("int"))).alias("h"))
+        best.select(
+            "unique_id", "last_idx", "d", "p", F.slice("values", F.size("past") + 1, F.col("_steps").cast("int")).alias("values"),
+            F.explode(F.sequence(F.lit(1), F.col("_steps").cast("int"))).alias("h"),
+        )
         .select(
             "unique_id", (F.col("last_idx") + F.col("h")).cast("int").alias("time_idx"), "h",
             F.when(F.col("d") == 1, "seasonal").when(F.col("d") == 0, "plain").alias("form"), F.col("p").alias("order"),
-            F.get("values", F.col("h") - 1).alias("forecast"),
+            F.when(F.col("d").isNotNull(), F.get("values", F.col("h") - 1)).alias("forecast"),
         )
     )

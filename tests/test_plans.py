@@ -142,6 +142,15 @@ def test_a_stored_panel_is_not_shuffled(spark, tmp_path):
         df.collect()
 
 
+def test_seasonal_models_are_chosen_in_the_row_of_their_series(spark):
+    """No join back to the series and no row per model; products with followers are sums of one aggregate."""
+    from shelfcast.operators import autoregression
+
+    split = spark.createDataFrame([], "unique_id string, time_idx int, part string, y double")
+    text = plan(autoregression.seasonal_ar_forecast(split))
+    assert "Join" not in text and "partial_sum(_1_12" in text
+
+
 def test_panel_subqueries_read_the_shuffle_of_the_main_branch(spark, sf_dir):
     """The panel's end is read from the shuffle already written, without another table scan."""
     df = catalog.queries()["extend_series"](spark, sf_dir)
